@@ -74,7 +74,7 @@ def mask_plate(plate: Column) -> Column:
 
 def mask_array(values: Column, mask: Callable[[Column], Column]) -> Column:
     """Each element masked; NULL becomes an empty array."""
-    return F.transform(F.coalesce(values, empty_strings()), mask)
+    return F.transform(F.coalesce(values, empty_strings()), lambda value: mask(value))
 
 
 @dataclass(frozen=True)

@@ -34,7 +34,7 @@ def replace_matches(text: Column, pattern: str, change: Callable[[Column], Colum
     marked = unicode(pattern)
     gaps = F.split(text, marked, -1)
     hits = F.regexp_extract_all(text, F.lit(marked), F.lit(0))
-    changed = F.concat(F.transform(hits, change), F.array(F.lit("")))
+    changed = F.concat(F.transform(hits, lambda hit: change(hit)), F.array(F.lit("")))
     rebuilt = F.concat_ws("", F.zip_with(gaps, changed, lambda gap, hit: F.concat(gap, hit)))
     return F.when(text.rlike(marked), rebuilt).otherwise(text)
 

@@ -39,9 +39,12 @@ def agent_performance(conversations: DataFrame) -> DataFrame:
     Response time ranks from slow to fast (no response time: 100); ghosting ranks ascending, so a
     high percentile means much ghosting.
     """
-    agents = agent_metrics(conversations)
-    agents = percent_ranks(agents, "win_rate", "win_rate_percentile")
-    agents = percent_ranks(
-        agents, "avg_response_time", "response_time_percentile", descending=True
+    return percent_ranks(
+        agent_metrics(conversations),
+        key="agent_id",
+        ranks={
+            "win_rate_percentile": ("win_rate", False),
+            "response_time_percentile": ("avg_response_time", True),
+            "ghosting_rate_percentile": ("ghosting_rate", False),
+        },
     )
-    return percent_ranks(agents, "ghosting_rate", "ghosting_rate_percentile")

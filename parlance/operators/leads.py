@@ -67,7 +67,9 @@ def entity_mentions(messages: DataFrame, kind: str, distinct: bool = False) -> D
     return mentions.distinct() if distinct else mentions
 
 
-def lead_signals(messages: DataFrame, strict: bool = False, key: mk.HashKey | None = None) -> DataFrame:
+def lead_signals(
+    messages: DataFrame, strict: bool = False, key: mk.HashKey | None = None
+) -> DataFrame:
     """Per conversation: which kinds of data the lead gave, lowest price, name and phone.
 
     Scalars only, aggregated before the shuffle. ``strict`` replaces the phone by its keyed hash.
@@ -127,22 +129,8 @@ def leads_profile(
     Entities repeat if they stand in different arrays of one conversation, unless ``distinct``.
     ``strict`` also masks the phone and post codes. A conversation with more than ``max_sets``
     distinct arrays fills several rows, numbered by ``part`` (0 for all others), so that no row
-    has to hold an unbounded array.
+    has to hold an unbounded array; name and phone stand in part 0.
     """
-    people = (
-        inbound_text(messages)
-        .groupBy("conversation_id")
-        .agg(
-            F.min_by(
-                F.struct("sender_name_normalized", "sender_phone"), message_order()
-            ).alias("_first")
-        )
-        .select(
-            "conversation_id",
-            F.col("_first.sender_name_normalized").alias("lead_name"),
-            F.col("_first.sender_phone").alias("lead_phone"),
-        )
-    )
     sets = entity_sets(messages)
     oversized = (
         sets.groupBy(F.col("conversation_id").alias("_big"))
@@ -160,27 +148,32 @@ def leads_profile(
         "found",
     )
 
+    # first message of each conversation, as one more kind of row of part 0
+    people = (
+        inbound_text(messages)
+        .groupBy("conversation_id")
+        .agg(
+            F.min_by(
+                F.struct("sender_name_normalized", "sender_phone"), message_order()
+            ).alias("first")
+        )
+        .withColumn("part", F.lit(0))
+    )
+
     def merged(kind: str) -> Column:
         values = F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.col("found"))))
         values = F.array_distinct(values) if distinct else values
         return F.array_sort(values)
 
-    collected = placed.groupBy("conversation_id", "part").agg(
-        *[merged(kind).alias(kind) for kind in EXTRACTORS]
-    )
     profile = (
-        people.alias("p")
-        .join(
-            collected.alias("c"),
-            F.col("p.conversation_id").eqNullSafe(F.col("c.conversation_id")),
-            "left",
-        )
-        .select(
-            "p.conversation_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            *[F.coalesce(kind, mk.empty_strings()).alias(kind) for kind in EXTRACTORS],
-            "lead_name",
-            "lead_phone",
+        placed.unionByName(people, allowMissingColumns=True)
+        .groupBy("conversation_id", "part")
+        .agg(*[merged(kind).alias(kind) for kind in EXTRACTORS], F.max("first").alias("first"))
+        .withColumns(
+            {
+                "lead_name": F.col("first.sender_name_normalized"),
+                "lead_phone": F.col("first.sender_phone"),
+            }
         )
     )
     shown = key.attach(profile).select(

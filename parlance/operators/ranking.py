@@ -59,57 +59,61 @@ def number_rows(
 
 
 def percent_ranks(
-    df: DataFrame, value: str, name: str, descending: bool = False, width: float = 1.0
+    df: DataFrame, key: str, ranks: dict[str, tuple[str, bool]], width: float = 1.0
 ) -> DataFrame:
-    """Adds the percent rank of a value over the whole table, times 100 and rounded.
+    """Adds percent ranks over the whole table, times 100 and rounded, for a table of one row per key.
 
-    Distinct values are counted first; the ranks come from the counts of value ranges (of the
-    given width) and of the values inside a range. NULL ranks first ascending, last descending.
+    ``ranks`` maps a new column to (value column, descending). NULL ranks first ascending and last
+    descending. All values are ranked in one pass: equal values are counted first, then ranked
+    inside ranges of the given width, and the sizes of the ranges are added up.
     """
-    sign = -1 if descending else 1
-    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumns(
-        {
-            "_range": F.floor(F.col("_value") / width) * sign,
-            "_missing": F.col("_value").isNull().cast("int") * sign,
-        }
-    )
+
+    def entry(name: str, value: str, descending: bool) -> Column:
+        signed = -F.col(value) if descending else F.col(value)
+        missing = F.col(value).isNull()
+        place = F.when(missing, F.lit(2 if descending else 0)).otherwise(1)
+        return F.struct(
+            F.lit(name).alias("_rank"),
+            place.alias("_place"),
+            F.floor(signed / width).alias("_range"),
+            signed.cast("double").alias("_value"),
+        )
+
+    entries = F.array(*[entry(name, *spec) for name, spec in ranks.items()])
+    unpivoted = df.select(F.col(key).alias("_key"), F.inline(entries))
+    group = ["_rank", "_place", "_range"]
+    counts = unpivoted.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_rows"))
+
     # one row per range: as many as the spread of the values, whatever the number of rows
-    ranges = counts.groupBy("_missing", "_range").agg(F.sum("_rows").alias("_range_rows"))
-    everything = Window.partitionBy()
-    earlier = everything.orderBy(F.col("_missing").desc(), F.col("_range")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ranges = ranges.withColumns(
+    sizes = counts.groupBy(*group).agg(F.sum("_rows").alias("_range_rows"))
+    whole = Window.partitionBy("_rank")
+    earlier = whole.orderBy("_place", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns(
         {
-            "_earlier": F.coalesce(F.sum("_range_rows").over(earlier), F.lit(0)),
-            "_all": F.sum("_range_rows").over(everything),
+            "_before": F.coalesce(F.sum("_range_rows").over(earlier), F.lit(0)),
+            "_others": F.sum("_range_rows").over(whole) - 1,
         }
     )
     inside = (
-        Window.partitionBy("_missing", "_range")
-        .orderBy(F.col("_value") * sign)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
     )
     smaller = F.coalesce(F.sum("_rows").over(inside), F.lit(0))
-    ranked = (
+    share = F.coalesce(F.try_divide(F.col("_before") + F.col("_smaller"), "_others"), F.lit(0.0))
+    placed = (
         counts.withColumn("_smaller", smaller)
         .alias("c")
-        .join(ranges.alias("r"), null_safe("c", "r", ["_missing", "_range"]))
-        .select(
-            F.col("c._value").alias("_value"),
-            F.round(
-                F.coalesce(
-                    F.try_divide(F.col("_earlier") + F.col("_smaller"), F.col("_all") - 1),
-                    F.lit(0.0),
-                )
-                * 100,
-                0,
-            ).alias(name),
-        )
+        .join(sizes.alias("s"), null_safe("c", "s", group))
+        .select("c._rank", "c._place", "c._value", F.round(share * 100, 0).alias("_percent"))
+    )
+    by_value = ["_rank", "_place", "_value"]
+    pivoted = (
+        unpivoted.alias("u")
+        .join(placed.alias("p"), null_safe("u", "p", by_value))
+        .groupBy("u._key")
+        .agg(*[F.max(F.when(F.col("u._rank") == name, F.col("_percent"))).alias(name) for name in ranks])
     )
     return (
         df.alias("d")
-        .join(ranked.alias("k"), F.col(f"d.{value}").eqNullSafe(F.col("k._value")), "left")
-        .select("d.*", name)
+        .join(pivoted.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k._key")))
+        .select("d.*", *ranks)
     )

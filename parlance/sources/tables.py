@@ -54,18 +54,20 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def append_table(df: DataFrame, table: str) -> None:
-    """Append that refuses a changed schema; the table is created if it is absent."""
+def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Append that refuses a changed schema; the table is created (at ``path``) if it is absent."""
     spark = df.sparkSession
     if spark.catalog.tableExists(table):
         want = [(f.name, f.dataType) for f in spark.table(table).schema.fields]
         have = [(f.name, f.dataType) for f in df.schema.fields]
         if want != have:
             raise ValueError(f"schema of {table} differs: expected {want}, got {have}")
-    df.write.mode("append").saveAsTable(table)
+    df.write.mode("append").saveAsTable(table, path=path)
 
 
-def overwrite_table(df: DataFrame, table: str, replace_schema: bool = False) -> DataFrame:
+def overwrite_table(
+    df: DataFrame, table: str, replace_schema: bool = False, path: str | None = None
+) -> DataFrame:
     """Overwrites a table and reads it back.
 
     Columns that only the old table has are kept as NULLs (merged schema), unless
@@ -77,7 +79,7 @@ def overwrite_table(df: DataFrame, table: str, replace_schema: bool = False) ->
         for field in spark.table(table).schema.fields:
             if field.name.lower() not in present:
                 df = df.withColumn(field.name, F.lit(None).cast(field.dataType))
-    df.write.mode("overwrite").saveAsTable(table)
+    df.write.mode("overwrite").saveAsTable(table, path=path)
     spark.catalog.refreshTable(table)
     return spark.table(table)
 
