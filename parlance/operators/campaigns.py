@@ -11,11 +11,17 @@ from parlance.operators.conversations import count_where, rate
 
 
 def campaign_roi(conversations: DataFrame, scores: DataFrame) -> DataFrame:
+    """Campaign results from stored conversations and scores."""
+    return campaign_results(
+        conversations.join(
+            scores.select("conversation_id", "lead_score", "score_tier"), "conversation_id"
+        )
+    )
+
+
+def campaign_results(scored: DataFrame) -> DataFrame:
     """Leads, conversions, lead quality and tiers per campaign, over scored conversations."""
     outcome, tier = F.col("outcome"), F.col("score_tier")
-    scored = conversations.join(
-        scores.select("conversation_id", "lead_score", "score_tier"), "conversation_id"
-    )
     stats = scored.groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("total_leads"),
         count_where(outcome == fv.SOLD).alias("conversions"),
@@ -122,16 +128,16 @@ def email_providers(emails: DataFrame, exact: bool = False) -> DataFrame:
     ).orderBy(F.col("total_leads").desc(), "provider")
 
 
-def competitor_intel(
-    mentions: DataFrame, conversations: DataFrame, signals: DataFrame
-) -> DataFrame:
-    """Mentions, losses, wins and average lowest price of the conversation per competitor."""
+def competitor_intel(mentions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Mentions, losses, wins and average lowest price of the conversation per competitor.
+
+    ``facts`` needs conversation_id, outcome and first_price.
+    """
     outcome = F.col("outcome")
     named = (
         mentions.groupBy("conversation_id", F.col("value").alias("competitor"))
         .agg(F.count(F.lit(1)).alias("mentions"))
-        .join(conversations.select("conversation_id", "outcome"), "conversation_id")
-        .join(signals.select("conversation_id", "first_price"), "conversation_id", "left")
+        .join(facts.select("conversation_id", "outcome", "first_price"), "conversation_id")
     )
 
     def mentions_where(condition: Column) -> Column:

@@ -11,15 +11,22 @@ from parlance.operators.ranking import number_rows
 
 
 def contact_sequence(signals: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Numbered contacts from stored signals and conversations."""
+    return numbered_contacts(
+        signals.select("conversation_id", "lead_phone").join(
+            conversations.select("conversation_id", "outcome", "first_message_at"),
+            "conversation_id",
+        )
+    )
+
+
+def numbered_contacts(facts: DataFrame) -> DataFrame:
     """Conversations of each phone, numbered by time, with their number.
 
     Numbered day by day, so that one phone (or the missing one) may hold any share of the rows.
     """
-    contacts = signals.select("conversation_id", "lead_phone").join(
-        conversations.select("conversation_id", "outcome", "first_message_at"), "conversation_id"
-    )
     numbered = number_rows(
-        contacts,
+        facts.select("conversation_id", "lead_phone", "outcome", "first_message_at"),
         keys=["lead_phone"],
         slice_by=F.to_date("first_message_at"),
         order=["first_message_at", "conversation_id"],

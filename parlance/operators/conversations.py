@@ -21,21 +21,20 @@ def rate(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(part, whole) * 100, 2)
 
 
-def enrich_conversations(messages: DataFrame) -> DataFrame:
-    """Counts, times, averages and the attributes of the first message, in one aggregation."""
-    first = F.min_by(
-        F.struct(
-            F.col("conversation_outcome").alias("outcome"),
-            "campaign_id",
-            "agent_id",
-            F.col("meta_city").alias("city"),
-            F.col("meta_state").alias("state"),
-            F.col("meta_device").alias("device"),
-            F.col("meta_lead_source").alias("lead_source"),
-        ),
-        message_order(),
-    )
-    per_conversation = messages.groupBy("conversation_id").agg(
+FIRST_MESSAGE = {
+    "outcome": "conversation_outcome",
+    "campaign_id": "campaign_id",
+    "agent_id": "agent_id",
+    "city": "meta_city",
+    "state": "meta_state",
+    "device": "meta_device",
+    "lead_source": "meta_lead_source",
+}
+
+
+def conversation_aggregates() -> list[Column]:
+    """Counts, times and averages, and the first message as a struct ``_first_message``."""
+    return [
         F.count(F.lit(1)).alias("total_messages"),
         count_where(F.col("direction") == "inbound").alias("inbound_count"),
         count_where(F.col("direction") == "outbound").alias("outbound_count"),
@@ -44,10 +43,28 @@ def enrich_conversations(messages: DataFrame) -> DataFrame:
         F.avg("meta_response_time_sec").alias("avg_response_time_sec"),
         count_where(F.col("meta_is_business_hours")).alias("business_hours_messages"),
         F.array_sort(F.collect_set("message_type")).alias("message_types_used"),
-        first.alias("_first"),
-    )
-    kept = [c for c in per_conversation.columns if c != "_first"]
-    return per_conversation.select(*kept, "_first.*").withColumn(
-        "duration_minutes",
-        minutes_between(F.col("first_message_at"), F.col("last_message_at")),
-    )
+        F.min_by(
+            F.struct(*[F.col(source).alias(name) for name, source in FIRST_MESSAGE.items()]),
+            message_order(),
+        ).alias("_first_message"),
+    ]
+
+
+def conversation_columns() -> dict[str, Column]:
+    """Columns of the conversation table that are worked out after the aggregation."""
+    first = {name: F.col("_first_message")[name] for name in FIRST_MESSAGE}
+    duration = minutes_between(F.col("first_message_at"), F.col("last_message_at"))
+    return {**first, "duration_minutes": duration}
+
+
+CONVERSATION_COLUMNS = (
+    "conversation_id", "total_messages", "inbound_count", "outbound_count", "first_message_at",
+    "last_message_at", "avg_response_time_sec", "business_hours_messages", "message_types_used",
+    *FIRST_MESSAGE, "duration_minutes",
+)
+
+
+def enrich_conversations(messages: DataFrame) -> DataFrame:
+    """Counts, times, averages and the attributes of the first message, in one aggregation."""
+    aggregated = messages.groupBy("conversation_id").agg(*conversation_aggregates())
+    return aggregated.withColumns(conversation_columns()).select(*CONVERSATION_COLUMNS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
@@ -11,13 +11,14 @@ from parlance.operators.messages import message_order
 from parlance.operators.ranking import running_totals
 
 
-def outcome_distribution(conversations: DataFrame) -> DataFrame:
-    """Conversations, averages and share of all per outcome."""
+def outcome_distribution(conversations: DataFrame, *more: Column) -> DataFrame:
+    """Conversations, averages and share of all per outcome, with any further aggregates."""
     per_outcome = conversations.groupBy("outcome").agg(
         F.count(F.lit(1)).alias("total_conversations"),
         F.avg("total_messages").alias("avg_messages"),
         F.avg("duration_minutes").alias("avg_duration_min"),
         F.avg("avg_response_time_sec").alias("avg_response_time"),
+        *more,
     )
     # one row per outcome is left, so the window over all of them is small
     whole = F.sum("total_conversations").over(Window.partitionBy())
@@ -93,7 +94,17 @@ def abandonment_point(messages: DataFrame, conversations: DataFrame) -> DataFram
 
 
 def funnel(messages: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Outcome distribution with the point of abandonment."""
-    return outcome_distribution(conversations).join(
-        abandonment_point(messages, conversations), "outcome", "left"
+    """Outcome distribution with the point of abandonment, in one grouping by outcome.
+
+    Conversations without an outcome get no point of abandonment.
+    """
+    positions = last_inbound_position(messages).withColumnRenamed("conversation_id", "_id")
+    position = F.when(F.col("outcome").isNotNull(), F.col("last_inbound_msg_number"))
+    joined = conversations.join(
+        positions, F.col("conversation_id") == F.col("_id"), "left"
+    ).withColumn("_position", position)
+    return outcome_distribution(
+        joined,
+        F.avg("_position").alias("avg_last_inbound_msg"),
+        F.percentile_approx("_position", 0.5).alias("median_last_inbound_msg"),
     )

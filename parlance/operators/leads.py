@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import extract as ex
 from parlance.functions import mask as mk
-from parlance.operators.messages import inbound_text, message_order
+from parlance.operators.messages import has_inbound_text, inbound_text, message_order
 
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "cpfs": ex.extract_cpf,
@@ -67,6 +67,38 @@ def entity_mentions(messages: DataFrame, kind: str, distinct: bool = False) -> D
     return mentions.distinct() if distinct else mentions
 
 
+SIGNAL_COLUMNS = (
+    "conversation_id", "has_cpf", "has_email", "has_plate", "has_competitor", "first_price",
+    "lead_name", "lead_phone",
+)
+
+
+def signal_aggregates() -> list[Column]:
+    """Kinds of data in the inbound messages, lowest price, and the first of them as a struct."""
+    body, counts = F.col("message_body"), has_inbound_text()
+
+    def given(extract: Callable[[Column], Column]) -> Column:
+        return F.max(F.when(counts, F.size(extract(body)) > 0))
+
+    return [
+        given(ex.extract_cpf).alias("has_cpf"),
+        given(ex.extract_email).alias("has_email"),
+        given(ex.extract_plate).alias("has_plate"),
+        given(ex.extract_competitor).alias("has_competitor"),
+        F.min(F.when(counts, F.array_min(ex.extract_price(body)))).alias("first_price"),
+        F.min_by(
+            F.struct("sender_name_normalized", "sender_phone"), F.when(counts, message_order())
+        ).alias("_first_inbound"),
+    ]
+
+
+def signal_columns() -> dict[str, Column]:
+    return {
+        "lead_name": F.col("_first_inbound.sender_name_normalized"),
+        "lead_phone": F.col("_first_inbound.sender_phone"),
+    }
+
+
 def lead_signals(
     messages: DataFrame, strict: bool = False, key: mk.HashKey | None = None
 ) -> DataFrame:
@@ -74,33 +106,18 @@ def lead_signals(
 
     Scalars only, aggregated before the shuffle. ``strict`` replaces the phone by its keyed hash.
     """
-    body = F.col("message_body")
-    entities = inbound_text(messages)
-    gave = {
-        "has_cpf": ex.extract_cpf(body),
-        "has_email": ex.extract_email(body),
-        "has_plate": ex.extract_plate(body),
-        "has_competitor": ex.extract_competitor(body),
-    }
-    signals = entities.groupBy("conversation_id").agg(
-        *[F.max(F.size(found) > 0).alias(name) for name, found in gave.items()],
-        F.min(F.array_min(ex.extract_price(body))).alias("first_price"),
-        F.min_by(
-            F.struct("sender_name_normalized", "sender_phone"), message_order()
-        ).alias("_first"),
-    )
-    named = signals.select(
-        "conversation_id",
-        *gave,
-        "first_price",
-        F.col("_first.sender_name_normalized").alias("lead_name"),
-        F.col("_first.sender_phone").alias("lead_phone"),
+    signals = (
+        inbound_text(messages)
+        .groupBy("conversation_id")
+        .agg(*signal_aggregates())
+        .withColumns(signal_columns())
+        .select(*SIGNAL_COLUMNS)
     )
     if not strict:
-        return named
+        return signals
     if key is None:
         raise ValueError("strict signals need a hash key")
-    hashed = key.attach(named).withColumn("lead_phone", mk.hash_digits(F.col("lead_phone")))
+    hashed = key.attach(signals).withColumn("lead_phone", mk.hash_digits(F.col("lead_phone")))
     return key.detach(hashed)
 
 

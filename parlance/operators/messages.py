@@ -6,7 +6,7 @@ a result to chance.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEDUP_KEYS = ("conversation_id", "timestamp", "direction", "sender_phone", "message_body")
@@ -23,17 +23,17 @@ def message_order() -> Column:
 def dedup_messages(bronze: DataFrame) -> DataFrame:
     """One row per message: of its deliveries the one furthest on (read, delivered, other).
 
-    A plain minimum over whole rows, so that copies collapse before the shuffle, however many
-    there are of one message. Ties go to the lowest message_id, then to the other columns.
+    Ties go to the lowest message_id. The filter on the row number keeps one row per message and
+    task before the shuffle, however many copies there are; columns nobody reads stay in the file.
     """
-    rank = (
-        F.when(F.col("status") == "read", 1).when(F.col("status") == "delivered", 2).otherwise(3)
+    furthest = F.when(F.col("status") == "read", 3).when(F.col("status") == "delivered", 2)
+    deliveries = Window.partitionBy(*DEDUP_KEYS).orderBy(
+        furthest.otherwise(1).desc(), "message_id"
     )
-    rest = [c for c in bronze.columns if c not in DEDUP_KEYS and c != "message_id"]
-    best = F.min(F.struct(rank.alias("_rank"), "message_id", *rest)).alias("_best")
-    picked = bronze.groupBy(*DEDUP_KEYS).agg(best)
-    return picked.select(
-        *[F.col(c) if c in DEDUP_KEYS else F.col("_best")[c].alias(c) for c in bronze.columns]
+    return (
+        bronze.withColumn("_place", F.row_number().over(deliveries))
+        .filter(F.col("_place") == 1)
+        .drop("_place")
     )
 
 
@@ -85,7 +85,12 @@ def clean_messages(bronze: DataFrame) -> DataFrame:
     return type_timestamp(parse_metadata(normalise_names(dedup_messages(bronze))))
 
 
+def has_inbound_text(allow_blank: bool = False) -> Column:
+    """True for messages of the lead that have text."""
+    inbound = (F.col("direction") == "inbound") & F.col("message_body").isNotNull()
+    return inbound if allow_blank else inbound & (F.col("message_body") != "")
+
+
 def inbound_text(messages: DataFrame, allow_blank: bool = False) -> DataFrame:
     """Messages of the lead that have text."""
-    kept = messages.filter((F.col("direction") == "inbound") & F.col("message_body").isNotNull())
-    return kept if allow_blank else kept.filter(F.col("message_body") != "")
+    return messages.filter(has_inbound_text(allow_blank))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import count_where
-from parlance.operators.messages import inbound_text, message_order
+from parlance.operators.messages import has_inbound_text, inbound_text, message_order
 
 MODEL_TEXT_SIZE = 512
 MODEL_LABELS = {"POS": "positivo", "NEG": "negativo", "NEU": "neutro"}
@@ -37,28 +37,54 @@ def first_outcome() -> Column:
     return F.min_by("conversation_outcome", message_order())
 
 
+SENTIMENT_COLUMNS = (
+    "conversation_id", "total_positive", "total_negative", "inbound_messages", "outcome",
+    "sentiment_score", "sentiment_label",
+)
+
+
+def keyword_aggregates(
+    positive: Sequence[str] = fv.POSITIVE_WORDS,
+    negative: Sequence[str] = fv.NEGATIVE_WORDS,
+    phrase: bool = False,
+) -> list[Column]:
+    """Keyword hits and number of the inbound messages, and the outcome of the first of them."""
+    body, counts = F.col("message_body"), has_inbound_text(allow_blank=True)
+
+    def total(words: Sequence[str]) -> Column:
+        return F.sum(F.when(counts, keyword_hits(body, words, phrase)))
+
+    return [
+        total(positive).alias("total_positive"),
+        total(negative).alias("total_negative"),
+        count_where(counts).alias("inbound_messages"),
+        F.min_by("conversation_outcome", F.when(counts, message_order())).alias(
+            "_inbound_outcome"
+        ),
+    ]
+
+
+def keyword_columns() -> dict[str, Column]:
+    """Score from -1 to 1 (0 without hits) and label, from the totals."""
+    good, bad = F.col("total_positive"), F.col("total_negative")
+    score = F.coalesce(F.round(F.try_divide(good - bad, good + bad), 3), F.lit(0.0))
+    return {"sentiment_score": score, "sentiment_label": sentiment_label(score)}
+
+
 def keyword_sentiment(
     messages: DataFrame,
     positive: Sequence[str] = fv.POSITIVE_WORDS,
     negative: Sequence[str] = fv.NEGATIVE_WORDS,
     phrase: bool = False,
 ) -> DataFrame:
-    """Keyword hits, score from -1 to 1 (0 without hits) and label per conversation."""
-    body = F.col("message_body")
-    per_conversation = (
+    """Keyword hits, score and label per conversation with inbound text."""
+    return (
         inbound_text(messages, allow_blank=True)
         .groupBy("conversation_id")
-        .agg(
-            F.sum(keyword_hits(body, positive, phrase)).alias("total_positive"),
-            F.sum(keyword_hits(body, negative, phrase)).alias("total_negative"),
-            F.count(F.lit(1)).alias("inbound_messages"),
-            first_outcome().alias("outcome"),
-        )
-    )
-    good, bad = F.col("total_positive"), F.col("total_negative")
-    score = F.coalesce(F.round(F.try_divide(good - bad, good + bad), 3), F.lit(0.0))
-    return per_conversation.withColumn("sentiment_score", score).withColumn(
-        "sentiment_label", sentiment_label(F.col("sentiment_score"))
+        .agg(*keyword_aggregates(positive, negative, phrase))
+        .withColumns(keyword_columns())
+        .withColumnRenamed("_inbound_outcome", "outcome")
+        .select(*SENTIMENT_COLUMNS)
     )
 
 

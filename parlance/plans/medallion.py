@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from parlance.functions.mask import HashKey
-from parlance.operators import agents, campaigns, contacts, conversations, funnel, leads
+from parlance.operators import agents, campaigns, contacts, facts, funnel, leads
 from parlance.operators import messages as msg
-from parlance.operators import negotiation, scoring, sentiment, silence
+from parlance.operators import negotiation, scoring, silence
 from parlance.sources.tables import read_parquet, write_parquet
 
 
@@ -18,8 +18,19 @@ class Silver:
     """Silver tables. ``messages`` holds clear text; ``public_messages`` is what is published."""
 
     messages: DataFrame
-    conversations: DataFrame
-    signals: DataFrame
+    facts: DataFrame
+
+    @property
+    def conversations(self) -> DataFrame:
+        return facts.conversations_of(self.facts)
+
+    @property
+    def sentiment(self) -> DataFrame:
+        return facts.sentiment_of(self.facts)
+
+    @property
+    def signals(self) -> DataFrame:
+        return facts.signals_of(self.facts)
 
     @property
     def public_messages(self) -> DataFrame:
@@ -32,14 +43,14 @@ class Silver:
 def build_silver(bronze: DataFrame) -> Silver:
     """Silver tables as lazy plans."""
     clean = msg.clean_messages(bronze)
-    return Silver(clean, conversations.enrich_conversations(clean), leads.lead_signals(clean))
+    return Silver(clean, facts.conversation_facts(clean))
 
 
 def store_silver(silver: Silver, folder: str) -> Silver:
     """Silver tables written once and read back, so that the Gold tables share the work.
 
-    Messages are written first and the other two computed from the written form. The folder has
-    clear text in it and must be as protected as Bronze.
+    The facts are computed from the written messages. The folder has clear text in it and must be
+    as protected as Bronze.
     """
     spark = silver.messages.sparkSession
 
@@ -48,39 +59,34 @@ def store_silver(silver: Silver, folder: str) -> Silver:
         return read_parquet(spark, f"{folder}/{name}", df.schema)
 
     clean = stored(silver.messages, "messages")
-    return Silver(
-        clean,
-        stored(conversations.enrich_conversations(clean), "conversations"),
-        stored(leads.lead_signals(clean), "signals"),
-    )
+    return Silver(clean, stored(facts.conversation_facts(clean), "facts"))
 
 
 def build_gold(silver: Silver) -> dict[str, DataFrame]:
     """The Gold tables by name, as lazy plans over the Silver tables."""
-    clean, convs, signals = silver.messages, silver.conversations, silver.signals
-    mood = sentiment.keyword_sentiment(clean)
-    scores = scoring.lead_scoring(convs, mood, signals)
-    heatmap = campaigns.temporal_heatmap(convs)
+    clean, convs = silver.messages, silver.conversations
+    scored = scoring.with_score(scoring.scorable(silver.facts))
+    classified = scoring.with_persona(scored)
     gaps = silence.silence_gaps(clean)
     complexity = negotiation.negotiation_complexity(clean)
-    resolution = contacts.first_contact_resolution(contacts.contact_sequence(signals, convs))
+    disclosed = silver.facts.filter("_first_inbound is not null")
+    resolution = contacts.first_contact_resolution(contacts.numbered_contacts(disclosed))
     emails = campaigns.masked_emails(leads.entity_mentions(clean, "emails"))
-    mentions = leads.entity_mentions(clean, "competitors")
     return {
         "funil_vendas": funnel.funnel(clean, convs),
         "fatal_messages": funnel.fatal_messages(clean),
         "agent_performance": agents.agent_performance(convs),
-        "sentiment": mood,
+        "sentiment": silver.sentiment,
         "email_providers": campaigns.email_providers(emails),
-        "lead_scoring": scores,
-        "temporal_analysis": heatmap,
-        "competitor_intel": campaigns.competitor_intel(mentions, convs, signals),
-        "campaign_roi": campaigns.campaign_roi(convs, scores),
-        "campaign_geo": campaigns.campaign_geo(convs),
-        "personas": scoring.personas(convs, mood, scores, signals),
-        "persona_summary": scoring.persona_summary(
-            scoring.classified(convs, mood, scores, signals)
+        "lead_scoring": scored.select(*scoring.SCORE_COLUMNS),
+        "temporal_analysis": campaigns.temporal_heatmap(convs),
+        "competitor_intel": campaigns.competitor_intel(
+            leads.entity_mentions(clean, "competitors"), silver.facts
         ),
+        "campaign_roi": campaigns.campaign_results(scored),
+        "campaign_geo": campaigns.campaign_geo(convs),
+        "personas": classified.select(*scoring.PERSONA_COLUMNS),
+        "persona_summary": scoring.persona_summary(classified),
         "churn_reengagement": silence.churn_summary(gaps),
         "negotiation_complexity": complexity,
         "negotiation_by_outcome": negotiation.negotiation_by_outcome(complexity),

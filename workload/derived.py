@@ -186,8 +186,18 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages: each event as two deliveries."""
-    copies = events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    return project(copies, MESSAGES)
+    return delivered_twice(events(spark, sf_dir))
+
+
+def delivered_twice(source: DataFrame) -> DataFrame:
+    """Message columns, worked out once per event where the delivery does not matter."""
+    per_copy = {name: text for name, text in MESSAGES.items() if "copy" in text}
+    per_event = {name: text for name, text in MESSAGES.items() if name not in per_copy}
+    sent = project(source, {"event_id": "event_id", **per_event})
+    copies = sent.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return copies.select(
+        *[F.expr(per_copy[c]).alias(c) if c in per_copy else F.col(c) for c in MESSAGES]
+    )
 
 
 def raw_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:

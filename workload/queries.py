@@ -818,8 +818,8 @@ def negotiation_by_outcome(spark, sf_dir):
 
 
 def sequence(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    return contacts.contact_sequence(s.signals, s.conversations)
+    disclosed = silver(spark, sf_dir).facts.filter("_first_inbound is not null")
+    return contacts.numbered_contacts(disclosed)
 
 
 @query(
@@ -1622,8 +1622,7 @@ def stream_repeated_errors(spark, sf_dir):
     having session_end <= (select max(ts) from events) - interval '1' hour""",
 )
 def stream_sessions(spark, sf_dir):
-    copies = event_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    sent = messages.type_timestamp(d.project(copies, d.MESSAGES))
+    sent = messages.type_timestamp(d.delivered_twice(event_stream(spark, sf_dir)))
     return drained(stream.sessions(sent))
 
 
