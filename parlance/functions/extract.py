@@ -10,7 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
-from parlance.functions.regex import digits_only, find_all, find_first, unicode
+from parlance.functions.regex import (
+    digits_only, empty_strings, find_all, find_first, unicode,
+)
+
+
+def has_digits(text: Column, in_a_row: int) -> Column:
+    """Cheap test that spares most texts the patterns that need a run of digits."""
+    return text.rlike(unicode(rf"\d{{{in_a_row}}}"))
 
 
 def extract_cpf(text: Column) -> Column:
@@ -37,21 +44,21 @@ def valid_cpf(cpf: Column) -> Column:
 
 def extract_email(text: Column) -> Column:
     """E-mail addresses; text without an @ skips the pattern."""
-    return F.when(text.contains("@"), find_all(text, fv.EMAIL)).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.when(text.contains("@"), find_all(text, fv.EMAIL)).otherwise(empty_strings())
 
 
 def extract_phone(text: Column) -> Column:
     """Brazilian phone numbers, with optional country and area code."""
-    return find_all(text, fv.PHONE)
+    return F.when(has_digits(text, 4), find_all(text, fv.PHONE)).otherwise(empty_strings())
 
 
 def extract_plate(text: Column) -> Column:
     """Distinct licence plates in upper case, new and old format, sorted."""
     upper = F.upper(text)
     both = F.concat(find_all(upper, fv.PLATE_NEW, 1), find_all(upper, fv.PLATE_OLD, 1))
-    return F.array_sort(F.array_distinct(both))
+    return F.when(has_digits(text, 2), F.array_sort(F.array_distinct(both))).otherwise(
+        empty_strings()
+    )
 
 
 def extract_cep(text: Column) -> Column:
@@ -65,7 +72,10 @@ def extract_competitor(
     """Names of the insurers mentioned, in the order of the list."""
     lower = F.lower(text)
     named = [F.when(lower.rlike(unicode(p)), F.lit(name)) for p, name in competitors]
-    return F.array_compact(F.array(*named))
+    any_name = "|".join(p for p, _ in competitors)
+    return F.when(lower.rlike(unicode(any_name)), F.array_compact(F.array(*named))).otherwise(
+        empty_strings()
+    )
 
 
 def extract_price(text: Column) -> Column:

@@ -121,11 +121,14 @@ def redact_body(text: Column) -> Column:
     """Text with CPFs, then e-mails, then plates replaced by their masked forms."""
     cpf_kept = unicode(r"\b\d{3}\.?\d{3}\.?(\d{3})-?(\d{2})\b")
     no_cpf = F.regexp_replace(text, cpf_kept, "***.***.$1-$2")
+    # a text without @ or without two digits in a row holds no e-mail and no plate
     no_email = F.when(
-        no_cpf.contains("@"), replace_matches(no_cpf, fv.EMAIL, mask_email)
+        text.contains("@"), replace_matches(no_cpf, fv.EMAIL, mask_email)
     ).otherwise(no_cpf)
-    no_new_plate = replace_matches(no_email, "(?i)" + fv.PLATE_NEW, mask_plate)
-    return replace_matches(no_new_plate, "(?i)" + fv.PLATE_OLD, mask_plate)
+    any_plate = f"(?i)(?:{fv.PLATE_NEW}|{fv.PLATE_OLD})"
+    return F.when(
+        text.rlike(unicode(r"\d{2}")), replace_matches(no_email, any_plate, mask_plate)
+    ).otherwise(no_email)
 
 
 def redact_rules(

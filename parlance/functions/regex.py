@@ -29,14 +29,23 @@ def find_first(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(hit != "", hit)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), lambda bound: use(bound)), F.lit(0))
+
+
 def replace_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Text with every match replaced by ``change(match)``; rows without a match pass through."""
     marked = unicode(pattern)
-    gaps = F.split(text, marked, -1)
-    hits = F.regexp_extract_all(text, F.lit(marked), F.lit(0))
-    changed = F.concat(F.transform(hits, lambda hit: change(hit)), F.array(F.lit("")))
-    rebuilt = F.concat_ws("", F.zip_with(gaps, changed, lambda gap, hit: F.concat(gap, hit)))
-    return F.when(text.rlike(marked), rebuilt).otherwise(text)
+
+    def rebuilt(whole: Column) -> Column:
+        gaps = F.split(whole, marked, -1)
+        hits = F.regexp_extract_all(whole, F.lit(marked), F.lit(0))
+        changed = F.concat(F.transform(hits, lambda hit: change(hit)), F.array(F.lit("")))
+        joined = F.concat_ws("", F.zip_with(gaps, changed, lambda gap, hit: F.concat(gap, hit)))
+        return F.when(whole.rlike(marked), joined).otherwise(whole)
+
+    return bind(text, rebuilt)
 
 
 def digits_only(text: Column) -> Column:

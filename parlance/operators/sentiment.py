@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,16 @@ def keyword_hits(text: Column, words: Sequence[str], phrase: bool = False) -> Co
     Keywords of several words can match no single word; ``phrase`` counts their occurrences in
     the whole text instead.
     """
-    any_word = "|".join(re.escape(word).replace(r"\ ", " ") for word in words)
+    lower = F.lower(text)
     if phrase:
-        return F.coalesce(F.regexp_count(F.lower(text), F.lit(any_word)), F.lit(0))
-    return F.size(F.filter(F.split(F.lower(text), " "), lambda word: word.rlike(any_word)))
+        any_word = "|".join(re.escape(word).replace(r"\ ", " ") for word in words)
+        return F.coalesce(F.regexp_count(lower, F.lit(any_word)), F.lit(0))
+    single = [word for word in words if " " not in word]
+    any_word = "|".join(re.escape(word) for word in single)
+    hits = F.size(F.filter(F.split(lower, " "), lambda word: word.rlike(any_word)))
+    # most texts hold no keyword at all, and need not be split
+    holds_one = reduce(lambda a, b: a | b, [lower.contains(word) for word in single])
+    return F.when(holds_one, hits).otherwise(0)
 
 
 def first_outcome() -> Column:

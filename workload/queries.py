@@ -663,7 +663,9 @@ def email_providers(spark, sf_dir):
     campaign_id, agent_id from ls""",
 )
 def lead_scoring(spark, sf_dir):
-    return build_gold(silver(spark, sf_dir))["lead_scoring"]
+    return scoring.with_score(scoring.scorable(silver(spark, sf_dir).facts)).select(
+        *scoring.SCORE_COLUMNS
+    )
 
 
 HEATMAP = f"""select *, {percent('wins', 'total_contacts')} as conversion_rate from (
@@ -705,7 +707,9 @@ def best_hour_per_day(spark, sf_dir):
         group by competitor)""",
 )
 def competitor_intel(spark, sf_dir):
-    return build_gold(silver(spark, sf_dir))["competitor_intel"]
+    return campaigns.competitor_intel(
+        leads.entity_mentions(clean(spark, sf_dir), "competitors"), silver(spark, sf_dir).facts
+    )
 
 
 @query(
@@ -724,7 +728,9 @@ def competitor_intel(spark, sf_dir):
         {count_if("score_tier = 'cold'")} as cold_leads from ls group by campaign_id)""",
 )
 def campaign_roi(spark, sf_dir):
-    return build_gold(silver(spark, sf_dir))["campaign_roi"]
+    return campaigns.campaign_results(
+        scoring.with_score(scoring.scorable(silver(spark, sf_dir).facts))
+    )
 
 
 @query(
@@ -737,13 +743,17 @@ def campaign_geo(spark, sf_dir):
     return campaigns.campaign_geo(silver(spark, sf_dir).conversations)
 
 
+def classified(spark, sf_dir):
+    return scoring.with_persona(scoring.with_score(scoring.scorable(silver(spark, sf_dir).facts)))
+
+
 @query(
     "personas",
     """select conversation_id, persona, outcome, lead_score, sentiment_score, total_messages,
     campaign_id, agent_id from pers""",
 )
 def personas(spark, sf_dir):
-    return build_gold(silver(spark, sf_dir))["personas"]
+    return classified(spark, sf_dir).select(*scoring.PERSONA_COLUMNS)
 
 
 @query(
@@ -754,7 +764,7 @@ def personas(spark, sf_dir):
     round(avg(avg_response_time_sec), 6) as avg_response_time from pers group by persona""",
 )
 def persona_summary(spark, sf_dir):
-    return build_gold(silver(spark, sf_dir))["persona_summary"]
+    return scoring.persona_summary(classified(spark, sf_dir))
 
 
 @query(
