@@ -54,6 +54,10 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _at(path: str | None) -> dict[str, str]:
+    return {"path": path} if path else {}
+
+
 def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
     """Append that refuses a changed schema; the table is created (at ``path``) if it is absent."""
     spark = df.sparkSession
@@ -62,7 +66,7 @@ def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
         have = [(f.name, f.dataType) for f in df.schema.fields]
         if want != have:
             raise ValueError(f"schema of {table} differs: expected {want}, got {have}")
-    df.write.mode("append").saveAsTable(table, path=path)
+    df.write.mode("append").options(**_at(path)).saveAsTable(table)
 
 
 def overwrite_table(
@@ -79,7 +83,7 @@ def overwrite_table(
         for field in spark.table(table).schema.fields:
             if field.name.lower() not in present:
                 df = df.withColumn(field.name, F.lit(None).cast(field.dataType))
-    df.write.mode("overwrite").saveAsTable(table, path=path)
+    df.write.mode("overwrite").options(**_at(path)).saveAsTable(table)
     spark.catalog.refreshTable(table)
     return spark.table(table)
 

@@ -123,20 +123,27 @@ def test_sentiment_words(spark):
     assert silent["sentiment_score"] == 0.0 and silent["sentiment_label"] == "neutro"
 
 
-class FaultyModel:
-    def __call__(self, text):
-        if "falha" in text:
-            raise RuntimeError("cannot read")
-        assert len(text) <= 512
-        return {"POS": 0.7, "NEG": 0.1, "NEU": 0.2}
+def faulty_model():
+    """Factory that is pickled by value, so that workers need not find this file."""
+
+    def build():
+        def predict(text):
+            if "falha" in text:
+                raise RuntimeError("cannot read")
+            assert len(text) <= 512
+            return {"POS": 0.7, "NEG": 0.1, "NEU": 0.2}
+
+        return predict
+
+    return build
 
 
 def test_model_sentiment(spark):
     df = talk(spark, "gostei " * 200, "falha", "oi", "bom dia")
     scored = {r["message_body"][:5]: r["ml_sentiment_score"] for r in
-              sentiment.score_messages(df, FaultyModel).collect()}
+              sentiment.score_messages(df, faulty_model()).collect()}
     assert scored == {"goste": 0.6, "falha": 0.0, "oi": 0.0, "bom d": 0.6}
-    row = sentiment.model_sentiment(df, FaultyModel, "v").first()
+    row = sentiment.model_sentiment(df, faulty_model(), "v").first()
     assert row["positive_count"] == 2 and row["sentiment_label"] == "positivo"
 
 

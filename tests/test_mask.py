@@ -70,7 +70,7 @@ def test_redact_body(one_column):
     assert redacted[2] == "cpf ***.***.247-25"
     assert redacted[3] == "*@b.co x*y@z.com.br"
     assert redacted[4:7] == ["sem dados", "", None]
-    assert one_column(redacted, mk.redact_body)[:3] == redacted[:3]
+    assert one_column(redacted[1:3], mk.redact_body) == redacted[1:3]
 
 
 RULES = {

@@ -600,14 +600,22 @@ def keyword_sentiment(spark, sf_dir):
     return sentiment.keyword_sentiment(clean(spark, sf_dir))
 
 
-class MarkerModel:
-    """Stand-in for a trained model: the share of marker words is the probability."""
+def marker_model():
+    """Factory of a stand-in for a trained model: the share of marker words is the probability.
 
-    def __call__(self, body: str) -> dict[str, float]:
-        good = sum(word in body for word in ("otimo", "gostei", "obrigado"))
-        bad = sum(word in body for word in ("caro", "pensar"))
-        whole = good + bad + 1
-        return {"POS": good / whole, "NEG": bad / whole, "NEU": 1 / whole}
+    It is defined inside a function and so pickled by value: workers need no copy of this file.
+    """
+
+    def build():
+        def predict(body: str) -> dict[str, float]:
+            good = sum(word in body for word in ("otimo", "gostei", "obrigado"))
+            bad = sum(word in body for word in ("caro", "pensar"))
+            whole = good + bad + 1
+            return {"POS": good / whole, "NEG": bad / whole, "NEU": 1 / whole}
+
+        return predict
+
+    return build
 
 
 MARKERS = {
@@ -632,7 +640,7 @@ MARKERS = {
     group by conversation_id)""",
 )
 def sentiment_ml(spark, sf_dir):
-    return sentiment.model_sentiment(clean(spark, sf_dir), MarkerModel, "marker_words")
+    return sentiment.model_sentiment(clean(spark, sf_dir), marker_model(), "marker_words")
 
 
 CATEGORY = (
