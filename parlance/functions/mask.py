@@ -142,14 +142,28 @@ def redact_rules(
 
 
 def rule_counts(
-    text: Column, rules: Sequence[tuple[str, str]] = fv.REDACTION_RULES
-) -> dict[str, Column]:
-    """Number of replacements per rule, each counted on the text the rules before it left."""
+    df: DataFrame, column: str, rules: Sequence[tuple[str, str]] = fv.REDACTION_RULES
+) -> DataFrame:
+    """Number of replacements per rule over a text column.
+
+    The texts are redacted once; labels they hold before that do not count.
+    """
+
+    def labels(value: str, label: str) -> Column:
+        without = F.replace(value, F.lit(label), F.lit(""))
+        return ((F.length(value) - F.length(without)) / len(label)).cast("bigint")
+
+    text = F.coalesce(column, F.lit(""))
+    both = df.select(text.alias("_text"), redact_rules(text, rules).alias("_redacted"))
     counts = {}
-    for name, pattern in rules:
-        counts[name] = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(unicode(pattern)))
-        text = F.regexp_replace(text, unicode(pattern), f"<REDACTED:{name}>")
-    return counts
+    for name, _ in rules:
+        label = f"<REDACTED:{name}>"
+        counts[name] = F.sum(labels("_redacted", label) - labels("_text", label))
+    totals = both.agg(*[count.alias(name) for name, count in counts.items()])
+    pairs = [
+        F.struct(F.lit(name).alias("rule"), F.col(name).alias("replacements")) for name in counts
+    ]
+    return totals.select(F.inline(F.array(*pairs)))
 
 
 def redact_secrets(text: Column) -> Column:

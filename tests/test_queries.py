@@ -8,12 +8,12 @@ from check_oracles import TABLES, rows_of
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, ORACLES = queries(), oracle_sql()
-NO_SQL = {"file_inventory", "redact_rule_counts", "outcome_prediction", "model_metrics"}
+NO_SQL = {"file_inventory", "outcome_prediction", "model_metrics"}
 WITH_PYTHON = {"sentiment_ml"}
 RUN_AT_BUILD = {
     name for name in QUERIES
     if name.startswith(("stream_", "table_", "quality_")) or name in
-    {"parquet_sink", "export_sample", "outcome_prediction", "model_metrics"}
+    {"parquet_sink", "export_sample", "append_records", "outcome_prediction", "model_metrics"}
 }
 
 

@@ -18,7 +18,7 @@ from parlance.operators import (
     negotiation, platform_metrics, prediction, quality, runs, scoring, sentiment, silence,
     transform,
 )
-from parlance.plans.medallion import Silver, build_gold, build_silver
+from parlance.plans.medallion import Silver, build_gold, build_silver, store_silver
 from parlance.session import work_dir
 from parlance.sources import tables
 from parlance.streaming import events as stream
@@ -251,7 +251,8 @@ def value_violations(spark, sf_dir):
     "select count(*) as rows, 'events.parquet' as source, 'run-1' as run_id from events",
 )
 def ingest_metadata(spark, sf_dir):
-    loaded = contract.with_ingest_metadata(d.events(spark, sf_dir), "run-1")
+    scanned = tables.read_parquet(spark, f"{sf_dir}/events.parquet")
+    loaded = contract.with_ingest_metadata(scanned, "run-1")
     name = F.regexp_extract("_source_file", r"events\.parquet", 0)
     return loaded.groupBy(name.alias("source"), F.col("_run_id").alias("run_id")).agg(
         F.count("_ingestion_timestamp").alias("rows")
@@ -409,17 +410,22 @@ def redact_rules(spark, sf_dir):
     )
 
 
-@query("redact_rule_counts")
+def labels_in(value: str, name: str) -> str:
+    label = f"<REDACTED:{name}>"
+    return f"(length({value}) - length(replace({value}, '{label}', ''))) // {len(label)}"
+
+
+@query(
+    "redact_rule_counts",
+    " union all ".join(
+        f"select '{name}' as rule, cast(sum({labels_in('r', name)}) as bigint) as replacements "
+        f"from (select {redact_sql('text')} as r from documents)"
+        for name, _ in fv.REDACTION_RULES
+    ),
+)
 def redact_rule_counts(spark, sf_dir):
     """Replacements per rule over all documents."""
-    counts = mk.rule_counts(F.col("text"))
-    totals = table(spark, sf_dir, "documents").agg(
-        *[F.sum(count).alias(name) for name, count in counts.items()]
-    )
-    pairs = [
-        F.struct(F.lit(name).alias("rule"), F.col(name).alias("replacements")) for name in counts
-    ]
-    return totals.select(F.inline(F.array(*pairs)))
+    return mk.rule_counts(table(spark, sf_dir, "documents"), "text")
 
 
 @query(
@@ -884,8 +890,11 @@ def early_features(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    return prediction.fit_outcome_model(prediction.early_features(s.messages, s.conversations))
+    """Model over features that are written once, as the fit reads them many times."""
+    s, path = silver(spark, sf_dir), scratch(spark)
+    features = prediction.early_features(s.messages, s.conversations)
+    tables.write_parquet(features, path)
+    return prediction.fit_outcome_model(tables.read_parquet(spark, path, features.schema))
 
 
 @query("outcome_prediction")
@@ -1025,8 +1034,6 @@ def preview_after(spark, sf_dir):
 
 def checked_tables(spark, sf_dir) -> dict[str, DataFrame]:
     """Bronze, Silver and all Gold tables, over a Silver that is written once."""
-    from parlance.plans.medallion import store_silver
-
     raw = d.bronze(spark, sf_dir)
     s = store_silver(build_silver(raw), scratch(spark))
     gold = build_gold(s)
@@ -1129,6 +1136,18 @@ def cost_usd(spark, sf_dir):
     return diagnoses(spark, sf_dir).select("id", *COSTED.split(", "))
 
 
+@query(
+    "append_records",
+    "select status, pr_kind, count(*) as records from base_diag group by status, pr_kind",
+)
+def append_records(spark, sf_dir):
+    path, name = scratch(spark), f"diagnostics_{uuid.uuid4().hex}"
+    tables.append_table(diagnoses(spark, sf_dir), name, path)
+    spark.sql(f"drop table {name}")
+    stored = tables.read_parquet(spark, path)
+    return stored.groupBy("status", "pr_kind").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("error_hash", "select id, error_hash from base_diag")
 def error_hash(spark, sf_dir):
     raw = d.raw_diagnoses(spark, sf_dir)
@@ -1607,7 +1626,9 @@ EVENT_FILTER = "event_type <> 'purchase' and event_id % 7 <> 0 and event_id % 11
 )
 def stream_filter(spark, sf_dir):
     start = F.lit("2024-01-10 00:00:00").cast("timestamp")
-    kept = stream.filter_events(d.channel_events(event_stream(spark, sf_dir)), start)
+    path = scratch(spark)
+    d.channel_events(d.events(spark, sf_dir)).write.json(path)
+    kept = stream.filter_events(stream.read_events(spark, path), start)
     return drained(kept.select("id", "sender_id", "text"))
 
 
