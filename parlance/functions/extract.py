@@ -66,16 +66,28 @@ def extract_cep(text: Column) -> Column:
     return find_all(text, fv.CEP, 1)
 
 
+def literal_start(pattern: str) -> str:
+    """Plain text that every match of a pattern begins with; empty if that is not clear."""
+    if "|" in pattern:
+        return ""
+    plain = re.match("[a-z ]*", pattern).group()
+    quantified = pattern[len(plain) : len(plain) + 1] in ("*", "?", "{")
+    return plain[:-1] if quantified else plain
+
+
 def extract_competitor(
     text: Column, competitors: Sequence[tuple[str, str]] = fv.COMPETITORS
 ) -> Column:
-    """Names of the insurers mentioned, in the order of the list."""
+    """Names of the insurers mentioned, in the order of the list.
+
+    A substring test goes before each pattern, as most texts mention none.
+    """
     lower = F.lower(text)
-    named = [F.when(lower.rlike(unicode(p)), F.lit(name)) for p, name in competitors]
-    any_name = "|".join(p for p, _ in competitors)
-    return F.when(lower.rlike(unicode(any_name)), F.array_compact(F.array(*named))).otherwise(
-        empty_strings()
-    )
+    named = [
+        F.when(lower.contains(literal_start(p)) & lower.rlike(unicode(p)), F.lit(name))
+        for p, name in competitors
+    ]
+    return F.array_compact(F.array(*named))
 
 
 def extract_price(text: Column) -> Column:
