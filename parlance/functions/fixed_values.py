@@ -57,6 +57,10 @@ REDACTION_RULES = (
     ("GITHUB_PAT", r"\bghp_[A-Za-z0-9]{20,}\b"),
     ("ANTHROPIC_KEY", r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b"),
 )
+# Text without which a rule cannot match
+REDACTION_NEEDLES = {
+    "CNPJ": "/", "EMAIL": "@", "AWS_KEY": "AKIA", "GITHUB_PAT": "ghp_", "ANTHROPIC_KEY": "sk-ant-",
+}
 
 # Secrets cut out of free text
 SECRET_PATTERNS = (r"sk-[A-Za-z0-9_-]+", r"ghp_[A-Za-z0-9_]+", r"AKIA[0-9A-Z]{12,}")

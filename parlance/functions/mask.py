@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions import fixed_values as fv
-from parlance.functions.regex import digits_only, empty_strings, replace_matches, unicode
+from parlance.functions.regex import bind, digits_only, empty_strings, replace_matches, unicode
 
 
 def mask_cpf(cpf: Column) -> Column:
@@ -134,10 +134,24 @@ def redact_body(text: Column) -> Column:
 def redact_rules(
     text: Column, rules: Sequence[tuple[str, str]] = fv.REDACTION_RULES
 ) -> Column:
-    """Text with each rule's matches replaced by ``<REDACTED:NAME>``, in rule order; NULL -> ''."""
-    result = F.coalesce(text, F.lit(""))
+    """Text with each rule's matches replaced by ``<REDACTED:NAME>``, in rule order; NULL -> ''.
+
+    Rules with a needle are tried only on texts that hold it; no rule's label adds one.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    result = whole
     for name, pattern in rules:
-        result = F.regexp_replace(result, unicode(pattern), f"<REDACTED:{name}>")
+        marked, label = unicode(pattern), f"<REDACTED:{name}>"
+        needle = fv.REDACTION_NEEDLES.get(name)
+        if needle is None:
+            result = F.regexp_replace(result, marked, label)
+        else:
+            result = bind(
+                result,
+                lambda t: F.when(
+                    whole.contains(needle), F.regexp_replace(t, marked, label)
+                ).otherwise(t),
+            )
     return result
 
 
@@ -150,8 +164,8 @@ def rule_counts(
     """
 
     def labels(value: str, label: str) -> Column:
-        without = F.replace(value, F.lit(label), F.lit(""))
-        return ((F.length(value) - F.length(without)) / len(label)).cast("bigint")
+        found = F.regexp_count(value, F.lit(label))
+        return F.when(F.col(value).contains(label), found).otherwise(0)
 
     text = F.coalesce(column, F.lit(""))
     both = df.select(text.alias("_text"), redact_rules(text, rules).alias("_redacted"))
