@@ -96,20 +96,23 @@ def keyword_sentiment(
 
 
 def score_messages(
-    messages: DataFrame, model_factory: Callable[[], Callable[[str], dict[str, float]]]
+    messages: DataFrame,
+    model_factory: Callable[[], Callable[[str], dict[str, float]]],
+    text_size: int | None = MODEL_TEXT_SIZE,
 ) -> DataFrame:
     """Adds the model's score and label to each inbound message.
 
     ``model_factory`` builds, once per Python worker task, a function from text to the
     probabilities of POS, NEG and NEU. Texts under three characters and texts the model fails on
-    count as neutral. The model sees the first 512 characters, its input limit.
+    count as neutral. A model that reads no more than ``text_size`` characters gets the first of
+    them; with None it gets the whole text.
     """
 
     def judge(model: Callable[[str], dict[str, float]], text: str | None) -> tuple[float, str]:
         if not text or len(text.strip()) < 3:
             return 0.0, "neutro"
         try:
-            odds = model(text[:MODEL_TEXT_SIZE])
+            odds = model(text[:text_size])
             score = round(odds.get("POS", 0.0) - odds.get("NEG", 0.0), 3)
             return score, MODEL_LABELS.get(max(odds, key=odds.get), "neutro")
         except Exception:  # a text the model cannot read must not fail the job
@@ -134,11 +137,12 @@ def model_sentiment(
     messages: DataFrame,
     model_factory: Callable[[], Callable[[str], dict[str, float]]],
     model_version: str,
+    text_size: int | None = MODEL_TEXT_SIZE,
 ) -> DataFrame:
     """Average model score, label counts and label per conversation."""
     label = F.col("ml_sentiment_label")
     per_conversation = (
-        score_messages(messages, model_factory)
+        score_messages(messages, model_factory, text_size)
         .groupBy("conversation_id")
         .agg(
             F.avg("ml_sentiment_score").alias("sentiment_score"),

@@ -17,6 +17,13 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # stream state on the executors' disks, not in their heaps
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
+        # messages of one session are merged before the shuffle
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # generated methods beyond this size are never compiled by the JVM
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )

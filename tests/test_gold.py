@@ -143,6 +143,9 @@ def test_model_sentiment(spark):
     scored = {r["message_body"][:5]: r["ml_sentiment_score"] for r in
               sentiment.score_messages(df, faulty_model()).collect()}
     assert scored == {"goste": 0.6, "falha": 0.0, "oi": 0.0, "bom d": 0.6}
+    sizes = lambda: lambda text: {"POS": len(text) / 10_000}
+    whole = sentiment.score_messages(df, sizes, None).agg(F.max("ml_sentiment_score")).first()[0]
+    assert whole == 0.14
     row = sentiment.model_sentiment(df, faulty_model(), "v").first()
     assert row["positive_count"] == 2 and row["sentiment_label"] == "positivo"
 

@@ -120,7 +120,7 @@ def test_percent_ranks_equal_window(spark):
     numbers = random.Random(2)
     rows = [
         (f"a{i}", numbers.choice([None, 12.5, 50.0, round(numbers.random() * 90, 2)]),
-         numbers.choice([None, -3.25, numbers.random() * 500]))
+         numbers.choice([None, 0.0, -3.25, numbers.random() * 500]))
         for i in range(200)
     ]
     df = spark.createDataFrame(rows, "k string, x double, y double")

@@ -79,6 +79,10 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.clean_messages(d.bronze(spark, sf_dir))
 
 
+def convs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.enrich_conversations(clean(spark, sf_dir))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared work folder."""
     return f"{work_dir(spark)}/parlance-{uuid.uuid4().hex}"
@@ -214,11 +218,14 @@ def conform_schema_cast(spark, sf_dir):
 
 @query(
     "validate_columns",
-    "select false as is_valid, 'channel' as missing, 'extra_note' as extra",
+    "select false as is_valid, 'channel' as missing, 'extra_note' as extra, count(*) as rows "
+    "from bronze",
 )
 def validate_columns(spark, sf_dir):
+    """Verdict on the columns, with the number of rows it holds for."""
     changed = d.bronze(spark, sf_dir).withColumnRenamed("channel", "extra_note")
-    return contract.validate_columns(changed)
+    rows = tables.row_count(changed).scalar()
+    return contract.validate_columns(changed).withColumn("rows", rows)
 
 
 @query(
@@ -457,11 +464,11 @@ def redact_nested(spark, sf_dir):
 
 @query(
     "redact_error",
-    f"select id, substr({redact_sql('error_message')}, 1, 40) as error from raw_diag",
+    f"select id, substr({redact_sql('error_message')}, 1, 500) as error from raw_diag",
 )
 def redact_error(spark, sf_dir):
     return d.raw_diagnoses(spark, sf_dir).select(
-        "id", mk.redact_error(F.col("error_message"), 40).alias("error")
+        "id", mk.redact_error(F.col("error_message")).alias("error")
     )
 
 
@@ -505,7 +512,7 @@ def lead_signals(spark, sf_dir):
     {joined('message_types_used')} as message_types_used) from c""",
 )
 def conversations_enriched(spark, sf_dir):
-    return conversations.enrich_conversations(clean(spark, sf_dir))
+    return convs(spark, sf_dir)
 
 
 # Gold
@@ -524,7 +531,7 @@ ABANDONMENT = """select outcome, round(avg(last_place), 6) as avg_last_inbound_m
 
 @query("outcome_distribution", DISTRIBUTION)
 def outcome_distribution(spark, sf_dir):
-    return funnel.outcome_distribution(silver(spark, sf_dir).conversations)
+    return funnel.outcome_distribution(convs(spark, sf_dir))
 
 
 @query(
@@ -553,8 +560,7 @@ def fatal_messages(spark, sf_dir):
 
 @query("abandonment_point", ABANDONMENT)
 def abandonment_point(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    return funnel.abandonment_point(s.messages, s.conversations)
+    return funnel.abandonment_point(clean(spark, sf_dir), convs(spark, sf_dir))
 
 
 @query(
@@ -562,8 +568,7 @@ def abandonment_point(spark, sf_dir):
     f"select * from ({DISTRIBUTION}) left join ({ABANDONMENT}) using (outcome)",
 )
 def funil_vendas(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    return funnel.funnel(s.messages, s.conversations)
+    return funnel.funnel(clean(spark, sf_dir), convs(spark, sf_dir))
 
 
 @query(
@@ -588,7 +593,7 @@ def funil_vendas(spark, sf_dir):
         from c group by agent_id)""",
 )
 def agent_performance(spark, sf_dir):
-    return agents.agent_performance(silver(spark, sf_dir).conversations)
+    return agents.agent_performance(convs(spark, sf_dir))
 
 
 LABEL = (
@@ -642,11 +647,11 @@ MARKERS = {
             case when length(trim(t)) < 3 then 'neutro' when good >= bad and good >= 1
             then 'positivo' when bad >= 1 then 'negativo' else 'neutro' end as label
         from (select *, {MARKERS['good']} as good, {MARKERS['bad']} as bad
-            from (select *, left(message_body, 512) as t from inb where message_body <> '')))
+            from (select *, message_body as t from inb where message_body <> '')))
     group by conversation_id)""",
 )
 def sentiment_ml(spark, sf_dir):
-    return sentiment.model_sentiment(clean(spark, sf_dir), marker_model(), "marker_words")
+    return sentiment.model_sentiment(clean(spark, sf_dir), marker_model(), "marker_words", None)
 
 
 CATEGORY = (
@@ -693,7 +698,7 @@ HEATMAP = f"""select *, {percent('wins', 'total_contacts')} as conversion_rate f
 
 @query("temporal_analysis", HEATMAP)
 def temporal_analysis(spark, sf_dir):
-    return campaigns.temporal_heatmap(silver(spark, sf_dir).conversations)
+    return campaigns.temporal_heatmap(convs(spark, sf_dir))
 
 
 @query(
@@ -703,7 +708,7 @@ def temporal_analysis(spark, sf_dir):
 )
 def best_hour_per_day(spark, sf_dir):
     return campaigns.best_hour_per_day(
-        campaigns.temporal_heatmap(silver(spark, sf_dir).conversations)
+        campaigns.temporal_heatmap(convs(spark, sf_dir))
     )
 
 
@@ -754,7 +759,7 @@ def campaign_roi(spark, sf_dir):
         {count_if("outcome = 'venda_fechada'")} as conversions from c group by campaign_id, state)""",
 )
 def campaign_geo(spark, sf_dir):
-    return campaigns.campaign_geo(silver(spark, sf_dir).conversations)
+    return campaigns.campaign_geo(convs(spark, sf_dir))
 
 
 def classified(spark, sf_dir):
@@ -885,14 +890,13 @@ def fcr_summary(spark, sf_dir):
     from numbered where place <= 3 group by conversation_id) e join c using (conversation_id)""",
 )
 def early_features(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    return prediction.early_features(s.messages, s.conversations)
+    return prediction.early_features(clean(spark, sf_dir), convs(spark, sf_dir))
 
 
 def fitted(spark, sf_dir):
     """Model over features that are written once, as the fit reads them many times."""
-    s, path = silver(spark, sf_dir), scratch(spark)
-    features = prediction.early_features(s.messages, s.conversations)
+    path = scratch(spark)
+    features = prediction.early_features(clean(spark, sf_dir), convs(spark, sf_dir))
     tables.write_parquet(features, path)
     return prediction.fit_outcome_model(tables.read_parquet(spark, path, features.schema))
 
@@ -1407,7 +1411,7 @@ def recent_failures(spark, sf_dir):
 
 
 @query(
-    "pipeline_summary",
+    "job_summary",
     """select job_id, result_state as status, strftime(make_timestamp(start_time * 1000)
         - interval '3' hour, '%Y-%m-%d %H:%M:%S') || ' (horario de Brasilia)' as last_run_at,
     round(run_duration / 1000::double, 6) as duration_sec,
@@ -1416,7 +1420,7 @@ def recent_failures(spark, sf_dir):
     from (select *, row_number() over (partition by job_id order by start_time desc, run_id desc)
         as rn from runs) where rn = 1""",
 )
-def pipeline_summary(spark, sf_dir):
+def job_summary(spark, sf_dir):
     summary = runs.pipeline_summary(d.job_runs(spark, sf_dir))
     states = F.transform(
         F.map_entries("tasks"), lambda e: F.concat(e["key"], F.lit("="), e["value"])
@@ -1440,11 +1444,11 @@ def deployment_breakdown(spark, sf_dir):
 
 
 @query(
-    "pipeline_metrics",
+    "job_coverage",
     """select company_id, count(*) as total, count(databricks_job_id) as with_databricks_job
     from deps group by company_id""",
 )
-def pipeline_metrics(spark, sf_dir):
+def job_coverage(spark, sf_dir):
     return platform_metrics.pipeline_metrics(d.deployments(spark, sf_dir))
 
 
