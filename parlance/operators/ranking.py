@@ -80,7 +80,9 @@ def percent_ranks(
         )
 
     entries = F.array(*[entry(name, *spec) for name, spec in ranks.items()])
-    unpivoted = df.select(F.col(key).alias("_key"), F.inline(entries))
+    unpivoted = df.select(
+        F.col(key).alias("_key"), F.struct(*df.columns).alias("_row"), F.inline(entries)
+    )
     group = ["_rank", "_place", "_range"]
     counts = unpivoted.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_rows"))
 
@@ -106,14 +108,17 @@ def percent_ranks(
         .select("c._rank", "c._place", "c._value", F.round(share * 100, 0).alias("_percent"))
     )
     by_value = ["_rank", "_place", "_value"]
-    pivoted = (
+    # the rows of a key are copies of one row, so any of them will do
+    return (
         unpivoted.alias("u")
         .join(placed.alias("p"), null_safe("u", "p", by_value))
         .groupBy("u._key")
-        .agg(*[F.max(F.when(F.col("u._rank") == name, F.col("_percent"))).alias(name) for name in ranks])
-    )
-    return (
-        df.alias("d")
-        .join(pivoted.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k._key")))
-        .select("d.*", *ranks)
+        .agg(
+            F.any_value("_row").alias("_row"),
+            *[
+                F.max(F.when(F.col("u._rank") == name, F.col("_percent"))).alias(name)
+                for name in ranks
+            ],
+        )
+        .select("_row.*", *ranks)
     )
