@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import common, mixing
+from parlance.llm import common, mixing, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+#: Folder of the vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: the pattern that belongs to the byte-level vocabularies.
+BYTE_PATTERN = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,3 +40,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark, sf_dir):
     weight = F.element_at(F.array(F.lit(3), F.lit(1), F.lit(2)), F.col("source_rank") % 3 + 1)
     return mixing.mix(table(spark, sf_dir, "documents"), common.word_count(F.col("text")), weight)
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_table(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN
+    )
+
+
+#: Rules of the URL filter: verdict, host, start of the path.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op9_filter_urls")
+def op9_filter_urls(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
