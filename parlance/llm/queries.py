@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import common, mixing, token_counts, url_filter
+from parlance.llm import common, mixing, quality_rules, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,3 +59,100 @@ URL_RULES = [
 @query("op9_filter_urls")
 def op9_filter_urls(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+WORDS_SQL = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _quality_sql() -> str:
+    """The rules of ``quality_rules`` written as SQL."""
+    names = list(quality_rules.MEASURES)
+    bits = quality_rules.BITS
+    drop = f"greatest(length(bin(value)) - {bits}, 0)"
+    union = " union all ".join(
+        f"select lang, source, '{m}' as measure, {m} as value from measured where n_words > 0"
+        for m in names
+    )
+
+    def limits(name: str, by: str) -> str:
+        slack = "case measure " + " ".join(
+            f"when '{m}' then {quality_rules.MEASURES[m][0]}" for m in names
+        ) + " end"
+        return f"""
+        {name}_sums as (
+            select {by}, measure, bucket,
+                sum(sum(n)) over (partition by {by}, measure order by bucket) as upto,
+                sum(sum(n)) over (partition by {by}, measure) as docs
+            from sketch group by {by}, measure, bucket),
+        {name}_q as (
+            select {by}, measure, max(docs) as docs,
+                min(case when upto * 4 >= docs then bucket end) as q1,
+                min(case when upto * 4 >= docs * 3 then bucket end) as q3
+            from {name}_sums group by {by}, measure),
+        {name} as (
+            select {by}, measure, docs,
+                q1 - greatest((q3 - q1) * {quality_rules.REACH}, {slack}) as low,
+                q3 + greatest((q3 - q1) * {quality_rules.REACH}, {slack}) as high
+            from {name}_q)"""
+
+    fails = " or ".join(
+        f"(l.measure = '{m}' and (d.{m} > l.high" + (f" or d.{m} < l.low" if two else "") + "))"
+        for m, (_, two) in quality_rules.MEASURES.items()
+    )
+    return f"""
+    with split as (
+        select doc_id, lang, source, coalesce(text, '') as text, {WORDS_SQL} as w,
+            list_filter(string_split(coalesce(text, ''), chr(10)),
+                lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+        from documents),
+    places as (
+        select doc_id, unnest(range(1, len(w) - 1)) as p, w from split where len(w) >= 3),
+    windows as (select doc_id, p, w[p] as a, w[p + 1] as b, w[p + 2] as c from places),
+    twice as (
+        select doc_id, p, count(*) over (partition by doc_id, a, b, c) as n from windows),
+    covered as (
+        select doc_id, count(distinct q) as n_repeat_words
+        from (select doc_id, unnest([p, p + 1, p + 2]) as q from twice where n > 1)
+        group by doc_id),
+    counts as (
+        select s.doc_id, s.lang, s.source, cast(len(w) as bigint) as n_words,
+            cast(length(array_to_string(w, '')) as bigint) as word_chars,
+            cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+            cast(len(lines) as bigint) as n_lines,
+            cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+            cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+            cast(length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) as bigint) as n_capitals
+        from split s left join covered c using (doc_id)),
+    measured as (
+        select *,
+            case when n_words > 0 then n_symbols * 10000 // n_words else 0 end as symbol_share,
+            case when n_lines > 0 then n_dup_lines * 10000 // n_lines else 0 end as dup_line_share,
+            case when n_words > 0 then n_repeat_words * 10000 // n_words else 0 end as repeat_share,
+            case when word_chars > 0 then n_capitals * 10000 // word_chars else 0 end as capital_share,
+            case when n_words > 0 then word_chars * 100 // n_words else 0 end as word_length
+        from counts),
+    sketch as (
+        select lang, source, measure, (value >> {drop}) << {drop} as bucket, count(*) as n
+        from ({union}) group by all),
+    {limits("fine", "lang, source")},
+    {limits("coarse", "lang")},
+    chosen as (
+        select f.lang, f.source, f.measure,
+            case when f.docs >= {quality_rules.LEAST_DOCS} then f.low else c.low end as low,
+            case when f.docs >= {quality_rules.LEAST_DOCS} then f.high else c.high end as high
+        from fine f join coarse c on f.lang is not distinct from c.lang and f.measure = c.measure),
+    judged as (
+        select d.doc_id, bool_or(coalesce({fails}, false)) as beyond
+        from measured d left join chosen l
+            on d.lang is not distinct from l.lang and d.source is not distinct from l.source
+        group by d.doc_id)
+    select d.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
+        n_capitals, symbol_share, dup_line_share, repeat_share, capital_share, word_length,
+        n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed,
+        not (n_words < 50 or n_repeat_words * 100 > n_words * 50) and not beyond as kept
+    from measured d join judged using (doc_id)"""
+
+
+@query("op7_quality_rules", _quality_sql())
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
