@@ -59,7 +59,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
 
 
 class Tokens:
-    """Words of a batch of texts: ``codes`` into ``vocabulary``, text ``i`` at
+    """Words of a batch of texts (``flat``): ``codes`` into ``vocabulary``, text ``i`` at
     ``codes[offsets[i]:offsets[i + 1]]``. Null texts have no words."""
 
     def __init__(self, texts: pa.Array, lower: bool = False) -> None:
@@ -75,6 +75,7 @@ class Tokens:
             keep = full.to_numpy(zero_copy_only=False)
             flat, owner = flat.filter(full), owner[keep]
         coded = flat.dictionary_encode()
+        self.flat = flat
         self.vocabulary = coded.dictionary
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.owner = owner
@@ -88,6 +89,12 @@ class Tokens:
         return np.fromiter(found, np.uint64, len(self.vocabulary))
 
 
+def joined(flat: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """Words of each run ``flat[offsets[i]:offsets[i + 1]]``, with one blank between them."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.cast(pa.large_string()))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit integers (finaliser of a public hash function)."""
     values = values.astype(np.uint64, copy=True)

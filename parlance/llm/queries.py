@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import common, mixing, quality_rules, token_counts, url_filter
+from parlance.llm import common, mixing, quality_rules, substring_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,3 +156,30 @@ def _quality_sql() -> str:
 @query("op7_quality_rules", _quality_sql())
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_substring_dedup",
+    f"""
+    with split as (select doc_id, {WORDS_SQL} as w from documents),
+    places as (select doc_id, unnest(range(1, len(w) - 48)) as p from split where len(w) >= 50),
+    windows as (
+        select p.doc_id, p, hash(array_to_string(w[p:p + 49], ' ')) as h,
+            md5(array_to_string(w[p:p + 49], ' ')) as m
+        from places p join split using (doc_id)),
+    firsts as (
+        select doc_id, p, min(doc_id) over (partition by h, m) as first from windows),
+    gone as (
+        select distinct doc_id, unnest(range(p, p + 50)) as q from firsts where first < doc_id),
+    tokens as (select doc_id, unnest(range(1, len(w) + 1)) as q, unnest(w) as word from split),
+    kept as (
+        select doc_id, count(*) as n, string_agg(word, ' ' order by q) as kept_text
+        from tokens anti join gone using (doc_id, q) group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words,
+        cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+        sha256(coalesce(kept_text, '')) as kept_sha256
+    from split left join kept using (doc_id)""",
+)
+def op8_substring_dedup(spark, sf_dir):
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
