@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import common, mixing, quality_rules, substring_dedup, token_counts, url_filter
+from parlance.llm import common, lm_scoring, mixing, quality_rules, substring_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,3 +183,8 @@ def op7_quality_rules(spark, sf_dir):
 def op8_substring_dedup(spark, sf_dir):
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
