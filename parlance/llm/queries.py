@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import common, lm_scoring, mixing, quality_rules, substring_dedup, token_counts, url_filter
+from parlance.llm import (
+    common, embedding_dedup, lm_scoring, mixing, quality_rules, substring_dedup, token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -188,3 +191,29 @@ def op8_substring_dedup(spark, sf_dir):
 @query("op4_lm_scoring")
 def op4_lm_scoring(spark, sf_dir):
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_embedding_dedup",
+    """
+    with recursive good as (
+        select vec_id, label, cast(embedding as double[]) as v from embeddings
+        where label is not null and embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (
+        select a.vec_id as a, b.vec_id as b from good a join good b
+            on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+            and list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach as (
+        select a as vec_id, a as root from links
+        union select l.b, r.root from reach r join links l on l.a = r.vec_id),
+    roots as (select vec_id, min(root) as root from reach group by vec_id)
+    select e.vec_id, coalesce(n, 0) as n_links, coalesce(root, e.vec_id) as component_id,
+        e.vec_id = coalesce(root, e.vec_id) as kept
+    from embeddings e
+    left join roots r on e.vec_id = r.vec_id
+    left join (select a, count(*) as n from links group by a) l on e.vec_id = l.a""",
+)
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
