@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    common, embedding_dedup, lm_scoring, mixing, quality_rules, substring_dedup, token_counts,
-    url_filter,
+    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, quality_rules,
+    substring_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,3 +217,9 @@ def op4_lm_scoring(spark, sf_dir):
 )
 def op6_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_minhash_dedup")
+def op5_minhash_dedup(spark, sf_dir):
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
