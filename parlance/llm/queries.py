@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, quality_rules,
-    substring_dedup, token_counts, url_filter,
+    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, quality_classifier,
+    quality_rules, substring_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,3 +223,9 @@ def op6_embedding_dedup(spark, sf_dir):
 def op5_minhash_dedup(spark, sf_dir):
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "kept")
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), trusted).drop("row_key")
