@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, quality_classifier,
+    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, pieces, quality_classifier,
     quality_rules, substring_dedup, token_counts, url_filter,
 )
 
@@ -229,3 +229,14 @@ def op5_minhash_dedup(spark, sf_dir):
 def op2_quality_classifier(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_classifier.classify(table(spark, sf_dir, "documents"), trusted).drop("row_key")
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark, sf_dir):
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, model).withColumn("n_pieces", F.size("ids").cast("long"))
+    encoded = encoded.withColumn("ids_hash", F.xxhash64("ids"))
+    decoded = pieces.decode(encoded, model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return decoded.select("doc_id", "n_pieces", "ids_hash", same.alias("round_trip"))
