@@ -215,13 +215,14 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = 50,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), untouched: bool = False,
 ) -> DataFrame:
     """One row per input row: id, the columns ``keep``, n_words, n_removed, kept_text.
 
     Every word covered by a window of ``window`` consecutive words whose words also stand, in
     this order, in a document with a smaller id is removed; kept_text joins the others by one
-    blank. Windows are judged on the input. Repeats inside one document stay.
+    blank. Windows are judged on the input. Repeats inside one document stay. With ``untouched``,
+    texts of which nothing is removed come back as they are, white space and null included.
 
     Null texts have no words. A null id counts as larger than any other, and equal ids (null
     ones too) as neither smaller nor larger. Rows equal in id and text get equal results. Texts
@@ -250,10 +251,13 @@ def remove_repeats(
             removed = np.bincount(tokens.owner[gone], minlength=len(batch))
             left = np.concatenate([[0], np.cumsum(tokens.counts - removed)])
             kept = joined(tokens.flat.filter(pa.array(~gone)), left)
+            kept = kept.cast(pa.string())
+            if untouched:
+                kept = pc.if_else(pa.array(removed == 0), batch.column("text").cast(pa.string()), kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(n) for n in names], pa.array(tokens.counts),
-                    pa.array(removed.astype(np.int64)), kept.cast(pa.string()),
+                    pa.array(removed.astype(np.int64)), kept,
                 ],
                 names=[*names, "n_words", "n_removed", "kept_text"],
             )
