@@ -64,14 +64,15 @@ def targets(totals: DataFrame, budget_share: float, most: float) -> DataFrame:
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (positive, distinct) to take so that their total is as
-    near to ``budget`` as this method gets: equal shares, longest first down to EXACT_BUDGET,
-    then the exact bounded knapsack."""
+    near to ``budget`` as this method gets: equal shares, then longest first, down to EXACT_BUDGET,
+    then the exact bounded knapsack. Budgets within EXACT_BUDGET are met as nearly as possible."""
     total = int(lengths @ counts)
     if total == 0 or budget <= 0:
         return np.zeros(len(counts), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    shared = max(0, budget - EXACT_BUDGET)
+    taken = np.array([int(c) * shared // total for c in counts.tolist()], np.int64)
     left = budget - int(lengths @ taken)
     order = np.argsort(-lengths)
     for i in order:
@@ -83,7 +84,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     free = [i for i in order[::-1] if taken[i] < counts[i]]
     if not free or left <= 0:
         return taken
-    span = left + int(lengths[free[0]])  # one document more than fits may come nearer
+    span = 2 * left  # a sum beyond the budget may be nearer, but none beyond twice it
     first = np.full(span + 1, -1, np.int64)  # the step that first reached a sum
     reached = np.zeros(span + 1, bool)
     reached[0] = True
