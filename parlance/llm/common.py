@@ -17,7 +17,7 @@ from parlance.session import work_dir
 #: White space of the contracts: blank and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Text that one step of a Python task holds at once.
-STEP_BYTES = 24 << 20
+STEP_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
