@@ -104,10 +104,9 @@ def extract_price(text: Column) -> Column:
 
 
 def extract_vehicle(
-    text: Column, brand_models: dict[str, Sequence[str]] = fv.BRAND_MODELS
+    text: Column, brand_of: dict[str, str] = fv.MODEL_BRANDS
 ) -> Column:
     """Struct of brand, model and year: leftmost known model and first year 1980-2029."""
-    brand_of = {model: brand for brand, models in brand_models.items() for model in models}
     any_model = "|".join(re.escape(model) for model in brand_of)
     brands = F.create_map(*[F.lit(x) for x in chain.from_iterable(brand_of.items())])
     model = find_first(F.lower(text), any_model)

@@ -29,21 +29,60 @@ COMPETITORS = (
 )
 
 # Car models per brand
-BRAND_MODELS = {
-    "chevrolet": (
-        "onix", "prisma", "cruze", "tracker", "spin", "s10", "celta", "cobalt", "montana",
-    ),
-    "volkswagen": (
-        "gol", "polo", "virtus", "t-cross", "nivus", "saveiro", "fox", "voyage", "up",
-    ),
-    "honda": ("civic", "hr-v", "city", "fit", "wr-v"),
-    "toyota": ("corolla", "yaris", "hilux", "etios", "sw4", "rav4"),
-    "hyundai": ("hb20", "creta", "tucson"),
-    "nissan": ("kicks", "versa", "march"),
-    "jeep": ("renegade", "compass", "commander"),
-    "fiat": ("argo", "cronos", "mobi", "uno", "palio", "toro", "strada", "pulse"),
-    "ford": ("fiesta", "ka", "ecosport", "ranger"),
-    "renault": ("kwid", "sandero", "duster"),
+MODEL_BRANDS = {
+    "onix": "chevrolet",
+    "prisma": "chevrolet",
+    "cruze": "chevrolet",
+    "tracker": "chevrolet",
+    "spin": "chevrolet",
+    "s10": "chevrolet",
+    "celta": "chevrolet",
+    "cobalt": "chevrolet",
+    "montana": "chevrolet",
+    "gol": "volkswagen",
+    "polo": "volkswagen",
+    "virtus": "volkswagen",
+    "t-cross": "volkswagen",
+    "nivus": "volkswagen",
+    "saveiro": "volkswagen",
+    "fox": "volkswagen",
+    "voyage": "volkswagen",
+    "up": "volkswagen",
+    "civic": "honda",
+    "hr-v": "honda",
+    "city": "honda",
+    "fit": "honda",
+    "wr-v": "honda",
+    "corolla": "toyota",
+    "yaris": "toyota",
+    "hilux": "toyota",
+    "etios": "toyota",
+    "sw4": "toyota",
+    "rav4": "toyota",
+    "hb20": "hyundai",
+    "creta": "hyundai",
+    "tucson": "hyundai",
+    "kicks": "nissan",
+    "versa": "nissan",
+    "march": "nissan",
+    "renegade": "jeep",
+    "compass": "jeep",
+    "commander": "jeep",
+    "argo": "fiat",
+    "cronos": "fiat",
+    "mobi": "fiat",
+    "uno": "fiat",
+    "palio": "fiat",
+    "toro": "fiat",
+    "strada": "fiat",
+    "pulse": "fiat",
+    "fiesta": "ford",
+    "ka": "ford",
+    "ecosport": "ford",
+    "ranger": "ford",
+    "kwid": "renault",
+    "sandero": "renault",
+    "duster": "renault",
 }
 
 # Redaction rules, as (label, pattern), applied in this order
@@ -115,3 +154,13 @@ GHOSTED = "ghosting"
 LOST = ("perdido_preco", "perdido_concorrente")
 OPEN_DEAL = ("em_negociacao", "proposta_enviada")
 GAVE_UP = "desistencia_lead"
+
+# Lead score, fixed values: column -> (added, factor, most points)
+SCORE_LINEAR = {"inbound_count": (0, 3, 30), "sentiment_score": (1, 10, 20)}
+# Points for what the lead has given, and for a message in office hours
+SCORE_FLAGS = {"has_cpf": 8, "has_email": 6, "has_plate": 6}
+# Points for values below or above a limit, the first that holds
+SCORE_BELOW = {"avg_response_time_sec": ((60, 15), (180, 10), (600, 5))}
+SCORE_ABOVE = {"business_hours_messages": ((0, 5),), "total_messages": ((15, 10), (8, 5))}
+SCORE_TIERS = ((70, "hot"), (40, "warm"))
+LOWEST_TIER = "cold"

@@ -187,9 +187,11 @@ def redact_secrets(text: Column) -> Column:
     return text
 
 
-def redact_error(text: Column, size: int = 500) -> Column:
-    """Redacted first, cut afterwards, so that no half of a value survives the cut."""
-    return F.substring(redact_rules(text), 1, size)
+def redact_error(text: Column, size: int | None = None) -> Column:
+    """The whole text redacted. With ``size`` it is cut afterwards, so that no half of a value
+    survives the cut."""
+    redacted = redact_rules(text)
+    return redacted if size is None else F.substring(redacted, 1, size)
 
 
 def redact_nested(df: DataFrame) -> DataFrame:

@@ -140,25 +140,36 @@ def rejected_feedback(feedback: DataFrame) -> DataFrame:
     return feedback.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def within(since: Column, as_of: Column) -> Column:
+    """True for times after ``since`` and up to ``as_of``: what came later is not known yet."""
+    return (F.col("timestamp") > since) & (F.col("timestamp") <= as_of)
+
+
+def from_on(since: Column, as_of: Column) -> Column:
+    """The same with ``since`` itself included."""
+    return (F.col("timestamp") >= since) & (F.col("timestamp") <= as_of)
+
+
 def successes_since(diagnostics: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    recent = F.col("timestamp") > as_of - F.make_interval(hours=F.lit(hours))
+    recent = within(as_of - F.make_interval(hours=F.lit(hours)), as_of)
     return diagnostics.filter((F.col("status") == SUCCESS) & recent)
 
 
 def recent_successes(
-    diagnostics: DataFrame, as_of: Column, hours: int = 24, newest: int = 10
+    diagnostics: DataFrame, as_of: Column, hours: int = 24, newest: int | None = None
 ) -> DataFrame:
-    """Newest successful diagnoses of each error in the last hours."""
+    """Successful diagnoses of the last hours; with ``newest``, only so many of each error."""
+    recent = successes_since(diagnostics, as_of, hours).select(
+        "id", "timestamp", "job_id", "job_name", "run_id", "failed_task", "error_hash",
+        "pr_url", "pr_number", "branch_name", "confidence", "status",
+    )
+    if newest is None:
+        return recent
     latest_first = Window.partitionBy("error_hash").orderBy(
         F.col("timestamp").desc(), F.col("id").desc()
     )
     return (
-        successes_since(diagnostics, as_of, hours)
-        .select(
-            "id", "timestamp", "job_id", "job_name", "run_id", "failed_task", "error_hash",
-            "pr_url", "pr_number", "branch_name", "confidence", "status",
-        )
-        .withColumn("_place", F.row_number().over(latest_first))
+        recent.withColumn("_place", F.row_number().over(latest_first))
         .filter(F.col("_place") <= newest)
         .drop("_place")
     )
@@ -211,11 +222,11 @@ def duplicate_decision(
 
 
 def days_back(as_of: Column, days: int) -> Column:
-    return F.col("timestamp") >= F.date_sub(F.to_date(as_of), days)
+    return from_on(F.date_sub(F.to_date(as_of), days).cast("timestamp"), as_of)
 
 
 def hours_back(as_of: Column, hours: int) -> Column:
-    return F.col("timestamp") >= as_of - F.make_interval(hours=F.lit(hours))
+    return from_on(as_of - F.make_interval(hours=F.lit(hours)), as_of)
 
 
 def share_of_all(count: str) -> Column:
@@ -279,17 +290,19 @@ def confidence_per_task(diag: DataFrame) -> DataFrame:
 
 
 def frequent_errors(diag: DataFrame, top: int = 10) -> DataFrame:
-    """Panel 5: most frequent errors, with distinct runs and first and last time."""
+    """Panel 5: most frequent errors by hash, with the whole first message, distinct runs, and
+    first and last time."""
     return (
         diag.filter(F.col("error_hash").isNotNull())
-        .groupBy("error_hash", F.substring("error_message", 1, 120).alias("erro_resumo"))
+        .groupBy("error_hash")
         .agg(
+            F.min_by("error_message", F.struct("timestamp", "id")).alias("erro_resumo"),
             F.count(F.lit(1)).alias("ocorrencias"),
             F.countDistinct("run_id").alias("runs_distintos"),
             F.min("timestamp").alias("primeira_ocorrencia"),
             F.max("timestamp").alias("ultima_ocorrencia"),
         )
-        .orderBy(F.col("ocorrencias").desc(), "error_hash", "erro_resumo")
+        .orderBy(F.col("ocorrencias").desc(), "error_hash")
         .limit(top)
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import rate
-from parlance.operators.messages import message_order
+from parlance.operators.messages import last_order
 from parlance.operators.ranking import running_totals
 
 
@@ -31,7 +31,7 @@ def last_outbound_of_ghosting(messages: DataFrame) -> DataFrame:
         (F.col("conversation_outcome") == fv.GHOSTED) & (F.col("direction") == "outbound")
     )
     return ghosted.groupBy("conversation_id").agg(
-        F.max_by("message_body", message_order()).alias("fatal_message")
+        F.max_by("message_body", last_order()).alias("fatal_message")
     )
 
 

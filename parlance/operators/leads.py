@@ -20,7 +20,6 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "competitors": ex.extract_competitor,
     "prices": lambda body: ex.extract_price(body).cast("array<string>"),
 }
-MAX_SETS_PER_ROW = 100_000
 
 
 def extract_entities(messages: DataFrame) -> DataFrame:
@@ -135,37 +134,17 @@ def signals_from_profile(leads: DataFrame) -> DataFrame:
 
 
 def leads_profile(
-    messages: DataFrame,
-    key: mk.HashKey,
-    distinct: bool = False,
-    strict: bool = False,
-    max_sets: int = MAX_SETS_PER_ROW,
+    messages: DataFrame, key: mk.HashKey, distinct: bool = False, strict: bool = False
 ) -> DataFrame:
     """Masked entities per conversation with the name and phone of its first message.
 
     Entities repeat if they stand in different arrays of one conversation, unless ``distinct``.
-    ``strict`` also masks the phone and post codes. A conversation with more than ``max_sets``
-    distinct arrays fills several rows, numbered by ``part`` (0 for all others), so that no row
-    has to hold an unbounded array; name and phone stand in part 0.
+    ``strict`` also masks the phone and post codes. One row per conversation at every size: a
+    row holds the distinct arrays of its conversation, which ``entity_sets`` has as rows.
     """
     sets = entity_sets(messages)
-    oversized = (
-        sets.groupBy(F.col("conversation_id").alias("_big"))
-        .agg(F.ceil(F.count(F.lit(1)) / max_sets).alias("parts"))
-        .filter(F.col("parts") > 1)
-    )
-    placed = sets.join(
-        oversized, F.col("conversation_id").eqNullSafe(F.col("_big")), "left"
-    ).select(
-        "conversation_id",
-        F.coalesce(F.pmod(F.xxhash64("kind", "found"), "parts"), F.lit(0))
-        .cast("int")
-        .alias("part"),
-        "kind",
-        "found",
-    )
 
-    # first message of each conversation, as one more kind of row of part 0
+    # first message of each conversation, as one more kind of row
     people = (
         inbound_text(messages)
         .groupBy("conversation_id")
@@ -174,7 +153,6 @@ def leads_profile(
                 F.struct("sender_name_normalized", "sender_phone"), message_order()
             ).alias("first")
         )
-        .withColumn("part", F.lit(0))
     )
 
     def merged(kind: str) -> Column:
@@ -183,8 +161,8 @@ def leads_profile(
         return F.array_sort(values)
 
     profile = (
-        placed.unionByName(people, allowMissingColumns=True)
-        .groupBy("conversation_id", "part")
+        sets.unionByName(people, allowMissingColumns=True)
+        .groupBy("conversation_id")
         .agg(*[merged(kind).alias(kind) for kind in EXTRACTORS], F.max("first").alias("first"))
         .withColumns(
             {
@@ -195,7 +173,6 @@ def leads_profile(
     )
     shown = key.attach(profile).select(
         "conversation_id",
-        "part",
         (mk.mask_array(F.col("ceps"), lambda c: F.regexp_replace(c, r"\d{3}$", "***"))
          if strict else F.col("ceps")).alias("ceps"),
         F.col("competitors").alias("competitors_mentioned"),

@@ -1,7 +1,8 @@
 """Message level: dedup, cleaning, parsing, filters.
 
 Order inside a conversation is always (timestamp, message_id), so that equal times do not leave
-a result to chance.
+a result to chance. Messages without a readable time are neither first nor last while there is
+one with a time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ METADATA_SCHEMA = (
 
 
 def message_order() -> Column:
+    """For ``min_by``: the first message, those without a time behind all others."""
+    return F.struct(F.col("timestamp").isNull().alias("untimed"), "timestamp", "message_id")
+
+
+def last_order() -> Column:
+    """For ``max_by``: the last message, those without a time before all others."""
     return F.struct("timestamp", "message_id")
 
 

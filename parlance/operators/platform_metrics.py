@@ -9,6 +9,7 @@ from parlance.functions.intent import classify_intent, estimate_tokens
 from parlance.operators.conversations import count_where
 
 COST_PER_DIAGNOSIS_USD = 0.25
+LOG_MARK = "Observer"
 FIX_BRANCH_PREFIX = "fix/agent-auto-"
 
 
@@ -38,9 +39,11 @@ def pipeline_metrics(pipelines: DataFrame) -> DataFrame:
 def channel_metrics(channels: DataFrame) -> DataFrame:
     """Channel instances per company: total, connected, and a map from channel to number.
 
-    Counted per channel first, so the map of a company holds one entry per channel.
+    Counted per channel first, so the map of a company holds one entry per channel. Instances
+    without a channel stand under "unknown".
     """
-    per_channel = channels.groupBy("company_id", "channel").agg(
+    channel = F.coalesce("channel", F.lit("unknown")).alias("channel")
+    per_channel = channels.groupBy("company_id", channel).agg(
         F.count(F.lit(1)).alias("instances"),
         count_where(F.col("state") == "connected").alias("connected"),
     )
@@ -52,17 +55,23 @@ def channel_metrics(channels: DataFrame) -> DataFrame:
     )
 
 
-def diagnosis_metrics(logs: DataFrame, branches: DataFrame) -> DataFrame:
-    """Diagnoses from the deployment log, fix branches, the larger of both, and estimated cost."""
+def diagnosis_metrics(
+    logs: DataFrame,
+    branches: DataFrame,
+    log_mark: str = LOG_MARK,
+    branch_prefix: str = FIX_BRANCH_PREFIX,
+) -> DataFrame:
+    """Diagnoses from the deployment log (messages with ``log_mark``), fix branches, the larger of
+    both, and estimated cost."""
     logged = logs.select(
         F.coalesce(
-            F.col("message").contains("Observer") & (F.col("level") == "success"), F.lit(False)
+            F.col("message").contains(log_mark) & (F.col("level") == "success"), F.lit(False)
         ).alias("is_log"),
         F.lit(False).alias("is_fix"),
     )
     fixes = branches.select(
         F.lit(False).alias("is_log"),
-        F.coalesce(F.col("branch").startswith(FIX_BRANCH_PREFIX), F.lit(False)).alias("is_fix"),
+        F.coalesce(F.col("branch").startswith(branch_prefix), F.lit(False)).alias("is_fix"),
     )
     counts = logged.unionAll(fixes).agg(
         count_where(F.col("is_log")).alias("diagnoses_logged"),

@@ -28,7 +28,9 @@ def early_features(messages: DataFrame, conversations: DataFrame, k: int = 3) ->
 
     The row-number filter keeps k rows per conversation and task before the shuffle.
     """
-    first = Window.partitionBy("conversation_id").orderBy("timestamp", "message_id")
+    first = Window.partitionBy("conversation_id").orderBy(
+        F.col("timestamp").asc_nulls_last(), "message_id"
+    )
     early = (
         messages.select(
             "conversation_id", "timestamp", "message_id", "message_body", "direction",

@@ -17,8 +17,8 @@ from parlance.functions.regex import unicode
 
 GOLD_TABLES = (
     "agent_performance", "campaign_geo", "campaign_roi", "churn_reengagement",
-    "competitor_intel", "email_providers", "fcr_summary", "first_contact_resolution",
-    "lead_scoring", "negotiation_by_outcome", "negotiation_complexity", "persona_summary",
+    "competitor_intel", "email_providers", "fatal_messages", "fcr_summary",
+    "first_contact_resolution", "funil_vendas", "lead_scoring", "negotiation_by_outcome", "negotiation_complexity", "persona_summary",
     "personas", "sentiment", "temporal_analysis",
 )
 MASKED_COLUMNS = ("cpf_masked", "email_masked", "phone_masked", "plate_masked")
@@ -65,6 +65,8 @@ def run_checks(
 ) -> DataFrame:
     """One row per check: check, layer, severity, value, threshold, passed.
 
+    ``passed`` is NULL for a check that could not be measured, such as a range over no rows.
+
     ``tables`` maps ``bronze``, ``messages``, ``leads_profile``, ``conversations`` and the Gold
     table names to DataFrames; one that is absent or None fails its existence check.
     ``expected_columns`` flags columns beyond the listed ones.
@@ -100,7 +102,7 @@ def run_checks(
             F.lit(severity).alias("severity"),
             value.cast("double").alias("value"),
             F.lit(threshold).cast("double").alias("threshold"),
-            F.coalesce(passed, F.lit(True)).alias("passed"),
+            passed.alias("passed"),
         )
 
     def constant(value: bool) -> Column:
@@ -181,16 +183,27 @@ def zero_denominators(df: DataFrame, column: str) -> DataFrame:
 
 
 def verdict(checks: DataFrame) -> DataFrame:
-    """PASS without a failed error check, else FAIL, with the failed checks."""
+    """PASS if every error check passed, else FAIL, with the failed checks by severity and the
+    checks that could not be measured; an unmeasured error check fails the verdict."""
 
     def failed(severity: str) -> Column:
         names = F.when(~F.col("passed") & (F.col("severity") == severity), F.col("check"))
         return F.array_sort(F.collect_list(names))
 
-    return checks.agg(failed("error").alias("errors"), failed("warning").alias("warnings")).select(
-        F.when(F.size("errors") == 0, "PASS").otherwise("FAIL").alias("status"),
+    unmeasured = F.when(F.col("passed").isNull(), F.col("check"))
+    open_errors = F.count_if(F.col("passed").isNull() & (F.col("severity") == "error"))
+    return checks.agg(
+        failed("error").alias("errors"),
+        failed("warning").alias("warnings"),
+        F.array_sort(F.collect_list(unmeasured)).alias("unmeasured"),
+        open_errors.alias("_open"),
+    ).select(
+        F.when((F.size("errors") == 0) & (F.col("_open") == 0), "PASS").otherwise("FAIL").alias(
+            "status"
+        ),
         "errors",
         "warnings",
+        "unmeasured",
     )
 
 
@@ -198,4 +211,5 @@ def require_pass(checks: DataFrame) -> None:
     """Raises ValueError with the failed error checks."""
     result = verdict(checks).first()
     if result["status"] != "PASS":
-        raise ValueError(f"{len(result['errors'])} failed checks: {', '.join(result['errors'])}")
+        names = [*result["errors"], *result["unmeasured"]]
+        raise ValueError(f"{len(names)} failed or unmeasured checks: {', '.join(names)}")

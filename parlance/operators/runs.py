@@ -64,28 +64,29 @@ def failure_records(runs: DataFrame) -> DataFrame:
 
 
 def recent_failures(
-    runs: DataFrame, as_of: Column, hours: int = 1, newest: int = 5
+    runs: DataFrame, as_of: Column, hours: int = 1, newest: int | None = None
 ) -> DataFrame:
-    """Failure records of the newest runs per job in the last hours that have a failed task."""
-    since = F.unix_millis(as_of) - hours * 3_600_000
+    """Failure records of the runs of the last hours that have a failed task; with ``newest``,
+    only so many failed runs of each job."""
+    now = F.unix_millis(as_of)
+    started = F.col("start_time").between(now - hours * 3_600_000, now)
+    # WITH_FAILURES holds no FAILED
+    failed = runs.filter(started & F.col("result_state").rlike("FAILED|WITH_FAILURES"))
+    failed = failed.filter(F.size(failed_tasks(F.col("tasks"))) > 0)
+    if newest is None:
+        return failure_records(failed)
     latest_first = Window.partitionBy("job_id").orderBy(
         F.col("start_time").desc(), F.col("run_id").desc()
     )
-    newest_runs = (
-        runs.filter(F.col("start_time") >= since)
-        .withColumn("_place", F.row_number().over(latest_first))
-        .filter(F.col("_place") <= newest)
-        .drop("_place")
-    )
-    # WITH_FAILURES holds no FAILED
-    failed = newest_runs.filter(F.col("result_state").rlike("FAILED|WITH_FAILURES"))
-    return failure_records(failed).filter(F.size("failed_tasks") > 0)
+    placed = failed.withColumn("_place", F.row_number().over(latest_first))
+    return failure_records(placed.filter(F.col("_place") <= newest).drop("_place"))
 
 
 def pipeline_summary(runs: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Latest run per job: state, start in Brasília time, seconds, state per task.
 
-    Jobs listed in ``jobs`` (job_id) that never ran show NO_RUNS.
+    Jobs listed in ``jobs`` (job_id) that never ran show NO_RUNS. Of a task that a run lists
+    several times (retries) the last entry counts; tasks without a key stand under "unknown".
     """
     latest = (
         runs.groupBy("job_id")
@@ -104,7 +105,18 @@ def pipeline_summary(runs: DataFrame, jobs: DataFrame | None = None) -> DataFram
     )
     states = F.transform(
         F.col("run.tasks"),
-        lambda t: F.struct(t["task_key"], F.coalesce(t["result_state"], F.lit("UNKNOWN"))),
+        lambda t: F.struct(
+            F.coalesce(t["task_key"], F.lit("unknown")).alias("key"),
+            F.coalesce(t["result_state"], F.lit("UNKNOWN")).alias("state"),
+        ),
+    )
+    # an entry goes if a later one has its key
+    last = F.filter(
+        states,
+        lambda t, i: ~F.exists(
+            F.slice(states, i + 2, F.greatest(F.size(states), F.lit(1))),
+            lambda later: later["key"] == t["key"],
+        ),
     )
     return latest.select(
         "job_id",
@@ -115,7 +127,7 @@ def pipeline_summary(runs: DataFrame, jobs: DataFrame | None = None) -> DataFram
             F.date_format(started, "yyyy-MM-dd HH:mm:ss"), F.lit(" (horario de Brasilia)")
         ).alias("last_run_at"),
         (F.coalesce(F.col("run.run_duration"), F.lit(0)) / 1000).alias("duration_sec"),
-        F.coalesce(F.map_from_entries(states), F.create_map().cast("map<string,string>")).alias(
+        F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>")).alias(
             "tasks"
         ),
     )

@@ -14,7 +14,6 @@ from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import count_where
 from parlance.operators.messages import has_inbound_text, inbound_text, message_order
 
-MODEL_TEXT_SIZE = 512
 MODEL_LABELS = {"POS": "positivo", "NEG": "negativo", "NEU": "neutro"}
 
 
@@ -95,60 +94,66 @@ def keyword_sentiment(
     )
 
 
-def score_messages(
-    messages: DataFrame,
-    model_factory: Callable[[], Callable[[str], dict[str, float]]],
-    text_size: int | None = MODEL_TEXT_SIZE,
-) -> DataFrame:
-    """Adds the model's score and label to each inbound message.
+Model = Callable[[list[str]], list[dict[str, float]]]
+
 
-    ``model_factory`` builds, once per Python worker task, a function from text to the
-    probabilities of POS, NEG and NEU. Texts under three characters and texts the model fails on
-    count as neutral. A model that reads no more than ``text_size`` characters gets the first of
-    them; with None it gets the whole text.
+def score_messages(messages: DataFrame, model_factory: Callable[[], Model]) -> DataFrame:
+    """Adds the model's score and label to each inbound message, and whether the model failed.
+
+    ``model_factory`` builds, once per Python worker task, a function from a list of whole texts
+    to the probabilities of POS, NEG and NEU of each. A model that reads only part of a text cuts
+    it itself. Texts under three characters are neutral and not shown to the model. If the model
+    fails on a batch, its texts are tried one by one; those it fails on are neutral and marked.
     """
 
-    def judge(model: Callable[[str], dict[str, float]], text: str | None) -> tuple[float, str]:
-        if not text or len(text.strip()) < 3:
-            return 0.0, "neutro"
+    def attempt(model: Model, texts: list[str]) -> list[dict[str, float] | None]:
+        if not texts:
+            return []
         try:
-            odds = model(text[:text_size])
-            score = round(odds.get("POS", 0.0) - odds.get("NEG", 0.0), 3)
-            return score, MODEL_LABELS.get(max(odds, key=odds.get), "neutro")
+            return list(model(texts))
         except Exception:  # a text the model cannot read must not fail the job
-            return 0.0, "neutro"
+            return [None] if len(texts) == 1 else [attempt(model, [t])[0] for t in texts]
+
+    def judge(odds: dict[str, float] | None) -> tuple[float, str, bool]:
+        if odds is None:
+            return 0.0, "neutro", True
+        score = round(odds.get("POS", 0.0) - odds.get("NEG", 0.0), 3)
+        return score, MODEL_LABELS.get(max(odds, key=odds.get), "neutro"), False
 
-    @F.pandas_udf("score double, label string")
+    @F.pandas_udf("score double, label string, failed boolean")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for texts in batches:
-            yield pd.DataFrame([judge(model, t) for t in texts], columns=["score", "label"])
+            rows = [(0.0, "neutro", False)] * len(texts)
+            shown = [i for i, t in enumerate(texts) if t and len(t.strip()) >= 3]
+            for i, odds in zip(shown, attempt(model, [texts.iloc[i] for i in shown])):
+                rows[i] = judge(odds)
+            yield pd.DataFrame(rows, columns=["score", "label", "failed"])
 
     scored = inbound_text(messages).withColumn("_judged", judged("message_body"))
     return scored.withColumns(
         {
             "ml_sentiment_score": F.col("_judged.score"),
             "ml_sentiment_label": F.col("_judged.label"),
+            "ml_failed": F.col("_judged.failed"),
         }
     ).drop("_judged")
 
 
 def model_sentiment(
-    messages: DataFrame,
-    model_factory: Callable[[], Callable[[str], dict[str, float]]],
-    model_version: str,
-    text_size: int | None = MODEL_TEXT_SIZE,
+    messages: DataFrame, model_factory: Callable[[], Model], model_version: str
 ) -> DataFrame:
-    """Average model score, label counts and label per conversation."""
+    """Average model score, label counts, texts the model failed on, and label per conversation."""
     label = F.col("ml_sentiment_label")
     per_conversation = (
-        score_messages(messages, model_factory, text_size)
+        score_messages(messages, model_factory)
         .groupBy("conversation_id")
         .agg(
             F.avg("ml_sentiment_score").alias("sentiment_score"),
             F.count(F.lit(1)).alias("inbound_messages"),
             count_where(label == "positivo").alias("positive_count"),
             count_where(label == "negativo").alias("negative_count"),
+            count_where(F.col("ml_failed")).alias("failed_count"),
             first_outcome().alias("outcome"),
         )
     )

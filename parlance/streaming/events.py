@@ -38,10 +38,17 @@ def new_messages(events: DataFrame) -> DataFrame:
 
 
 def dedup_stream(
-    events: DataFrame, key: str = "id", time: str = "received_at", ttl: str = "24 hours"
+    events: DataFrame, key: str = "id", ttl: str = "24 hours"
 ) -> DataFrame:
-    """Each id once. Repeats within ``ttl`` are always dropped; later ones may come through."""
-    return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+    """Each id once. Repeats that arrive within ``ttl`` are always dropped; later ones may come
+    through. What counts is the time of arrival here, not the event's own time: an event that
+    comes days late, as after an outage, is new and stays."""
+    arrived = events.withColumn("_arrived_at", F.current_timestamp())
+    return (
+        arrived.withWatermark("_arrived_at", ttl)
+        .dropDuplicatesWithinWatermark([key])
+        .drop("_arrived_at")
+    )
 
 
 def since_start(events: DataFrame, start: Column) -> DataFrame:
@@ -90,6 +97,17 @@ def filter_events(events: DataFrame, start: Column) -> DataFrame:
     return lead_messages(since_start(new_messages(events), start))
 
 
+def closed_by(stream: DataFrame, markers: DataFrame) -> DataFrame:
+    """A stream together with end markers, for a source that has ended or pauses.
+
+    Windows and sessions are given out once the newest time lies behind them by the allowed
+    lateness; the last ones of a source stay open for ever. A marker is a row of a later time and
+    an otherwise unused key, added once the source is used up, as later rows would be late. It
+    closes all before it and is itself not given out.
+    """
+    return stream.unionByName(markers)
+
+
 def repeated_errors(
     diagnostics: DataFrame,
     time: str = "timestamp",

@@ -82,24 +82,24 @@ def test_profile_counts_an_entity_once_per_array(spark):
     df = talk(spark, "", "a@x.com", "a@x.com", "a@x.com b@x.com")
     row = leads.leads_profile(df, key).first()
     assert row["email_masked"] == ["*@x.com", "*@x.com", "*@x.com"]
-    assert (row["lead_name"], row["lead_phone"], row["part"]) == ("n1", "p1", 0)
+    assert (row["lead_name"], row["lead_phone"]) == ("n1", "p1")
     assert row["cpf_hash"] == [] and row["prices_mentioned"] == []
     assert len(leads.leads_profile(df, key, distinct=True).first()["email_masked"]) == 2
     assert leads.entity_mentions(df, "emails").count() == 3
     assert leads.entity_mentions(df, "emails", distinct=True).count() == 2
 
 
-def test_large_profile_fills_several_rows_without_loss(spark):
+def test_large_profile_is_one_row_without_loss(spark):
     key = HashKey.prepare(spark, "k")
     df = talk(spark, *[f"mail u{i:03d}x@x.com" for i in range(50)]).unionByName(
         talk(spark, "oi", conversation=None)
     )
     whole = leads.leads_profile(df, key)
-    split = leads.leads_profile(df, key, max_sets=7)
-    assert whole.count() == 2 and split.count() > 5
-    mails = split.select(F.explode("email_masked"))
-    assert rows(mails) == rows(whole.select(F.explode("email_masked"))) and mails.count() == 50
-    assert split.filter("lead_name is not null").count() == 2
+    assert whole.count() == 2 and whole.select(F.explode("email_masked")).count() == 50
+    assert whole.filter("lead_name is not null").count() == 2
+    same = talk(spark, *[f"000.000.001-91 u{i:03d}x@x.com" for i in range(10)])
+    once = leads.leads_profile(same, key, distinct=True).collect()
+    assert len(once) == 1 and len(set(once[0]["cpf_hash"])) == len(once[0]["cpf_hash"])
 
 
 def test_strict_profile_and_signals(spark):
@@ -127,11 +127,10 @@ def faulty_model():
     """Factory that is pickled by value, so that workers need not find this file."""
 
     def build():
-        def predict(text):
-            if "falha" in text:
+        def predict(texts):
+            if any("falha" in text for text in texts):
                 raise RuntimeError("cannot read")
-            assert len(text) <= 512
-            return {"POS": 0.7, "NEG": 0.1, "NEU": 0.2}
+            return [{"POS": 0.7, "NEG": 0.1, "NEU": 0.2} for _ in texts]
 
         return predict
 
@@ -143,11 +142,12 @@ def test_model_sentiment(spark):
     scored = {r["message_body"][:5]: r["ml_sentiment_score"] for r in
               sentiment.score_messages(df, faulty_model()).collect()}
     assert scored == {"goste": 0.6, "falha": 0.0, "oi": 0.0, "bom d": 0.6}
-    sizes = lambda: lambda text: {"POS": len(text) / 10_000}
-    whole = sentiment.score_messages(df, sizes, None).agg(F.max("ml_sentiment_score")).first()[0]
+    sizes = lambda: lambda texts: [{"POS": len(t) / 10_000} for t in texts]
+    whole = sentiment.score_messages(df, sizes).agg(F.max("ml_sentiment_score")).first()[0]
     assert whole == 0.14
     row = sentiment.model_sentiment(df, faulty_model(), "v").first()
     assert row["positive_count"] == 2 and row["sentiment_label"] == "positivo"
+    assert row["failed_count"] == 1
 
 
 def scored_row(spark, **values):

@@ -97,7 +97,7 @@ def test_rule_counts(spark):
 
 def test_error_is_cut_after_redaction(one_column):
     text = "x" * 495 + " ana@exemplo.com"
-    cut = one_column([text], lambda c: mk.redact_error(c))[0]
+    cut = one_column([text], lambda c: mk.redact_error(c, 500))[0]
     assert len(cut) == 500 and cut.endswith(" <RED")
 
 

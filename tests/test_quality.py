@@ -21,7 +21,7 @@ def tables(spark, **changed):
 
 def failed(spark, expected_columns=None, **changed):
     checks = quality.run_checks(tables(spark, **changed), expected_columns=expected_columns)
-    return {r["check"] for r in checks.collect() if not r["passed"]}
+    return {r["check"] for r in checks.collect() if r["passed"] is False}
 
 
 def test_all_pass(spark):
@@ -57,7 +57,9 @@ def test_failures(spark):
 def test_verdict(spark):
     checks = quality.run_checks(tables(spark, personas=None, campaign_geo=spark.range(0)))
     row = quality.verdict(checks).first()
-    assert tuple(row) == ("FAIL", ["personas_exists"], ["campaign_geo_not_empty"])
+    assert tuple(row) == (
+        "FAIL", ["personas_exists"], ["campaign_geo_not_empty"], ["personas_not_empty"]
+    )
     with pytest.raises(ValueError, match="personas_exists"):
         quality.require_pass(checks)
     with pytest.raises(ValueError):

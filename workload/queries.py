@@ -340,13 +340,12 @@ def valid_cpf(spark, sf_dir):
 def brand_case() -> str:
     whens = " ".join(
         f"when {text(model)} then {text(brand)}"
-        for brand, models in fv.BRAND_MODELS.items()
-        for model in models
+        for model, brand in fv.MODEL_BRANDS.items()
     )
     return f"case model {whens} end"
 
 
-MODELS = "|".join(model for models in fv.BRAND_MODELS.values() for model in models)
+MODELS = "|".join(fv.MODEL_BRANDS)
 
 
 @query(
@@ -464,7 +463,7 @@ def redact_nested(spark, sf_dir):
 
 @query(
     "redact_error",
-    f"select id, substr({redact_sql('error_message')}, 1, 500) as error from raw_diag",
+    f"select id, {redact_sql('error_message')} as error from raw_diag",
 )
 def redact_error(spark, sf_dir):
     return d.raw_diagnoses(spark, sf_dir).select(
@@ -482,7 +481,7 @@ def masked_list(kind: str, mask: Callable[[str], str]) -> str:
 
 @query(
     "leads_profile",
-    f"""select conversation_id, 0 as part, {joined(merged('ceps'))} as ceps,
+    f"""select conversation_id, {joined(merged('ceps'))} as ceps,
     {joined(merged('competitors'))} as competitors_mentioned,
     {price_text(merged('prices'))} as prices_mentioned,
     arg_min(sender_name_normalized, row("timestamp", message_id)) as lead_name,
@@ -618,13 +617,13 @@ def marker_model():
     """
 
     def build():
-        def predict(body: str) -> dict[str, float]:
+        def odds(body: str) -> dict[str, float]:
             good = sum(word in body for word in ("otimo", "gostei", "obrigado"))
             bad = sum(word in body for word in ("caro", "pensar"))
             whole = good + bad + 1
             return {"POS": good / whole, "NEG": bad / whole, "NEU": 1 / whole}
 
-        return predict
+        return lambda bodies: [odds(body) for body in bodies]
 
     return build
 
@@ -641,7 +640,7 @@ MARKERS = {
     select conversation_id, round(avg(score), 6) as sentiment_score,
         count(*) as inbound_messages, {count_if("label = 'positivo'")} as positive_count,
         {count_if("label = 'negativo'")} as negative_count,
-        arg_min(conversation_outcome, row("timestamp", message_id)) as outcome
+        cast(0 as bigint) as failed_count, arg_min(conversation_outcome, row("timestamp", message_id)) as outcome
     from (select *, case when length(trim(t)) < 3 then 0.0::double
             else round((good - bad) / cast(good + bad + 1 as double), 3) end as score,
             case when length(trim(t)) < 3 then 'neutro' when good >= bad and good >= 1
@@ -651,7 +650,7 @@ MARKERS = {
     group by conversation_id)""",
 )
 def sentiment_ml(spark, sf_dir):
-    return sentiment.model_sentiment(clean(spark, sf_dir), marker_model(), "marker_words", None)
+    return sentiment.model_sentiment(clean(spark, sf_dir), marker_model(), "marker_words")
 
 
 CATEGORY = (
@@ -1093,12 +1092,15 @@ def quality_numbers(spark, sf_dir):
     )
 
 
+UNMEASURED = "|".join(
+    sorted(["lead_score_range", "sentiment_range", *(f"{t}_not_empty" for t in quality.GOLD_TABLES)])
+)
 ABSENT = [f"{name}_exists" for name in ("conversations", "leads_profile", *quality.GOLD_TABLES)]
 
 
 @query(
     "quality_verdict",
-    f"""select 'FAIL' as status, '{'|'.join(sorted(["clear_cpf", *ABSENT]))}' as errors, '' as warnings from (select count(*) as n from m) where n > 0""",
+    f"""select 'FAIL' as status, '{'|'.join(sorted(["clear_cpf", *ABSENT]))}' as errors, '' as warnings, '{UNMEASURED}' as unmeasured from (select count(*) as n from m) where n > 0""",
 )
 def quality_verdict(spark, sf_dir):
     """Clear-text messages and no further tables: the verdict names what is wrong."""
@@ -1194,12 +1196,13 @@ def rejected_feedback(spark, sf_dir):
 
 
 LATEST = f"""select *, row_number() over (partition by error_hash order by "timestamp" desc, id desc)
-    as rn from diag where status = 'success' and "timestamp" > {AS_OF} - interval '24' hour"""
+    as rn from diag where status = 'success' and "timestamp" > {AS_OF} - interval '24' hour
+    and "timestamp" <= {AS_OF}"""
 
 
 @query(
     "recent_successes",
-    f"select error_hash, id, job_id, pr_number, branch_name from ({LATEST}) where rn <= 10",
+    f"select error_hash, id, job_id, pr_number, branch_name from ({LATEST})",
 )
 def recent_successes(spark, sf_dir):
     return diagnostics.recent_successes(log(spark, sf_dir), as_of()).select(
@@ -1257,7 +1260,7 @@ PANELS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "diagnoses_per_day": (
         lambda diag: diagnostics.diagnoses_per_day(diag, as_of()),
         f"""select cast("timestamp" as date) as dia, status, count(*) as diagnosticos from diag
-        where "timestamp" >= cast({AS_OF} as date) - 30 group by all""",
+        where "timestamp" between cast({AS_OF} as date) - 30 and {AS_OF} group by all""",
     ),
     "cost_per_model": (
         lambda diag: diagnostics.cost_per_model(diag, as_of()),
@@ -1265,14 +1268,14 @@ PANELS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
         cast(sum(input_tokens) as bigint) as total_input_tokens,
         cast(sum(output_tokens) as bigint) as total_output_tokens,
         round(sum(estimated_cost_usd), 4) as custo_total_usd from diag
-        where "timestamp" >= cast({AS_OF} as date) - 30 and provider <> '' group by all""",
+        where "timestamp" between cast({AS_OF} as date) - 30 and {AS_OF} and provider <> '' group by all""",
     ),
     "cumulative_cost": (
         lambda diag: diagnostics.cumulative_cost(diag, as_of()),
         f"""select dia, round(cost, 4) as custo_dia_usd,
         round(sum(cost) over (order by dia), 4) as custo_acumulado_usd
         from (select cast("timestamp" as date) as dia, sum(estimated_cost_usd) as cost from diag
-            where "timestamp" >= cast({AS_OF} as date) - 60 group by all)""",
+            where "timestamp" between cast({AS_OF} as date) - 60 and {AS_OF} group by all)""",
     ),
     "confidence_per_task": (
         diagnostics.confidence_per_task,
@@ -1283,10 +1286,10 @@ PANELS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     ),
     "frequent_errors": (
         diagnostics.frequent_errors,
-        """select error_hash, substr(error_message, 1, 120) as erro_resumo,
+        """select error_hash, arg_min(error_message, row("timestamp", id)) as erro_resumo,
         count(*) as ocorrencias, count(distinct run_id) as runs_distintos,
         min("timestamp") as primeira_ocorrencia, max("timestamp") as ultima_ocorrencia
-        from diag group by all order by ocorrencias desc, error_hash, erro_resumo limit 10""",
+        from diag group by error_hash order by ocorrencias desc, error_hash limit 10""",
     ),
     "status_shares": (
         diagnostics.status_shares,
@@ -1332,19 +1335,19 @@ PANELS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
         lambda diag: diagnostics.cost_alert(diag, as_of()),
         f"""select custo_24h, custo_24h > 5 as alerta from (
         select round(coalesce(sum(estimated_cost_usd), 0), 4) as custo_24h from diag
-        where "timestamp" >= {AS_OF} - interval '24' hour)""",
+        where "timestamp" between {AS_OF} - interval '24' hour and {AS_OF})""",
     ),
     "failure_alert": (
         lambda diag: diagnostics.failure_alert(diag, as_of()),
         f"""select taxa_falha_pct, taxa_falha_pct > 10 as alerta from (
         select coalesce(round(count(*) filter (where status = 'llm_failed') * 100.0::double
             / nullif(count(*), 0), 2), 0.0::double) as taxa_falha_pct from diag
-        where "timestamp" >= {AS_OF} - interval '24' hour)""",
+        where "timestamp" between {AS_OF} - interval '24' hour and {AS_OF})""",
     ),
     "repeated_error_alert": (
         lambda diag: diagnostics.repeated_error_alert(diag, as_of()),
         f"""select error_hash, count(*) as repeticoes from diag
-        where "timestamp" >= {AS_OF} - interval '6' hour group by error_hash
+        where "timestamp" between {AS_OF} - interval '6' hour and {AS_OF} group by error_hash
         having count(*) > 3""",
     ),
 }
@@ -1367,7 +1370,7 @@ ROOT = "[x[1] for x in tasks if trim(upper(x[2])) in ('FAILED', 'TIMEDOUT')]"
 CASCADE = "[x[1] for x in tasks if trim(upper(x[2])) = 'UPSTREAM_FAILED']"
 FAILED_RUNS = f"""select *, case when len({ROOT}) > 0 then {ROOT} else {CASCADE} end as failed
     from (select *, [{', '.join(f"['{t}', {s}]" for t, s in TASKS)}] as tasks from runs)"""
-TASK_ERRORS = f"substr({redact_sql('task_error')}, 1, 500)"
+TASK_ERRORS = redact_sql("task_error")
 
 
 @query("failed_tasks", f"select run_id, {joined('failed')} as failed from ({FAILED_RUNS})")
@@ -1402,9 +1405,9 @@ def failure_records(spark, sf_dir):
     "recent_failures",
     f"""select job_id, job_name, run_id, {joined('failed')} as failed_tasks,
     {FLAT_ERRORS} as errors, cast(start_time as varchar) as "timestamp"
-    from (select *, row_number() over (partition by job_id order by start_time desc, run_id desc)
-        as rn from ({FAILED_RUNS}) where start_time >= epoch_ms({AS_OF}) - 6 * 3600000)
-    where rn <= 5 and result_state in ('FAILED', 'SUCCESS_WITH_FAILURES') and len(failed) > 0""",
+    from ({FAILED_RUNS})
+    where start_time between epoch_ms({AS_OF}) - 6 * 3600000 and epoch_ms({AS_OF})
+    and result_state in ('FAILED', 'SUCCESS_WITH_FAILURES') and len(failed) > 0""",
 )
 def recent_failures(spark, sf_dir):
     return flat_errors(runs.recent_failures(d.job_runs(spark, sf_dir), as_of(), hours=6))
@@ -1601,11 +1604,15 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet")
 
 
-def drained(df: DataFrame) -> DataFrame:
-    """Rows the stream gives until its source is used up, by way of a Parquet folder."""
+def drained(df: DataFrame, close: Callable[[], None] | None = None) -> DataFrame:
+    """Rows the stream gives until its source is used up, by way of a Parquet folder; after
+    ``close`` has added end markers, also those of windows that were still open."""
     spark, folder = df.sparkSession, scratch(df.sparkSession)
     schema = df.schema
     stream.write_available(df, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    if close:
+        close()
+        stream.write_available(df, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
@@ -1618,6 +1625,20 @@ def stream_dedup(spark, sf_dir):
     return drained(stream.dedup_stream(inbound).select("id", "received_at"))
 
 
+def end_markers(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Stream of rows like those of ``df`` with a time behind all events, and what adds one."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    late = F.lit("2100-01-01").cast("timestamp")
+    columns = [
+        (late if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in df.schema.fields
+    ]
+    marker = spark.range(1).select(*columns)
+    marker.limit(0).write.parquet(folder)
+    markers = spark.readStream.schema(df.schema).parquet(folder)
+    return markers, lambda: marker.write.mode("append").parquet(folder)
+
+
 EVENT_FILTER = "event_type <> 'purchase' and event_id % 7 <> 0 and event_id % 11 <> 0"
 
 
@@ -1642,12 +1663,13 @@ def stream_filter(spark, sf_dir):
     from (select error_hash, date_trunc('hour', "timestamp") - to_hours(h) as window_start,
         count(*) as repeticoes
         from base_diag, (values (0), (1), (2), (3), (4), (5)) as t(h) group by all)
-    where repeticoes > 3 and window_start + interval '6' hour <=
-        (select max("timestamp") from base_diag) - interval '1' hour""",
+    where repeticoes > 3""",
 )
 def stream_repeated_errors(spark, sf_dir):
     raw = d.project(event_stream(spark, sf_dir), d.RAW_DIAGNOSES)
-    return drained(stream.repeated_errors(diagnostics.build_records(raw)))
+    records = diagnostics.build_records(raw)
+    markers, close = end_markers(records)
+    return drained(stream.repeated_errors(stream.closed_by(records, markers)), close)
 
 
 @query(
@@ -1661,12 +1683,12 @@ def stream_repeated_errors(spark, sf_dir):
                 + interval '120' minute then 1 else 0 end as opens
             from (select conversation_id, cast("timestamp" as timestamp) as "timestamp",
                 message_id from bronze)))
-    group by conversation_id, session
-    having session_end <= (select max(ts) from events) - interval '1' hour""",
+    group by conversation_id, session""",
 )
 def stream_sessions(spark, sf_dir):
     sent = messages.type_timestamp(d.delivered_twice(event_stream(spark, sf_dir)))
-    return drained(stream.sessions(sent))
+    markers, close = end_markers(sent)
+    return drained(stream.sessions(stream.closed_by(sent, markers)), close)
 
 
 @query("stream_ingest", "select event_id, event_type, cast(null as varchar) as note from events")
