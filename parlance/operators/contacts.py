@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import count_where, rate
-from parlance.operators.ranking import number_rows
+from parlance.operators.ranking import null_safe, number_rows, up_to
 
 
 def contact_sequence(signals: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -37,18 +37,23 @@ def numbered_contacts(facts: DataFrame) -> DataFrame:
     return numbered.withColumn("is_first_contact_win", won_at_once)
 
 
-def first_contact_resolution(sequence: DataFrame) -> DataFrame:
-    """Conversations, wins and kind of resolution per phone.
+def contact_order() -> Column:
+    """Contacts by time, those without one last, then by conversation."""
+    return F.struct(
+        F.col("first_message_at").isNull().alias("untimed"), "first_message_at", "conversation_id"
+    )
 
-    ``first_win_contact`` is the lowest contact number (always 1); ``first_win_contact_number``
-    that of the first win.
+
+def resolution_kinds(facts: DataFrame) -> DataFrame:
+    """Conversations, wins and kind of resolution per phone, in one aggregation.
+
+    ``first_win`` is the place of the first win in the order of the contacts.
     """
     won = F.col("outcome") == fv.SOLD
-    per_phone = sequence.groupBy("lead_phone").agg(
+    per_phone = facts.groupBy("lead_phone").agg(
         F.count(F.lit(1)).alias("total_conversations"),
         count_where(won).alias("total_wins"),
-        F.min("contact_number").alias("first_win_contact"),
-        F.min(F.when(won, F.col("contact_number"))).alias("first_win_contact_number"),
+        F.min(F.when(won, contact_order())).alias("first_win"),
     )
     kind = (
         F.when(F.col("total_wins") == 0, "no_resolution")
@@ -58,8 +63,31 @@ def first_contact_resolution(sequence: DataFrame) -> DataFrame:
     return per_phone.withColumn("resolution_type", kind)
 
 
+def first_contact_resolution(facts: DataFrame) -> DataFrame:
+    """Conversations, wins and kind of resolution per phone, from its conversations.
+
+    ``first_win_contact`` is the lowest contact number (always 1); ``first_win_contact_number``
+    that of the first win: the contacts up to it, counted without numbering all of them.
+    """
+    rows = facts.select("lead_phone", "outcome", "first_message_at", "conversation_id")
+    kinds = resolution_kinds(rows)
+    wins = kinds.filter(F.col("first_win").isNotNull()).select("lead_phone", "first_win")
+    places = up_to(
+        rows, wins, ["lead_phone"], contact_order(), "first_win", "first_win_contact_number"
+    )
+    return (
+        kinds.alias("n")
+        .join(places.alias("s"), null_safe("n", "s", ["lead_phone"]), "left")
+        .select(
+            "n.lead_phone", "total_conversations", "total_wins",
+            F.lit(1).cast("bigint").alias("first_win_contact"),
+            "first_win_contact_number", "resolution_type",
+        )
+    )
+
+
 def fcr_summary(resolution: DataFrame) -> DataFrame:
-    """Leads, average contacts and share per kind of resolution."""
+    """Leads, average contacts and share per kind of resolution; ``resolution_kinds`` is enough."""
     per_kind = resolution.groupBy("resolution_type").agg(
         F.count(F.lit(1)).alias("leads"), F.avg("total_conversations").alias("avg_contacts")
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import rate
-from parlance.operators.messages import last_order
-from parlance.operators.ranking import running_totals
+from parlance.operators.messages import last_order, message_order
+from parlance.operators.ranking import up_to
 
 
 def outcome_distribution(conversations: DataFrame, *more: Column) -> DataFrame:
@@ -48,34 +48,16 @@ def fatal_messages(messages: DataFrame, words: int = 10, top: int = 50) -> DataF
 
 
 def last_inbound_position(messages: DataFrame) -> DataFrame:
-    """Position in the conversation of the last message of the lead.
-
-    Messages are numbered inside each hour of a conversation; the hours are then added up. A
-    conversation with a large share of all messages is spread over its hours.
-    """
-    hours = messages.select(
-        "conversation_id",
-        "timestamp",
-        "message_id",
-        "direction",
-        F.floor(F.unix_timestamp("timestamp") / 3600).alias("hour_slice"),
-    )
-    inside = Window.partitionBy("conversation_id", "hour_slice").orderBy(
-        "timestamp", "message_id"
-    )
-    per_hour = (
-        hours.withColumn("place", F.row_number().over(inside))
-        .groupBy("conversation_id", "hour_slice")
-        .agg(
-            F.count(F.lit(1)).alias("messages"),
-            F.max(F.when(F.col("direction") == "inbound", F.col("place"))).alias("last_place"),
-        )
-    )
-    added_up = running_totals(per_hour, ["conversation_id"], "hour_slice", "messages")
-    return (
-        added_up.filter(F.col("last_place").isNotNull())
+    """Position in the conversation of the last message of the lead: the messages up to it,
+    counted without numbering all of them."""
+    rows = messages.select("conversation_id", "timestamp", "message_id", "direction")
+    last = (
+        rows.filter(F.col("direction") == "inbound")
         .groupBy("conversation_id")
-        .agg(F.max(F.col("before") + F.col("last_place")).alias("last_inbound_msg_number"))
+        .agg(F.max(message_order()).alias("last_inbound"))
+    )
+    return up_to(
+        rows, last, ["conversation_id"], message_order(), "last_inbound", "last_inbound_msg_number"
     )
 
 

@@ -23,24 +23,30 @@ FEATURES = (
 )
 
 
-def early_features(messages: DataFrame, conversations: DataFrame, k: int = 3) -> DataFrame:
-    """Features of the first ``k`` messages, with outcome, lead source and device.
+def early_features(messages: DataFrame, k: int = 3) -> DataFrame:
+    """Features of the first ``k`` messages, with outcome, lead source and device of the first.
 
-    The row-number filter keeps k rows per conversation and task before the shuffle.
+    The row-number filter keeps k rows per conversation and task before the shuffle. Messages
+    without a conversation are left out.
     """
     first = Window.partitionBy("conversation_id").orderBy(
         F.col("timestamp").asc_nulls_last(), "message_id"
     )
     early = (
-        messages.select(
+        messages.filter(F.col("conversation_id").isNotNull())
+        .select(
             "conversation_id", "timestamp", "message_id", "message_body", "direction",
-            "meta_response_time_sec", "meta_is_business_hours",
+            "meta_response_time_sec", "meta_is_business_hours", "conversation_outcome",
+            "meta_lead_source", "meta_device",
         )
         .withColumn("_place", F.row_number().over(first))
         .filter(F.col("_place") <= k)
     )
     body = F.col("message_body")
-    features = early.groupBy("conversation_id").agg(
+    of_first = {
+        "outcome": "conversation_outcome", "lead_source": "meta_lead_source", "device": "meta_device",
+    }
+    return early.groupBy("conversation_id").agg(
         F.hour(F.min("timestamp")).alias("contact_hour"),
         F.dayofweek(F.min("timestamp")).alias("contact_dow"),
         F.avg(F.length(body)).alias("avg_msg_length"),
@@ -50,10 +56,7 @@ def early_features(messages: DataFrame, conversations: DataFrame, k: int = 3) ->
         F.min_by("meta_is_business_hours", message_order()).cast("int").alias(
             "is_business_hours"
         ),
-    )
-    return features.join(
-        conversations.select("conversation_id", "outcome", "lead_source", "device"),
-        "conversation_id",
+        *[F.min_by(F.struct(c), message_order())[c].alias(n) for n, c in of_first.items()],
     )
 
 

@@ -29,6 +29,27 @@ def running_totals(slices: DataFrame, keys: list[str], order: str, count: str) -
     )
 
 
+def up_to(
+    df: DataFrame, limits: DataFrame, keys: list[str], order: Column, limit: str, count: str,
+    salts: int = 32,
+) -> DataFrame:
+    """Rows per key that do not lie behind the key's ``limit`` in ``order``, as ``count``.
+
+    ``limits`` has one row per key. It is repeated for every salt, so the rows of a hot key meet
+    it in as many tasks, and only sums of them meet again. NULL keys match.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    every = limits.select(
+        *keys, limit, F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("_salt")
+    )
+    joined = salted.alias("n").join(every.alias("s"), null_safe("n", "s", [*keys, "_salt"]))
+    return (
+        joined.filter(order <= F.col(f"s.{limit}"))
+        .groupBy(*[F.col(f"n.{k}") for k in keys])
+        .agg(F.count(F.lit(1)).alias(count))
+    )
+
+
 def number_rows(
     df: DataFrame, keys: list[str], slice_by: Column, order: list[str], position: str, total: str
 ) -> DataFrame:

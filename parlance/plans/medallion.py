@@ -70,7 +70,7 @@ def build_gold(silver: Silver) -> dict[str, DataFrame]:
     gaps = silence.silence_gaps(clean)
     complexity = negotiation.negotiation_complexity(clean)
     disclosed = silver.facts.filter("_first_inbound is not null")
-    resolution = contacts.first_contact_resolution(contacts.numbered_contacts(disclosed))
+    resolution = contacts.first_contact_resolution(disclosed)
     emails = campaigns.masked_emails(leads.entity_mentions(clean, "emails"))
     return {
         "funil_vendas": funnel.funnel(clean, convs),

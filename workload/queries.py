@@ -845,9 +845,12 @@ def negotiation_by_outcome(spark, sf_dir):
     )
 
 
+def disclosed(spark, sf_dir) -> DataFrame:
+    return silver(spark, sf_dir).facts.filter("_first_inbound is not null")
+
+
 def sequence(spark, sf_dir):
-    disclosed = silver(spark, sf_dir).facts.filter("_first_inbound is not null")
-    return contacts.numbered_contacts(disclosed)
+    return contacts.numbered_contacts(disclosed(spark, sf_dir))
 
 
 @query(
@@ -861,7 +864,7 @@ def contact_sequence(spark, sf_dir):
 
 @query("first_contact_resolution", "select * from fcr")
 def first_contact_resolution(spark, sf_dir):
-    return contacts.first_contact_resolution(sequence(spark, sf_dir))
+    return contacts.first_contact_resolution(disclosed(spark, sf_dir))
 
 
 @query(
@@ -872,7 +875,7 @@ def first_contact_resolution(spark, sf_dir):
     group by resolution_type""",
 )
 def fcr_summary(spark, sf_dir):
-    return contacts.fcr_summary(contacts.first_contact_resolution(sequence(spark, sf_dir)))
+    return contacts.fcr_summary(contacts.resolution_kinds(disclosed(spark, sf_dir)))
 
 
 @query(
@@ -889,13 +892,13 @@ def fcr_summary(spark, sf_dir):
     from numbered where place <= 3 group by conversation_id) e join c using (conversation_id)""",
 )
 def early_features(spark, sf_dir):
-    return prediction.early_features(clean(spark, sf_dir), convs(spark, sf_dir))
+    return prediction.early_features(clean(spark, sf_dir))
 
 
 def fitted(spark, sf_dir):
     """Model over features that are written once, as the fit reads them many times."""
     path = scratch(spark)
-    features = prediction.early_features(clean(spark, sf_dir), convs(spark, sf_dir))
+    features = prediction.early_features(clean(spark, sf_dir))
     tables.write_parquet(features, path)
     return prediction.fit_outcome_model(tables.read_parquet(spark, path, features.schema))
 
@@ -1119,7 +1122,7 @@ def quality_verdict(spark, sf_dir):
     count(*) filter (where total_wins is null) as missing from fcr""",
 )
 def zero_denominators(spark, sf_dir):
-    resolution = contacts.first_contact_resolution(sequence(spark, sf_dir))
+    resolution = contacts.resolution_kinds(disclosed(spark, sf_dir))
     return quality.zero_denominators(resolution, "total_wins")
 
 
