@@ -5,9 +5,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import TABLES, rows_of
+from workload.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 NO_SQL = {"file_inventory", "outcome_prediction", "model_metrics"}
 WITH_PYTHON = {"sentiment_ml"}
 RUN_AT_BUILD = {
@@ -29,6 +29,10 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
+def test_all_are_registered():
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
+
+
 def test_only_the_listed_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == NO_SQL and set(ORACLES) <= set(QUERIES)
 
