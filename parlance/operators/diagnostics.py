@@ -81,14 +81,39 @@ def build_records(raw: DataFrame) -> DataFrame:
 
 
 def outcome_status(
-    fixes: Column, confidence: Column, threshold: float, valid: Column, dry_run: Column
+    fixes: Column,
+    confidence: Column,
+    threshold: float,
+    valid: Column,
+    dry_run: Column,
+    duplicate: Column | None = None,
+    answered: Column | None = None,
+    attempt: Column | None = None,
+    report: Column | None = None,
 ) -> Column:
-    """Status of a diagnosis before a pull request is tried: the first obstacle, or ``success``."""
+    """Status of a diagnosis: the first obstacle, or ``success``.
+
+    ``duplicate`` is true for an error already dealt with and ``answered`` false where the model
+    failed. ``attempt`` is the result of the pull request: created, unchanged (it would change
+    nothing, so a report is tried instead) or failed; ``report`` that of the report: created,
+    unsupported or failed. Arguments left out stand for no obstacle.
+    """
+    no = F.lit(False)
+    duplicate, answered = no if duplicate is None else duplicate, ~no if answered is None else answered
+    attempt = F.lit("created") if attempt is None else attempt
+    report = F.lit("created") if report is None else report
+    unchanged = attempt == "unchanged"
     return (
-        F.when(F.coalesce(fixes, F.lit(0)) == 0, "no_fix_proposed")
+        F.when(duplicate, "duplicate_skip")
+        .when(~answered, "llm_failed")
+        .when(F.coalesce(fixes, F.lit(0)) == 0, "no_fix_proposed")
         .when(confidence < threshold, "low_confidence")
         .when(~valid, "validation_failed")
         .when(dry_run, "dry_run")
+        .when(unchanged & (report == "created"), "report_pr_created")
+        .when(unchanged & (report == "unsupported"), "report_skipped")
+        .when(unchanged, "report_failed")
+        .when(attempt == "failed", "pr_failed")
         .otherwise(SUCCESS)
     )
 

@@ -54,6 +54,13 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """Rows that a scan reads from each of its files."""
+    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
 def _at(path: str | None) -> dict[str, str]:
     return {"path": path} if path else {}
 

@@ -8,7 +8,7 @@ from check_oracles import TABLES, rows_of
 from workload.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-NO_SQL = {"file_inventory", "outcome_prediction", "model_metrics"}
+NO_SQL = {"outcome_prediction", "model_metrics"}
 WITH_PYTHON = {"sentiment_ml"}
 RUN_AT_BUILD = {
     name for name in QUERIES

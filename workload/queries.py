@@ -24,8 +24,8 @@ from parlance.sources import tables
 from parlance.streaming import events as stream
 from workload import derived as d
 from workload.oracle_tables import (
-    KEYS, SECONDS, competitors, count_if, found, joined, keyed_hash, mask_cpf, mask_email,
-    mask_phone, mask_plate, only_digits, percent, plates, prices, replaced, text, with_tables,
+    KEYS, count_if, found, joined, keyed_hash, mask_cpf, mask_email,
+    mask_phone, mask_plate, only_digits, percent, prices, replaced, text, with_tables,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,10 +110,16 @@ def parquet_scan(spark, sf_dir):
     return chats.select("conv_id", "turn", "role", F.length("text").alias("characters"))
 
 
-@query("file_inventory")
+@query("file_inventory", "select 'events' as source, count(*) as rows, true as sized from events")
 def file_inventory(spark, sf_dir):
-    return tables.file_inventory(spark, sf_dir).select(
-        F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "size_bytes"
+    """Rows of every file that a scan reads, next to the listing of the same files."""
+    path = f"{sf_dir}/events.parquet"
+    counted = tables.rows_per_file(spark.read.parquet(path))
+    listed = tables.file_inventory(spark, path).select("file_path", "size_bytes")
+    return (
+        counted.join(listed, "file_path", "left")
+        .groupBy(F.lit("events").alias("source"))
+        .agg(F.sum("rows").alias("rows"), F.min(F.coalesce(F.col("size_bytes") > 0, F.lit(False))).alias("sized"))
     )
 
 
@@ -1259,6 +1265,36 @@ def outcome_status(spark, sf_dir):
     return d.events(spark, sf_dir).select(identity.alias("id"), status.alias("status"))
 
 
+@query(
+    "all_outcome_statuses",
+    """select id, case when n % 11 = 0 then 'duplicate_skip' when n % 7 = 0 then 'llm_failed'
+    when event_type = 'view' and n % 2 = 0 then 'no_fix_proposed'
+    when confidence < 0.3 then 'low_confidence' when event_type = 'error' then 'validation_failed'
+    when n % 13 = 0 then 'dry_run'
+    when n % 5 = 0 then case n % 3 when 0 then 'report_pr_created' when 1 then 'report_skipped'
+        else 'report_failed' end
+    when n % 5 = 1 then 'pr_failed' else 'success' end as status
+    from (select 'd' || lpad(cast(event_id as varchar), 12, '0') as id, event_type,
+        event_id as n, value / 500 as confidence from events)""",
+)
+def all_outcome_statuses(spark, sf_dir):
+    """Every status of a diagnosis, the results of the pull request and of the report included."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    status = diagnostics.outcome_status(
+        fixes=F.when((kind == "view") & (n % 2 == 0), 0).otherwise(1),
+        confidence=F.col("value") / 500,
+        threshold=0.3,
+        valid=kind != "error",
+        dry_run=n % 13 == 0,
+        duplicate=n % 11 == 0,
+        answered=n % 7 != 0,
+        attempt=F.when(n % 5 == 0, "unchanged").when(n % 5 == 1, "failed").otherwise("created"),
+        report=F.when(n % 3 == 0, "created").when(n % 3 == 1, "unsupported").otherwise("failed"),
+    )
+    identity = F.concat(F.lit("d"), F.lpad(n.cast("string"), 12, "0"))
+    return d.events(spark, sf_dir).select(identity.alias("id"), status.alias("status"))
+
+
 PANELS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "diagnoses_per_day": (
         lambda diag: diagnostics.diagnoses_per_day(diag, as_of()),
