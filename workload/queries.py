@@ -1075,6 +1075,29 @@ def quality_checks(spark, sf_dir):
     return checks.select("check", "severity", "passed")
 
 
+FAULTS = ("bronze_conversation_id", "bronze_not_empty", "bronze_unexpected_columns", "dedup_effect")
+
+
+@query(
+    "quality_faults",
+    """select 'bronze_not_empty' as "check", cast(count(*) as double) as value,
+        cast(1 as double) as threshold, count(*) > 0 as passed from bronze
+    union all select 'bronze_conversation_id', count(*), 0, count(*) = 0 from bronze
+        where status = 'read'
+    union all select 'dedup_effect', 0, 0, count(*) < 0 from bronze
+    union all select 'bronze_unexpected_columns', 1, 0, count(*) < 0 from bronze""",
+)
+def quality_faults(spark, sf_dir):
+    """The gate over data with faults put in: a further column, missing keys, no dedup."""
+    raw = d.bronze(spark, sf_dir)
+    key = F.when(F.col("status") == "read", None).otherwise(F.col("conversation_id"))
+    faulty = raw.withColumn("conversation_id", key).withColumn("surprise", F.lit(1))
+    checks = quality.run_checks(
+        {"bronze": faulty, "messages": faulty}, expected_columns={"bronze": raw.columns}
+    )
+    return checks.filter(F.col("check").isin(*FAULTS)).select("check", "value", "threshold", "passed")
+
+
 @query(
     "quality_numbers",
     f"""select 'bronze.rows' as metric, cast(count(*) as double) as value from bronze
