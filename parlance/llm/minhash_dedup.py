@@ -38,13 +38,14 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def weighted(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, count), each pair once."""
-    rank = np.lexsort((values, owner))
-    owner, values = owner[rank], values[rank]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    """(text, shingle, count), each pair once, in no order."""
+    key = mixed(values + mixed(owner + 1))
+    rank = np.argsort(key)
+    key = key[rank]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return owner[first], values[first], np.diff(np.append(first, len(owner)))
+    return owner[rank[first]], values[rank[first]], np.diff(np.append(first, len(key)))
 
 
 def points(
@@ -91,13 +92,11 @@ def signatures(owner: np.ndarray, values: np.ndarray, weights: np.ndarray, texts
     while todo.any():
         some = todo[owner]
         slot, time, identity = points(owner[some], values[some], weights[some], until)
-        rank = np.lexsort((time, slot))
-        slot, identity = slot[rank], identity[rank]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        full = np.bincount(slot[first] // REGISTERS, minlength=texts) == REGISTERS
-        done = first & full[slot // REGISTERS]
-        result[slot[done]] = identity[done]
+        best = np.full(texts * REGISTERS, np.inf)
+        np.minimum.at(best, slot, time)
+        full = np.isfinite(best).reshape(texts, REGISTERS).all(axis=1)
+        first = (time == best[slot]) & full[slot // REGISTERS]
+        result[slot[first]] = identity[first]
         todo &= ~full
         until = until * 2
     return result.reshape(texts, REGISTERS)
@@ -122,9 +121,9 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     total = np.bincount(owner, counts, 2 * n)
     # a shingle of both texts of a pair: equal hash of (pair, shingle)
     key = mixed(values + mixed(owner % n + 1))
-    cut = int(np.searchsorted(owner, n))
-    _, a, b = np.intersect1d(key[:cut], key[cut:], return_indices=True)
-    common = np.bincount(owner[:cut][a], np.minimum(counts[:cut][a], counts[cut:][b]), n)
+    one = owner < n
+    _, a, b = np.intersect1d(key[one], key[~one], assume_unique=True, return_indices=True)
+    common = np.bincount(owner[one][a], np.minimum(counts[one][a], counts[~one][b]), n)
     union = total[:n] + total[n:] - common
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
@@ -137,6 +136,8 @@ def block_links(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     tokens = Tokens(pa.array(frame["text"], pa.large_string()))
     owner, values = shingles(mixed(tokens.codes + 1), tokens.offsets)
     owner, values, counts = weighted(owner, values)
+    rank = np.argsort(owner, kind="stable")
+    owner, values, counts = owner[rank], values[rank], counts[rank]
     # the k-th occurrence of a shingle is an element of its own: multisets become sets
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     owner, values = np.repeat(owner, counts), np.repeat(values, counts)
