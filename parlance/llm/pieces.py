@@ -15,6 +15,7 @@ import re
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,10 +34,11 @@ CHUNK = 1 << 15
 BLOCK = 64
 #: Longest word that is merged step by step; the time for longer ones would grow with the square.
 MERGED = 64
-#: Different words whose pieces a task remembers.
-REMEMBERED = 1 << 18
+#: Pairs of neighbours whose fit a task remembers.
+REMEMBERED = 1 << 17
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*")
+_START = re.compile(f"(?<!{SPACE}){SPACE}")
 
 
 class Pieces:
@@ -45,7 +47,7 @@ class Pieces:
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        p = sentencepiece.SentencePieceProcessor(model_proto=model)
+        p = self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         if p.normalize(" a  Éﬁ") != f"{SPACE}{SPACE}a{SPACE}{SPACE}Éﬁ":
             raise ValueError("only models that leave the text as it is, after a blank, are supported")
         self.score: dict[str, float] = {}
@@ -68,8 +70,8 @@ class Pieces:
         self.longest = max(map(len, self.score))
         inner = any(SPACE in piece.lstrip(SPACE) for piece in self.score)
         self.words = None if inner else _WORDS
-        self.known: dict[str, list[int]] = {}
         self.stable: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
 
     @classmethod
     def shared(cls, model: bytes) -> Pieces:
@@ -110,8 +112,9 @@ class Pieces:
             before = text[i - length : i] if length != begin else ""
             fits = self.stable.get(before)
             if fits is None:
-                if len(self.stable) > REMEMBERED:
+                if self.pairs > REMEMBERED:
                     self.stable.clear()
+                    self.pairs = 0
                 fits = self.stable[before] = {}
             end = i + 1
             while end <= size:
@@ -123,6 +126,7 @@ class Pieces:
                     if good is None:
                         both = self.merged(before + piece)
                         good = fits[piece] = both == ([before, piece] if before else [piece])
+                        self.pairs += 1
                     if good:
                         last[end] = end - i
                 end += 1
@@ -153,21 +157,63 @@ class Pieces:
         last = self.forward(text, start, len(text))
         return self.ids_of(text, self.path(last, len(text), start))
 
+    def spelled(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that begin with an escaped blank, by the library's merges."""
+        found = self.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+        return [ids or self.best_ids(SPACE) for ids in found]  # one blank alone is no text there
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text with its blanks escaped. If no piece has a blank behind another
-        character, no piece crosses into the next word, and words are encoded one by one."""
+        character, no piece crosses into the next word, and each different word is merged once."""
         if not text or self.words is None:
             return self.best_ids(text) if text else []
-        found: list[int] = []
-        known = self.known
-        for word in self.words.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[word] = self.best_ids(word)
-            found += ids
-        return found
+        words = self.words.findall(text)
+        different = list(dict.fromkeys(words))
+        ids = dict(zip(different, self.spelled(different)))
+        return list(chain.from_iterable(map(ids.__getitem__, words)))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of plain texts. Each different word of all texts is encoded once; texts
+        with several blanks in a row, or escaped ones, are encoded one by one."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, f"^ | $|  |{SPACE}|^$").to_numpy(zero_copy_only=False)
+        odd |= self.words is None
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        words = lists.flatten().dictionary_encode()
+        spelled = self.library.encode(words.dictionary.to_pylist(), num_threads=1)
+        spelled += [self.encode(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts.filter(pa.array(odd)).to_pylist()]
+        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        start = np.cumsum(size) - size
+        flat = np.fromiter(chain.from_iterable(spelled), np.int32, int(size.sum()))
+        # every text as a run of entries of ``spelled``: its words, or the one entry of an odd text
+        entries = np.ones(len(texts), np.int64)
+        entries[~odd] = np.diff(lists.offsets.to_numpy())
+        first = np.cumsum(entries) - entries
+        owner = np.repeat(np.arange(len(texts)), entries)
+        code = np.empty(len(owner), np.int64)
+        code[~odd[owner]] = words.indices.to_numpy(zero_copy_only=False)
+        code[first[odd]] = len(words.dictionary) + np.arange(odd.sum())
+        length = size[code]
+        ends = np.cumsum(length)
+        place = np.arange(int(length.sum())) + np.repeat(start[code] - (ends - length), length)
+        totals = np.bincount(owner, length, len(texts)).astype(np.int64)
+        return np.concatenate([[0], np.cumsum(totals)]), flat[place]
+
+    def inside(self, text: str, lead: int, size: int) -> tuple[int, int] | None:
+        """Starts of the first and last words that begin in a chunk, if there are two."""
+        if self.words is None:
+            return None
+        first = _START.search(text, lead, lead + size)
+        if first is None:
+            return None
+        last = first.start()
+        k = text.rfind(SPACE, lead, lead + size)
+        while k > last:
+            if text[k - 1] != SPACE:
+                last = k
+                break
+            k = text.rfind(SPACE, lead, k)
+        return (first.start(), last) if last > first.start() else None
 
     def matrix(self, text: str, lead: int, size: int) -> np.ndarray:
         """Transfer matrix of the chunk ``text[lead:lead + size]``: for each entry state (offset,
@@ -179,10 +225,18 @@ class Pieces:
         entries = {}
         for a in range(min(states, size)):
             for length in range(1, min(lead + a, states) + 1):
-                if length > a - 1 and (length == 1 or text[lead + a - length : lead + a] in self.score):
+                if length > a and (length == 1 or text[lead + a - length : lead + a] in self.score):
                     entries[a, length] = {lead + a: length}
         if lead == 0:
             entries = {(0, begin): {0: begin}}
+        words = self.inside(text, lead, size)
+        if words:  # all paths meet where a word begins
+            head, tail = text[: words[0]], {words[1]: begin}
+            last = self.forward(text, tail, lead + size)[lead + size : lead + size + states]
+            for (a, length), start in entries.items():
+                if lead + a <= words[0] and self.forward(head, start, words[0])[words[0]]:
+                    result[a, length, : len(last)] = last
+            return result
         look = states
         while True:
             look = min(look * 4, size)
@@ -209,6 +263,18 @@ class Pieces:
         """(ids common to all exits, further ids for each exit, entry of each exit) of a chunk,
         given the lengths of the pieces that reach into it (by offset, 0 for none)."""
         start = {lead + a: int(x) for a, x in enumerate(state) if x}
+        words = self.inside(text, lead, size)
+        if words:
+            head, entered = text[: words[0]], {k: x for k, x in start.items() if k <= words[0]}
+            cuts = self.path(self.forward(head, entered, words[0]), words[0], entered)
+            prefix = self.ids_of(head, cuts) + self.encode(text[words[0] : words[1]])
+            tail = {words[1]: self.longest + 1}
+            last = self.forward(text, tail, lead + size)
+            ahead = [[] for _ in range(self.longest)]
+            for b in range(min(self.longest, len(last) - lead - size)):
+                if last[lead + size + b]:
+                    ahead[b] = self.ids_of(text, self.path(last, lead + size + b, tail))
+            return prefix, ahead, [cuts[0] - lead] * self.longest
         last = self.forward(text, start, lead + size)
         exits = [b for b in range(self.longest) if lead + size + b < len(last) and last[lead + size + b]]
         paths = {b: self.path(last, lead + size + b, start) for b in exits}
@@ -228,17 +294,13 @@ class Pieces:
 def applied(state: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Exit lengths from entry lengths: the max-plus product of a state vector and a matrix, in
     which a length stands for score 0 and 0 for minus infinity. At most one entry reaches an exit."""
-    at = np.flatnonzero(state)
-    return matrix[at, state[at]].max(axis=0, initial=0)
+    return product(state[None, :], matrix)[0]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product of two transfer matrices."""
-    rows = a.reshape(-1, a.shape[-1])
-    found = np.zeros_like(rows)
-    for i in np.flatnonzero(rows.any(axis=1)):
-        found[i] = applied(rows[i], b)
-    return found.reshape(a.shape)
+    """Max-plus product: rows of exit lengths ``a``, continued by the transfer matrix ``b``, whose
+    rows for length 0 are empty."""
+    return b[np.arange(len(b)), a.astype(np.int64)].max(axis=-2)
 
 
 def _matrices(frame: pd.DataFrame) -> list[np.ndarray]:
@@ -397,12 +459,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.shared(model.value)
         for batch in steps(batches, text):
-            found = [
-                np.array(pieces.encode(SPACE + x.replace(" ", SPACE)) if x else [], np.int32)
-                for x in batch.column(text).to_pylist()
-            ]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
+            ends, flat = pieces.encode_all(batch.column(text))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, out])
 
