@@ -24,7 +24,7 @@ from parlance.llm.common import Tokens, joined, mixed, shuffle_tasks, steps, win
 #: Words of a minimiser.
 SEED_WORDS = 10
 #: Text that the windows of one bucket come from; travelling windows overlap, hence the factor.
-BUCKET_BYTES, OVERLAP = 6 << 20, 4
+BUCKET_BYTES, OVERLAP = 3 << 20, 4
 #: One document in SAMPLE is looked at for runs of words that stand in more than one of HOT of
 #: them; such runs are minimisers only where a window has no other. This only moves work around.
 SAMPLE, HOT, HOT_RUNS = 64, 200, 1 << 16
@@ -208,7 +208,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
         return repeated(records, strings, window)
 
     packed = rows.mapInArrow(send, "bucket int, records binary, strings binary")
-    return packed.repartition(int(buckets), "bucket").groupBy("bucket").applyInPandas(
+    return packed.groupBy("bucket").applyInPandas(
         count, "order long, key long, from int, to int"
     )
 
