@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +20,7 @@ from parlance.session import work_dir
 #: White space of the contracts: blank and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Text that one step of a Python task holds at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,6 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits the bytes of an Arrow batch for the session: texts are long, and a batch is held by
+    the JVM and by the Python worker, once as input and once as output."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) > STEP_BYTES:
+        spark.conf.set(name, str(STEP_BYTES))
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,6 +67,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
             stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Gives free memory of this worker process back; workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Tokens:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Tokens, steps, stored
+from parlance.llm.common import Tokens, small_batches, steps, stored
 
 #: Classes of the neural model: rare words, then the most frequent words (the end is a word).
 CLASSES = 1024
@@ -219,6 +219,7 @@ def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     join by word; no rare word is hot by definition.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     number = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"),

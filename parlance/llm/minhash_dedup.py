@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Tokens, components, joined, mixed, steps, stored, window_hashes
+from parlance.llm.common import (
+    Tokens, components, joined, mixed, small_batches, steps, stored, window_hashes,
+)
 
 SHINGLE = 5
 #: 25 bands of 5 registers miss a pair of similarity 0.8 with a probability below 1 in 20,000.
@@ -191,6 +193,7 @@ def near_duplicates(
     buckets that still hold several classes, the texts outside the largest class against all, in
     blocks. Neither writes out all pairs of a bucket.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"),
         F.col(text).alias("text"),

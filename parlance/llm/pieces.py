@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import shuffle_tasks, steps, stored
+from parlance.llm.common import shuffle_tasks, small_batches, steps, stored
 
 #: Characters of a chunk; longer texts are split, shorter ones encoded in one go.
 CHUNK = 1 << 15
@@ -450,6 +450,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     64-bit hashes. The model file is read by the caller's process.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(Path(model_path).read_bytes())
     names = docs.columns
     if out in names:
@@ -476,6 +477,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "de
     """Adds the text that ids stand for, in place of ``ids``. Bytes that are no UTF-8 become
     U+FFFD; null ids become null, ids of control pieces nothing. The text of encode() comes back
     exactly, unless it holds U+2581, which comes back as a blank."""
+    small_batches(encoded.sparkSession)
     model = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     names = [n for n in encoded.columns if n != ids]
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Tokens, joined, mixed, shuffle_tasks, steps, window_hashes
+from parlance.llm.common import Tokens, joined, mixed, release, shuffle_tasks, small_batches, steps, window_hashes
 
 #: Words of a minimiser.
 SEED_WORDS = 10
@@ -205,7 +205,9 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
         strings = pa.Array.from_buffers(
             pa.large_string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]
         )
-        return repeated(records, strings, window)
+        found = repeated(records, strings, window)
+        release()
+        return found
 
     packed = rows.mapInArrow(send, "bucket int, records binary, strings binary")
     return packed.groupBy("bucket").applyInPandas(
@@ -228,6 +230,7 @@ def remove_repeats(
     ones too) as neither smaller nor larger. Rows equal in id and text get equal results. Texts
     shorter than a window keep all words; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("order"),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import steps, stored
+from parlance.llm.common import small_batches, steps, stored
 
 #: Lengths of one block are summed in one task, and the blocks' totals in another.
 BLOCK = 1024
@@ -35,6 +35,7 @@ def encoded_lengths(
     Null and empty texts have 0 tokens. The vocabulary file is read by the caller's process.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
 
