@@ -175,3 +175,32 @@ def test_odd_rows(odd, none, make):
     table = token_counts.token_table(odd, RANKS, BYTE_PATTERN)
     assert table.agg(F.sum("docs")).first()[0] == odd.count()
     assert token_counts.token_table(none, RANKS, BYTE_PATTERN).collect() == []
+
+
+def test_classifier_rejects_unseen_words_on_real_tails(make):
+    draw = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+
+    def word(n):
+        return "".join(draw.choice(letters, n))
+
+    common = [word(4) for _ in range(300)]
+
+    def prose(tail):  # one word in four is one that no other text has
+        return " ".join(word(9) if draw.random() < tail else common[int(300 * draw.random() ** 2)] for _ in range(60))
+
+    good = [(i, prose(0.25), ("en", "fr")[i % 2], "s", 0) for i in range(600)]
+    junk = [(1000 + i, " ".join(word(9) for _ in range(60)), "en", "s", 0) for i in range(30)]
+    strange = [(2000 + i, " ".join(word(9) for _ in range(60)), "xx", "s", 0) for i in range(30)]
+    clean = [(4000 + i, prose(0.25), None, "s", 0) for i in range(30)]
+    trusted = make([(i,) for i in range(500)], "doc_id long")
+    got = {r.doc_id: r.kept for r in qc.classify(make(good + junk + strange + clean), trusted).collect()}
+    assert not any(got[r[0]] for r in junk + strange)
+    assert sum(got[r[0]] for r in good) >= 590 and sum(got[r[0]] for r in clean) >= 29
+
+
+def test_vocabulary_is_per_language(make, monkeypatch):
+    monkeypatch.setattr(qc, "VOCABULARY", 3)
+    rows = make([("en", "a b c a b c d d d d"), ("fr", "u v w u v w")], "lang string, text string")
+    vocabularies, _, stands_for = qc.train_all(rows, {"en": 0, "fr": 1})
+    assert [len(v) for v in vocabularies] == [3, 3] and stands_for[0] == 2
