@@ -2,7 +2,8 @@
 
 URLs that a rule accepts train one variable-order Markov model, URLs that a rule rejects another.
 A URL without a rule is judged by the difference of its log-likelihoods under both, divided by
-its length, against a threshold calibrated on labelled URLs that neither model saw.
+its length, against a threshold calibrated on labelled URLs that neither model saw. The models
+read the whole lower-cased URL, as bytes; their counts are rows joined in Spark.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.llm.common import small_batches, stored
+
 #: Characters the models tell apart; any other byte counts as one more character.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-"
 #: Symbols: the alphabet, other bytes, and the edge before the first and after the last.
@@ -22,6 +25,11 @@ OTHER, EDGE, SYMBOLS = len(ALPHABET), len(ALPHABET) + 1, len(ALPHABET) + 2
 #: Longest context; a model has SYMBOLS ** (CONTEXT + 1) cells, 2.8 million, whatever the input.
 CONTEXT = 3
 CELLS = SYMBOLS ** (CONTEXT + 1)
+#: A run holds CONTEXT bytes and the next, of 9 bits each; EDGE_BYTE stands before and after a URL.
+EDGE_BYTE, BITS = 256, 9
+#: Runs whose ratios every task holds. A run beyond them is less than 1/FREQUENT of all runs, so
+#: no key of the join with the other ratios is hot.
+FREQUENT = 1 << 18
 #: One labelled URL in so many calibrates the threshold and trains neither model.
 HELD_OUT = 5
 #: Scores are counted in bins of this width between -SPAN and SPAN.
@@ -100,47 +108,116 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(chance).reshape(-1)
 
 
-def _counts(labelled: DataFrame) -> np.ndarray:
-    """Counts of all cells for block (row 0) and allow (row 1), from (text, allow) rows."""
+def runs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed runs that end at every byte and at the end of every text, and runs of each text."""
+    found = texts.cast(pa.binary()).to_pylist()
+    lengths = np.array([len(x) for x in found], np.int64)
+    sizes = lengths + 1
+    starts = np.cumsum(sizes + CONTEXT) - sizes - CONTEXT
+    row = np.full(int((sizes + CONTEXT).sum()), EDGE_BYTE, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner]
+    row[starts[owner] + CONTEXT + place] = np.frombuffer(b"".join(found), np.uint8)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    first = starts[owner] + np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+    runs = np.zeros(len(first), np.int64)
+    for k in range(CONTEXT + 1):
+        runs = runs << BITS | row[first + k]
+    return runs, sizes
+
+
+def run_counts(rows: DataFrame) -> DataFrame:
+    """(run, block, allow, seen): counts of every run in the texts of ``rows`` (text, side): side 0
+    trains block, 1 allow, other rows count as seen only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, CELLS), np.int64)
         for batch in batches:
-            cells, sizes = cells_of(batch.column("text"))
-            allow = np.repeat(batch.column("allow").to_numpy(False).astype(bool), sizes)
-            for side in (0, 1):
-                found, n = np.unique(cells[allow == bool(side)], return_counts=True)
-                totals[side, found] += n
-        for side in (0, 1):
-            found = np.flatnonzero(totals[side])
+            runs, sizes = runs_of(batch.column("text"))
+            side = np.repeat(batch.column("side").to_numpy(False), sizes)
+            found, back, seen = np.unique(runs, return_inverse=True, return_counts=True)
+            sides = [np.bincount(back[side == k], minlength=len(found)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found + side * CELLS), pa.array(totals[side, found])],
-                names=["cell", "n"],
+                [pa.array(x) for x in (found, *sides, seen)], names=["run", "block", "allow", "seen"]
             )
 
-    sums = labelled.select("text", "allow").mapInArrow(count, "cell long, n long")
-    rows = sums.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2 * CELLS rows at most
-    counts = np.zeros(2 * CELLS, np.int64)
-    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return counts.reshape(2, CELLS)
+    found = rows.select("text", "side").mapInArrow(count, "run long, block long, allow long, seen long")
+    return found.groupBy("run").agg(*[F.sum(c).alias(c) for c in ("block", "allow", "seen")])
+
 
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(run, seen, ratio): log of the chance of the run's last byte under allow over block.
 
-def _scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """Adds ``score``: mean log-likelihood difference per symbol of ``text``."""
-    table = rows.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    names = rows.columns
+    Every order is interpolated with the next shorter one, by as much as its context has
+    different successors (Witten-Bell); below order 0 all bytes and the edge are equally likely.
+    """
+    lower = None
+    sides = ("block", "allow")
+    for order in range(CONTEXT + 1):
+        run = F.col("run").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1))
+        here = counts.groupBy(run.alias("run")).agg(
+            *[F.sum(c).alias(c) for c in (*sides, "seen")]
+        ).withColumn("context", F.shiftright("run", BITS))
+        totals = here.groupBy("context").agg(
+            *[F.sum(c).alias(f"{c}_total") for c in sides],
+            *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in sides],
+        )
+        joined = here.join(totals, "context")
+        if lower is None:
+            joined = joined.withColumns({f"{c}_q": F.lit(1.0 / (EDGE_BYTE + 1)) for c in sides})
+        else:
+            shorter = F.col("run").bitwiseAND(F.lit((1 << BITS * order) - 1))
+            joined = joined.withColumn("next", shorter).join(
+                lower.select(F.col("run").alias("next"), *[F.col(f"{c}_p").alias(f"{c}_q") for c in sides]),
+                "next",
+            )
+        chances = [
+            F.when(
+                F.col(f"{c}_total") > 0,
+                (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_q")) / (F.col(f"{c}_total") + F.col(f"{c}_kinds")),
+            ).otherwise(F.col(f"{c}_q")).alias(f"{c}_p")
+            for c in sides
+        ]
+        lower = stored(joined.select("run", "seen", *chances), f"url-order-{order}")
+    return lower.select("run", "seen", (F.ln("allow_p") - F.ln("block_p")).alias("ratio"))
+
+
+def _scored(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Replaces ``text`` by ``score``, its mean log-likelihood difference per byte and end."""
+    top = ratios.orderBy(F.desc("seen"), "run").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    order = np.argsort(top["run"].to_numpy())
+    table = rows.sparkSession.sparkContext.broadcast(
+        (top["run"].to_numpy()[order], top["ratio"].to_numpy()[order])
+    )
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    names = [c for c in rows.columns if c != "text"]
+    kinds = T.StructType([f for f in rows.schema if f.name != "text"])
+    kinds = kinds.add("total", T.DoubleType()).add("size", T.LongType())
+    kinds = kinds.add("rest", T.ArrayType(T.LongType()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratio = table.value
         for batch in batches:
-            cells, sizes = cells_of(batch.column("text"))
-            ends = np.cumsum(sizes)
-            sums = np.concatenate([[0.0], np.cumsum(table.value[cells].astype(np.float64))])
-            mean = (sums[ends] - sums[ends - sizes]) / sizes
+            runs, sizes = runs_of(batch.column("text"))
+            at = np.minimum(np.searchsorted(known, runs), max(len(known) - 1, 0))
+            hit = known[at] == runs if len(known) else np.zeros(len(runs), bool)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.bincount(owner[hit], ratio[at[hit]], len(sizes))
+            left = np.bincount(owner[~hit], minlength=len(sizes))
+            ends = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+            rest = pa.ListArray.from_arrays(ends, pa.array(runs[~hit]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.round(mean, 9))], names=[*names, "score"]
+                [*[batch.column(n) for n in names], pa.array(total), pa.array(sizes), rest],
+                names=[*names, "total", "size", "rest"],
             )
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
+    found = stored(rows.mapInArrow(score, kinds), "url-scores")
+    # equal texts have equal rests; no run of a rest, so no text with one, is hot
+    rest = found.where("size(rest) > 0").dropDuplicates(["key"]).select("key", F.explode("rest").alias("run"))
+    more = rest.join(ratios.select("run", "ratio"), "run").groupBy("key").agg(F.sum("ratio").alias("more"))
+    whole = found.where("size(rest) = 0").withColumn("more", F.lit(0.0))
+    whole = whole.unionByName(found.where("size(rest) > 0").join(more, "key"))
+    mean = F.round((F.col("total") + F.col("more")) / F.col("size"), 9)
+    return stored(whole.withColumn("score", mean).drop("key", "total", "size", "rest", "more"), "url-scores")
 
 
 def threshold_of(bins: np.ndarray) -> float:
@@ -161,37 +238,35 @@ def filter_urls(
 ) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict (allow or block) and score.
 
-    URLs that are null or lack ``://`` have empty host and path and no rule; their score is that
-    of an empty text. Where the rules leave one side without a labelled URL, all URLs without a
+    URLs that are null or lack ``://`` have empty host and path and no rule. The score is of the
+    whole lower-cased URL, a null one as an empty text. Where the rules leave one side without a labelled URL, all URLs without a
     rule go to the other side; with none on either, they are allowed. Ties with the threshold
     are allowed. Equal URLs get equal results.
 
-    The driver holds two tables of CELLS numbers and one of score bins, whatever the input.
+    The driver holds the ratios of FREQUENT runs and a table of score bins, whatever the input.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url")).select(
-        "page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")
+        "page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"),
+        F.coalesce(F.lower("url"), F.lit("")).alias("text"),
     )
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.select(
-        "page_id", "host", "path", rule.alias("rule"), verdict.alias("given"),
-        F.concat("host", "path").alias("text"),
-    )
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    labelled = rows.where("rule is not null").select(
-        "text", (F.col("given") == "allow").alias("allow"), held.alias("held")
-    )
-    counts = _counts(labelled.where("not held"))
-    ratio = log_model(counts[1]) - log_model(counts[0])
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("given"), held.alias("held"))
+    side = F.when(F.col("rule").isNull() | F.col("held"), -1).otherwise((F.col("given") == "allow").cast("int"))
+    counts = stored(run_counts(rows.withColumn("side", side)), "url-runs")
+    scored = _scored(rows, log_ratios(counts))
     bin_of = F.floor(
         (F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN - BIN), "score")) + SPAN) / BIN
     ).cast("int")
-    scores = _scored(labelled.where("held"), ratio).groupBy("allow", bin_of.alias("bin")).count()
+    labelled = scored.where("rule is not null and held")
+    scores = labelled.groupBy((F.col("given") == "allow").alias("allow"), bin_of.alias("bin")).count()
     bins = np.zeros((2, int(round(2 * SPAN / BIN))), np.int64)
     for side, place, n in scores.collect():  # 2 * SPAN / BIN rows a side at most
         bins[int(side), min(place, bins.shape[1] - 1)] += n
-    sides = counts.sum(axis=1)
+    sides = np.array([x or 0 for x in counts.agg(F.sum("block"), F.sum("allow")).first()])
     limit = threshold_of(bins) if sides.all() else (-np.inf if sides[1] or not sides[0] else np.inf)
     own = F.when(F.col("score") >= F.lit(float(limit)), "allow").otherwise("block")
-    return _scored(rows, ratio).select(
+    return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score"
     )

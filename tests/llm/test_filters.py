@@ -204,3 +204,41 @@ def test_vocabulary_is_per_language(make, monkeypatch):
     rows = make([("en", "a b c a b c d d d d"), ("fr", "u v w u v w")], "lang string, text string")
     vocabularies, _, stands_for = qc.train_all(rows, {"en": 0, "fr": 1})
     assert [len(v) for v in vocabularies] == [3, 3] and stands_for[0] == 2
+
+
+def test_url_scores_read_the_whole_url(make, monkeypatch):
+    rows = [(i, f"http://a{i}.com/?q=good{i % 9}") for i in range(60)]
+    rows += [(100 + i, f"http://b{i}.net/es/?q=кaзино{i % 9}") for i in range(60)]
+    rows += [(200, "http://c.org/?q=good1"), (201, "HTTP://C.org/?q=кaзино1"), (202, "c/?q=good1"), (203, "c/кaзино1"), (204, None)]
+    frame = make(rows, "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(frame, URL_RULES).collect()}
+    assert [got[i].verdict for i in (200, 201, 202, 203)] == ["allow", "block", "allow", "block"]
+    monkeypatch.setattr(url_filter, "FREQUENT", 20)  # the others are joined
+    again = {r.page_id: r for r in url_filter.filter_urls(frame, URL_RULES).collect()}
+    assert len(again) == len(rows)
+    assert all(again[i].score == pytest.approx(got[i].score, abs=1e-6) for i in got)
+
+
+def test_url_ratios_by_brute_force(make):
+    texts = [("ab.com/é", 0), ("ab", 1), ("", 1), ("zz?y=_", 0), ("zz?é", 1), ("ab?", -1)]
+    rows = make(texts, "text string, side int")
+    found = {r.run: r for r in url_filter.log_ratios(url_filter.run_counts(rows)).collect()}
+    counts = [Counter(), Counter()]
+    split = lambda run: tuple(run >> 9 * k & 511 for k in (3, 2, 1, 0))
+    for text, side in texts:
+        s = [256] * 3 + list(text.encode()) + [256]
+        for k in range(3, len(s)):
+            for m in range(4):
+                if side >= 0:
+                    counts[side][tuple(s[k - m : k + 1])] += 1
+
+    def chance(c, context, symbol):
+        lower = chance(c, context[1:], symbol) if context else 1 / 257
+        after = {x[-1]: n for x, n in c.items() if x[:-1] == context}
+        return (after.get(symbol, 0) + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
+
+    assert sum(r.seen for r in found.values()) == sum(len(t.encode()) + 1 for t, _ in texts)
+    for run, r in found.items():
+        *context, symbol = split(run)
+        block, allow = (chance(c, tuple(context), symbol) for c in counts)
+        assert r.ratio == pytest.approx(math.log(allow / block))
