@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    common, embedding_dedup, lm_scoring, minhash_dedup, mixing, pieces, quality_classifier,
-    quality_rules, substring_dedup, token_counts, url_filter,
+    alignment, common, embedding_dedup, lm_scoring, minhash_dedup, mixing, pieces,
+    quality_classifier, quality_rules, sharding, spelling, substring_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,3 +240,21 @@ def op10_sentencepiece(spark, sf_dir):
     decoded = pieces.decode(encoded, model)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return decoded.select("doc_id", "n_pieces", "ids_hash", same.alias("round_trip"))
+
+
+@query("op11_sharding")
+def op11_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.align_documents(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", BYTE_PATTERN,
+        f"{TOKENIZERS}/piece_bpe_32k.model",
+    )

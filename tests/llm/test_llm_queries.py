@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registered():
     names = queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run and set(ORACLES) <= set(oracle_sql())
 
 
