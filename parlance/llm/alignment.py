@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import types
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,6 +26,8 @@ from parlance.llm.pieces import Pieces
 
 #: Most frequent irregular pairs that every task holds; a rarer one has less than this part of all links.
 HELD = 1 << 16
+#: Text that is aligned at once; its tokens and their places take about a hundred times as much.
+ALIGNED = 1 << 20
 
 
 def byte_values() -> dict[str, int]:
@@ -58,7 +62,7 @@ class ByteTokenizer:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, each with a blank before it."""
-        found = [np.array(self.encoding.encode_ordinary(" " + t), np.int32) for t in texts]
+        found = [np.array(self.encoding.encode_ordinary(f" {t}"), np.int32) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
         return offsets, np.concatenate(found) if found else np.zeros(0, np.int32)
 
@@ -104,6 +108,16 @@ class Aligner:
             pa.large_binary(),
         )
 
+    @classmethod
+    def shared(cls, vocabulary: dict[bytes, int], pattern: str, second: pa.Array) -> tuple[ByteTokenizer, Aligner]:
+        """One first tokenizer and one aligner per worker process, which stays for later tasks."""
+        held = sys.modules.setdefault("parlance_alignment", types.ModuleType("parlance_alignment"))
+        key = (len(vocabulary), hash(frozenset(vocabulary.items())), pattern, len(second))
+        if getattr(held, "key", None) != key:
+            held.made = ByteTokenizer(vocabulary, pattern), cls(_table(vocabulary), second)
+            held.key = key
+        return held.made
+
     def whole(self, texts: list[bytes], offsets: np.ndarray, table: pa.Array, ids: np.ndarray) -> np.ndarray:
         """Which texts their tokens' bytes spell, after a blank."""
         body, ends = _flat(table, ids)
@@ -174,12 +188,10 @@ def links(
     shared = spark.sparkContext.broadcast((vocabulary, model))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = shared.value
-        pieces = Pieces.shared(model)
-        tokenizer = ByteTokenizer(vocabulary, pattern)
-        aligner = Aligner(_table(vocabulary), pieces.table)
+        pieces = Pieces.shared(shared.value[1])
+        tokenizer, aligner = Aligner.shared(shared.value[0], pattern, pieces.table)
         width = len(pieces.table)
-        for batch in steps(batches, "_text"):
+        for batch in steps(batches, "_text", ALIGNED):
             texts = pc.fill_null(batch.column("_text"), "").cast(pa.large_string())
             used = np.flatnonzero(pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             texts = texts.take(pa.array(used))

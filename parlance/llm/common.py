@@ -56,15 +56,17 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of one hold about STEP_BYTES; one longer text is one batch."""
+def steps(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of one hold about ``most`` bytes; one longer text is one batch."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(False)
         ends = np.cumsum(sizes)
         start = 0
         while start < len(batch):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
     release()
