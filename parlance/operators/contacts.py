@@ -23,12 +23,12 @@ def contact_sequence(signals: DataFrame, conversations: DataFrame) -> DataFrame:
 def numbered_contacts(facts: DataFrame) -> DataFrame:
     """Conversations of each phone, numbered by time, with their number.
 
-    Numbered hour by hour, so that one phone (or the missing one) may hold any share of the rows.
+    Numbered in ranges of equal size, so that one phone (or the missing one) may hold any share of
+    the rows, and all of them in one hour.
     """
     numbered = number_rows(
         facts.select("conversation_id", "lead_phone", "outcome", "first_message_at"),
         keys=["lead_phone"],
-        slice_by=F.date_trunc("hour", "first_message_at"),
         order=["first_message_at", "conversation_id"],
         position="contact_number",
         total="total_contacts",

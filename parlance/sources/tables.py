@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.session import work_dir
+
 RAW_MESSAGE_SCHEMA = T.StructType(
     [
         T.StructField(name, T.StringType(), True)
@@ -40,6 +44,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Written into the shared work folder and read back: what is read more than once is computed
+    once, every reader sees the same rows, and a lost executor repeats no more than this step."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and modification time of every file under a prefix; no file content is read."""
     return (

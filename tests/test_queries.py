@@ -13,7 +13,8 @@ WITH_PYTHON = {"sentiment_ml"}
 RUN_AT_BUILD = {
     name for name in QUERIES
     if name.startswith(("stream_", "table_", "quality_")) or name in
-    {"parquet_sink", "export_sample", "append_records", "outcome_prediction", "model_metrics"}
+    {"parquet_sink", "export_sample", "append_records", "outcome_prediction", "model_metrics",
+     "agent_performance", "contact_sequence"}
 }
 
 

@@ -116,6 +116,35 @@ def test_numbered_contacts_equal_row_number(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_ranges_are_even_for_a_hot_key(spark):
+    """A phone with a third of all contacts, all in one second: no range above twice the median."""
+    hot = F.col("id") % 3 == 0
+    contacts_ = spark.range(200_000).select(
+        F.concat(F.lit("c"), F.col("id")).alias("conversation_id"),
+        F.when(hot, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 5000)).alias("lead_phone"),
+        F.when(hot, F.lit("2024-01-01 10:00:00")).otherwise("2024-01-02 00:00:00").cast("timestamp").alias("first_message_at"),
+    )
+    ranged = ranking.in_ranges(contacts_, ["lead_phone", "first_message_at", "conversation_id"])
+    sizes = sorted(r["count"] for r in ranged.groupBy("_range").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert ranged.where("lead_phone = 'hot'").select("_range").distinct().count() > 1
+    numbered = contacts.numbered_contacts(contacts_.withColumn("outcome", F.lit(None).cast("string")))
+    found = numbered.where("lead_phone = 'hot'").agg(
+        F.min("contact_number"), F.max("contact_number"), F.count_distinct("contact_number"), F.max("total_contacts")
+    )
+    assert tuple(found.first()) == (1, 66_667, 66_667, 66_667)
+
+
+def test_percent_ranks_of_one_value_and_many_rows(spark):
+    """Half of all rows share a value; the others are close together."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(1 + F.col("id") / 1e9).alias("x")
+    )
+    got = ranking.percent_ranks(df, "k", {"r": ("x", False)})
+    want = df.withColumn("r", F.round(F.percent_rank().over(Window.orderBy("x")) * 100, 0))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_percent_ranks_equal_window(spark):
     numbers = random.Random(2)
     rows = [
