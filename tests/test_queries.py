@@ -14,7 +14,7 @@ RUN_AT_BUILD = {
     name for name in QUERIES
     if name.startswith(("stream_", "table_", "quality_")) or name in
     {"parquet_sink", "export_sample", "append_records", "outcome_prediction", "model_metrics",
-     "agent_performance", "contact_sequence"}
+     "agent_performance", "contact_sequence", "checkout_funnel", "keyed_load", "keyed_load_report"}
 }
 
 
