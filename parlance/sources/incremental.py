@@ -56,7 +56,8 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.key]), F.lit(self.parts)).cast("int")
 
 
-def _saved(spark: SparkSession, path: str) -> DataFrame | None:
+def saved(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -67,7 +68,7 @@ def _saved(spark: SparkSession, path: str) -> DataFrame | None:
 
 def watermark(spark: SparkSession, table: KeyedTable):
     """Highest version loaded so far, or None."""
-    log = _saved(spark, table.watermark_path)
+    log = saved(spark, table.watermark_path)
     return None if log is None else log.agg(F.max("watermark")).first()[0]
 
 
@@ -110,7 +111,7 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
     )
     batch = written_once(per_key, f"changes-{table.entity}")
     totals = batch.agg(F.coalesce(F.sum("_read"), F.lit(0)), F.max(F.col("_state")[table.version])).first()
-    stored = _saved(spark, table.path)
+    stored = saved(spark, table.path)
     if stored is not None and set(stored.columns) != set(rows.columns):
         raise ValueError(f"columns of {table.entity} differ: {sorted(stored.columns)}, {sorted(rows.columns)}")
     names = [c for c in rows.columns if c not in (*table.key, PART)]
@@ -140,8 +141,8 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
             old = stored.where(F.col(PART).isin(touched))
             kept = old.join(fresh.select(PART, *table.key), [PART, *table.key], "left_anti")
             merged = merged.unionByName(kept)
-        merged = written_once(merged, f"merged-{table.entity}")  # the table is not read while it is written
-        # one shuffle by partition and a few slices of it, so that each partition has few files
+        # a dynamic overwrite replaces the old files when all new ones are there, so they can be read
+        # until then; one shuffle by partition and a few slices of it, so that there are few files
         writer = merged.repartition(PART, F.pmod(F.xxhash64(*table.key), F.lit(4))).write
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(PART).mode("overwrite").parquet(table.path)
     result = spark.createDataFrame(

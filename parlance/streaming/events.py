@@ -138,14 +138,16 @@ def sessions(
     late: str = "1 hour",
 ) -> DataFrame:
     """Sessions per conversation; a silence of exactly the gap already ends one."""
+    # a session window still takes a row at its very end, so it ends a microsecond before the gap does
+    tick = F.expr("interval 1 microsecond")
     return (
         messages.withWatermark(time, late)
-        .groupBy("conversation_id", F.session_window(time, gap))
+        .groupBy("conversation_id", F.session_window(time, f"{gap} -1 microsecond"))
         .agg(F.count(F.lit(1)).alias("messages"))
         .select(
             "conversation_id",
             F.col("session_window.start").alias("session_start"),
-            F.col("session_window.end").alias("session_end"),
+            (F.col("session_window.end") + tick).alias("session_end"),
             "messages",
         )
     )

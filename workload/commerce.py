@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from parlance.operators import commerce
 from parlance.sources import incremental
+from parlance.streaming import memory, refunds
+from parlance.streaming.events import closed_by
 from workload import derived as d
-from workload.queries import query, scratch, table
+from workload.queries import drained, in_slices, query, scratch, table
 
 #: Steps of the checkout; the events of the test table play them.
 CHECKOUT = {
@@ -172,3 +174,70 @@ def keyed_load_report(spark, sf_dir):
     for r in numbered[1:]:
         whole = whole.unionByName(r)
     return whole.select("batch", "read", "inserted", "changed", "deleted")
+
+
+#: Refunds follow their purchase by up to 30 hours, some exactly at the limit; some come twice.
+REFUNDED = "event_type = 'purchase' and event_id % 3 <> 1"
+REFUND_MINUTES = "event_id % 61 * 30"
+
+
+def _end_marker(spark, schema: str, values: tuple):
+    """A stream without rows, and what adds one row that lies behind all others."""
+    folder = scratch(spark)
+    row = spark.createDataFrame([values], schema)
+    row.limit(0).write.parquet(folder)
+    return spark.readStream.schema(row.schema).parquet(folder), lambda: row.write.mode("append").parquet(folder)
+
+
+def refund_stream(spark, sf_dir):
+    """The rates as a stream, and what closes both of its sources: a purchase and a refund two weeks
+    behind the last event, which let all before them out and stay open themselves."""
+    events = d.events(spark, sf_dir)
+    last = events.agg(F.max("ts") + F.expr("interval 14 day")).first()[0]
+    bought = events.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("order_id"), F.col("ts").cast("timestamp").alias("purchased_at")
+    )
+    back = events.where(REFUNDED).select(
+        F.col("event_id").alias("order_id"),
+        (F.col("ts").cast("timestamp") + F.expr(f"make_dt_interval(0, 0, cast({REFUND_MINUTES} as int))")).alias("refunded_at"),
+    )
+    back = back.unionByName(back.where("order_id % 2 = 0"))
+    ends = [
+        _end_marker(spark, f"order_id long, {c} timestamp", (-1 - k, last)) for k, c in enumerate(("purchased_at", "refunded_at"))
+    ]
+    streams = [
+        closed_by(in_slices(bought, "purchased_at"), ends[0][0]), closed_by(in_slices(back, "refunded_at"), ends[1][0])
+    ]
+    rates = refunds.refund_rates(
+        # the files of the two sides are read side by side, eight days at a time
+        refunds.with_refund(*streams, late="9 days", late_refunds="9 days"), "24 hours", "6 hours"
+    )
+    return rates, lambda: [add() for _, add in ends]
+
+
+@query(
+    "stream_refund_rate",
+    f"""select window_start, window_start + interval 24 hour as window_end, count(*) as purchases,
+        count(*) filter (where refunded) as refunded, round(count(*) filter (where refunded) / count(*), 6) as refund_rate
+    from (select event_id, time_bucket(interval 6 hour, ts, timestamp '2000-01-01') - to_hours(6 * h) as window_start,
+            {REFUNDED} and {REFUND_MINUTES} <= 24 * 60 as refunded
+        from events, (values (0), (1), (2), (3)) as t(h) where event_type = 'purchase')
+    group by window_start having count(*) filter (where refunded) * 100.0 / count(*) > 5""",
+)
+def stream_refund_rate(spark, sf_dir):
+    rates, close = refund_stream(spark, sf_dir)
+    return drained(refunds.refund_alerts(rates), close)
+
+
+@query(
+    "stream_dedup_renewed",
+    """select id, ts as received_at from (select *, lag(ts) over (partition by id order by ts) as last
+        from (select user_id || '-' || event_type as id, ts from events))
+    where last is null or ts > last + interval 24 hour""",
+)
+def stream_dedup_renewed(spark, sf_dir):
+    arrivals = d.events(spark, sf_dir).select(
+        F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("id"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+    )
+    return drained(memory.dedup_renewed(in_slices(arrivals, "received_at"), time="received_at"))

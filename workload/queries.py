@@ -22,6 +22,7 @@ from parlance.plans.medallion import Silver, build_gold, build_silver, store_sil
 from parlance.session import work_dir
 from parlance.sources import tables
 from parlance.streaming import events as stream
+from parlance.streaming import live
 from workload import derived as d
 from workload.oracle_tables import (
     KEYS, count_if, found, joined, keyed_hash, mask_cpf, mask_email,
@@ -1668,7 +1669,7 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 def drained(df: DataFrame, close: Callable[[], None] | None = None) -> DataFrame:
     """Rows the stream gives until its source is used up, by way of a Parquet folder; after
-    ``close`` has added end markers, also those of windows that were still open."""
+    ``close`` has added end markers, also those that were still open."""
     spark, folder = df.sparkSession, scratch(df.sparkSession)
     schema = df.schema
     stream.write_available(df, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
@@ -1687,18 +1688,13 @@ def stream_dedup(spark, sf_dir):
     return drained(stream.dedup_stream(inbound).select("id", "received_at"))
 
 
-def end_markers(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """Stream of rows like those of ``df`` with a time behind all events, and what adds one."""
+def in_slices(df: DataFrame, time: str, order: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """A stream that brings the rows of ``df`` in one file for each eight days of a month, one file a
+    trigger, in the order given."""
     spark, folder = df.sparkSession, scratch(df.sparkSession)
-    late = F.lit("2100-01-01").cast("timestamp")
-    columns = [
-        (late if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in df.schema.fields
-    ]
-    marker = spark.range(1).select(*columns)
-    marker.limit(0).write.parquet(folder)
-    markers = spark.readStream.schema(df.schema).parquet(folder)
-    return markers, lambda: marker.write.mode("append").parquet(folder)
+    for part in order:
+        df.where(F.floor((F.day(time) - 1) / 8) == part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 EVENT_FILTER = "event_type <> 'purchase' and event_id % 7 <> 0 and event_id % 11 <> 0"
@@ -1728,10 +1724,12 @@ def stream_filter(spark, sf_dir):
     where repeticoes > 3""",
 )
 def stream_repeated_errors(spark, sf_dir):
-    raw = d.project(event_stream(spark, sf_dir), d.RAW_DIAGNOSES)
-    records = diagnostics.build_records(raw)
-    markers, close = end_markers(records)
-    return drained(stream.repeated_errors(stream.closed_by(records, markers)), close)
+    """Windows as they stand after the last of four triggers, the open ones among them."""
+    records = diagnostics.build_records(d.raw_diagnoses(spark, sf_dir))
+    found = stream.repeated_errors(in_slices(records, "timestamp"))
+    windows = live.window_table(scratch(spark), "repeated_errors", ("window_start", "error_hash"))
+    live.keep_windows(found, windows, f"{windows.root}/checkpoint").awaitTermination()
+    return live.current(spark, windows).select("error_hash", "repeticoes", "window_start", "window_end")
 
 
 @query(
@@ -1748,9 +1746,13 @@ def stream_repeated_errors(spark, sf_dir):
     group by conversation_id, session""",
 )
 def stream_sessions(spark, sf_dir):
-    sent = messages.type_timestamp(d.delivered_twice(event_stream(spark, sf_dir)))
-    markers, close = end_markers(sent)
-    return drained(stream.sessions(stream.closed_by(sent, markers)), close)
+    """Sessions after four triggers, of which the second brings later messages than the third."""
+    sent = messages.type_timestamp(d.bronze(spark, sf_dir)).select("conversation_id", "timestamp")
+    known = live.session_table(scratch(spark), parts=16)
+    live.keep_sessions(
+        in_slices(sent, "timestamp", (0, 2, 1, 3)), known, f"{known.root}/checkpoint"
+    ).awaitTermination()
+    return live.sessions_now(spark, known)
 
 
 @query("stream_ingest", "select event_id, event_type, cast(null as varchar) as note from events")
