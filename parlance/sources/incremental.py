@@ -50,6 +50,11 @@ class KeyedTable:
     def watermark_path(self) -> str:
         return f"{self.root.rstrip('/')}/_watermarks/{self.entity}"
 
+    @property
+    def layout_path(self) -> str:
+        """An empty file with the table's columns, for a table that has no rows yet."""
+        return f"{self.root.rstrip('/')}/_layouts/{self.entity}"
+
     def partition(self) -> Column:
         if self.part is not None:
             return F.expr(self.part)
@@ -116,6 +121,7 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
         raise ValueError(f"columns of {table.entity} differ: {sorted(stored.columns)}, {sorted(rows.columns)}")
     names = [c for c in rows.columns if c not in (*table.key, PART)]
     if stored is None:
+        rows.limit(0).write.mode("ignore").parquet(table.layout_path)
         moved = batch.withColumn("_was", F.lit(None).cast(batch.schema["_state"].dataType))
     else:
         # partitions of the batch only: at most as many names as the table has partitions
@@ -156,4 +162,7 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
 
 def current(spark: SparkSession, table: KeyedTable) -> DataFrame:
     """The living rows of the table, in the source's columns."""
-    return spark.read.parquet(table.path).where(~F.col(GONE)).drop(GONE, PART)
+    rows = saved(spark, table.path)
+    if rows is None:
+        rows = spark.read.parquet(table.layout_path)
+    return rows.where(~F.col(GONE)).drop(GONE, PART)

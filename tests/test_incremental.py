@@ -117,3 +117,4 @@ def test_watermark_reaches_the_scan(spark, table, tmp_path):
 def test_empty_source(spark, table):
     report = incremental.load(spark.createDataFrame([], SCHEMA), table).first()
     assert report["read"] == 0 and incremental.watermark(spark, table) is None
+    assert incremental.current(spark, table).count() == 0
