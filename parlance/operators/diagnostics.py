@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from parlance.functions import fixed_values as fv
 from parlance.functions.regex import unicode
 from parlance.operators.conversations import count_where
+from parlance.sources import incremental
+from parlance.sources.incremental import KeyedTable
 
 DIAGNOSTICS_DDL = """
     id string, timestamp timestamp, job_id bigint, job_name string, run_id bigint,
@@ -154,6 +156,30 @@ def apply_feedback(diagnostics: DataFrame, feedback: DataFrame) -> DataFrame:
     return updated.unionByName(without)
 
 
+def stored_log(root: str, parts: int = 64) -> KeyedTable:
+    """The log as a table by record; ``changed_at`` orders the versions of a record."""
+    return KeyedTable(root, "diagnostics", ("id",), "changed_at", parts=parts)
+
+
+def store_records(records: DataFrame, log: KeyedTable) -> DataFrame:
+    """Adds records to the stored log; a record that is there in a newer version stays as it is."""
+    return incremental.merge(records.withColumn("changed_at", F.col("timestamp")), log)
+
+
+def store_feedback(feedback: DataFrame, log: KeyedTable) -> DataFrame:
+    """Writes the results of pull requests into the stored log and returns what changed. Only records
+    that the feedback is about are written anew, and only partitions that hold one. Feedback that is
+    older than what a record has is ignored, so it may come late, twice or in any order."""
+    spark = feedback.sparkSession
+    records = incremental.current(spark, log)
+    valid = feedback.filter((F.col("pr_number") > 0) & F.col("pr_status").isin("merged", "closed"))
+    about = records.join(valid.select("pr_number").distinct(), "pr_number", "left_semi")
+    updated = apply_feedback(about.withColumn("_had", F.col("pr_resolved_at")), feedback)
+    updated = updated.where(F.col("_had").isNull() | (F.col("pr_resolved_at") > F.col("_had"))).drop("_had")
+    changed_at = F.greatest("changed_at", "pr_resolved_at")
+    return incremental.merge(updated.withColumn("changed_at", changed_at), log)
+
+
 def rejected_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback rows that cannot be used, with the reason."""
     reason = F.when(

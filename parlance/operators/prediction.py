@@ -8,14 +8,17 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.conversations import count_where
 from parlance.operators.messages import message_order
+from parlance.sources.tables import append_table, read_table
 
+#: Different values of a category, and of the outcome, that a model tells apart; the rest are one.
+MOST_CATEGORIES, MOST_OUTCOMES = 64, 32
 MODEL_VERSION = "logistic_regression_v1"
 FEATURES = (
     "contact_hour", "contact_dow", "avg_msg_length", "early_inbound_count", "early_questions",
@@ -62,25 +65,49 @@ def early_features(messages: DataFrame, k: int = 3) -> DataFrame:
 
 @dataclass(frozen=True)
 class OutcomeModel:
-    """Fitted model with its predictions for all conversations and its quality on the test part."""
+    """Fitted model with its predictions for all conversations and its quality on the test part.
+
+    ``labels`` are the outcomes it can predict, ``categories`` the values it knows of each category,
+    most frequent first; a value's place is its number, and all others share the number behind them.
+    """
 
     model: PipelineModel
     predictions: DataFrame
     metrics: DataFrame
     test_predictions: DataFrame
+    labels: list[str]
+    categories: dict[str, list[str]]
+
+
+def in_training(seed: int, share: float = 0.8) -> Column:
+    """Split by a hash of the key: the same rows on every run, on every engine that has MD5, and when
+    a task is repeated."""
+    digest = F.md5(F.concat(F.col("conversation_id"), F.lit(f":{seed}")).cast("binary"))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
+    return F.coalesce(bucket < int(share * 10_000), F.lit(False))
 
 
-def in_training(seed: int, share: float = 0.8):
-    """Split by a hash of the key: the same rows on every run, and when a task is repeated."""
-    bucket = F.pmod(F.xxhash64("conversation_id", F.lit(seed)), F.lit(10_000))
-    return bucket < int(share * 10_000)
+def frequent_values(df: DataFrame, column: str, most: int) -> list[str]:
+    """The ``most`` most frequent values, then by value. Counts are added up before the shuffle and
+    each task keeps its first ``most``, so no more than that reach the driver, however many there are."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return [r[column] for r in counts.orderBy(F.desc("n"), column).limit(most).collect()]
+
+
+def place_of(column: str, values: list[str]) -> Column:
+    """Number of a value: its place in the list, or the list's length for every other one."""
+    known = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    place = F.array_position(known, F.col(column)) if values else F.lit(0)
+    return F.when(place > 0, place - 1).otherwise(F.lit(len(values))).cast("double")
 
 
 def fit_outcome_model(features: DataFrame, seed: int = 42, iterations: int = 100) -> OutcomeModel:
     """Multinomial logistic regression of the outcome on the early features.
 
     Missing categories count as ``unknown``, missing numbers as 0. Conversations without an
-    outcome are not learned from, but get a prediction.
+    outcome are not learned from, but get a prediction; so are those with an outcome beyond the
+    MOST_OUTCOMES most frequent ones. Values of a category beyond the MOST_CATEGORIES most frequent
+    ones of the training part share one number.
     """
     ready = features.withColumns(
         {
@@ -88,35 +115,35 @@ def fit_outcome_model(features: DataFrame, seed: int = 42, iterations: int = 100
             "device": F.coalesce("device", F.lit("unknown")),
         }
     ).fillna(0, subset=[c for c in FEATURES if not c.endswith("_enc")])
-    labelled = ready.filter(F.col("outcome").isNotNull())
+    training = ready.filter(F.col("outcome").isNotNull() & in_training(seed))
+    labels = frequent_values(training, "outcome", MOST_OUTCOMES)
+    categories = {c: frequent_values(training, c, MOST_CATEGORIES) for c in ("lead_source", "device")}
+    ready = ready.withColumns({f"{c}_enc": place_of(c, values) for c, values in categories.items()})
+    labelled = ready.filter(F.col("outcome").isNotNull()).withColumn("label", place_of("outcome", labels))
     train = labelled.filter(in_training(seed)).persist()
     test = labelled.filter(~in_training(seed))
-
-    labels = StringIndexer(inputCol="outcome", outputCol="label").fit(train)
     stages = Pipeline(
         stages=[
-            StringIndexer(
-                inputCols=["lead_source", "device"],
-                outputCols=["lead_source_enc", "device_enc"],
-                handleInvalid="keep",
-            ),
             VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
             LogisticRegression(family="multinomial", maxIter=iterations),
-            IndexToString(
-                inputCol="prediction", outputCol="predicted_outcome", labels=labels.labels
-            ),
         ]
     )
-    model = stages.fit(labels.transform(train))
+    model = stages.fit(train.filter(F.col("label") < len(labels)))
     train_size = train.count()
     train.unpersist()
 
-    tested = model.transform(labels.setHandleInvalid("keep").transform(test))
+    known = F.array(*[F.lit(v) for v in labels])
+    predicted = known[F.col("prediction").cast("int")].alias("predicted_outcome")
+
+    def transformed(df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("predicted_outcome", predicted)
+
+    tested = transformed(test)
     accuracy = round(
         MulticlassClassificationEvaluator(metricName="accuracy").evaluate(tested), 3
     )
     correct = F.col("outcome") == F.col("predicted_outcome")
-    predictions = model.transform(ready).select(
+    predictions = transformed(ready).select(
         "conversation_id",
         "outcome",
         "predicted_outcome",
@@ -134,10 +161,20 @@ def fit_outcome_model(features: DataFrame, seed: int = 42, iterations: int = 100
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
     )
     return OutcomeModel(
-        model, predictions, metrics, tested.select("outcome", "predicted_outcome")
+        model, predictions, metrics, tested.select("outcome", "predicted_outcome"), labels, categories
     )
 
 
+def record_fit(fit: OutcomeModel, table: str, path: str | None = None) -> None:
+    """Appends the metrics of a fit to the history table, which is created if it is absent."""
+    append_table(fit.metrics, table, path)
+
+
+def fit_history(spark: SparkSession, table: str) -> DataFrame:
+    """All fits on record, by the name of the table."""
+    return read_table(spark, table)
+
+
 def classification_report(predictions: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per class, from the counts of (outcome, prediction)."""
     pairs = predictions.groupBy("outcome", "predicted_outcome").agg(

@@ -1,6 +1,7 @@
 """Quality gates over the Bronze, Silver and Gold tables.
 
-Each table is scanned once into a few numbers; the checks are conditions on these numbers.
+The checks are conditions on a few numbers of each table. The numbers are observed while a table is
+read or written anyway, or taken from a scan of it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.fixed_values import CPF_PUNCTUATED
@@ -31,19 +32,8 @@ class Thresholds:
     warning_ratio: float = 0.03
 
 
-def measure(df: DataFrame, prefix: str, **numbers: Column) -> DataFrame:
-    """Row count and further aggregates of one table, as (metric, value) rows."""
-    aggregates = {"rows": F.count(F.lit(1)), **numbers}
-    row = df.agg(*[a.cast("double").alias(name) for name, a in aggregates.items()])
-    pairs = [
-        F.struct(F.lit(f"{prefix}.{name}").alias("metric"), F.col(name).alias("value"))
-        for name in aggregates
-    ]
-    return row.select(F.inline(F.array(*pairs)))
-
-
-def measure_all(tables: Mapping[str, DataFrame | None]) -> DataFrame:
-    """The numbers of all tables that exist."""
+def metrics_of(name: str) -> dict[str, Column]:
+    """What is measured of a table."""
     extra = {
         "messages": {
             "clear_cpf": F.count_if(F.col("message_body").rlike(unicode(CPF_PUNCTUATED)))
@@ -52,19 +42,50 @@ def measure_all(tables: Mapping[str, DataFrame | None]) -> DataFrame:
         "sentiment": {"low": F.min("sentiment_score"), "high": F.max("sentiment_score")},
         "bronze": {"null_conversation": F.count_if(F.col("conversation_id").isNull())},
     }
-    measured = [
-        measure(df, name, **extra.get(name, {})) for name, df in tables.items() if df is not None
+    return {"rows": F.count(F.lit(1)), **extra.get(name, {})}
+
+
+def measure(df: DataFrame, name: str) -> DataFrame:
+    """Row count and further aggregates of one table, as (metric, value) rows, by a scan."""
+    aggregates = metrics_of(name)
+    row = df.agg(*[a.cast("double").alias(metric) for metric, a in aggregates.items()])
+    pairs = [
+        F.struct(F.lit(f"{name}.{metric}").alias("metric"), F.col(metric).alias("value"))
+        for metric in aggregates
     ]
+    return row.select(F.inline(F.array(*pairs)))
+
+
+def measure_all(tables: Mapping[str, DataFrame | None]) -> DataFrame:
+    """The numbers of all tables that exist."""
+    measured = [measure(df, name) for name, df in tables.items() if df is not None]
     return reduce(DataFrame.unionAll, measured)
 
 
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df``, and its numbers, which are there when the first job that uses it is done. They come
+    with that job: nothing is read for them. Tasks that are run again because an executor was lost
+    may count twice; ``measure`` has numbers that cannot."""
+    watch = Observation(name)
+    return df.observe(watch, *[a.cast("double").alias(m) for m, a in metrics_of(name).items()]), watch
+
+
+def numbers_of(spark: SparkSession, watches: Mapping[str, Observation]) -> DataFrame:
+    """(metric, value) rows of observations that are done: a few dozen numbers."""
+    rows = [(f"{name}.{m}", v) for name, watch in watches.items() for m, v in watch.get.items()]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
 def run_checks(
     tables: Mapping[str, DataFrame | None],
     thresholds: Thresholds = Thresholds(),
     expected_columns: Mapping[str, list[str]] | None = None,
+    numbers: DataFrame | None = None,
 ) -> DataFrame:
     """One row per check: check, layer, severity, value, threshold, passed.
 
+    ``numbers`` are those observed while the tables were written; without them the tables are scanned.
+
     ``passed`` is NULL for a check that could not be measured, such as a range over no rows.
 
     ``tables`` maps ``bronze``, ``messages``, ``leads_profile``, ``conversations`` and the Gold
@@ -75,7 +96,7 @@ def run_checks(
         raise ValueError("no table to check")
     layer_of = {"bronze": "bronze", "messages": "silver", "leads_profile": "silver",
                 "conversations": "silver"}
-    numbers = measure_all(tables)
+    numbers = measure_all(tables) if numbers is None else numbers
     wanted = [
         f"{name}.{metric}"
         for name, metrics in {

@@ -146,6 +146,58 @@ def schema_diff(before: DataFrame, after: DataFrame, ops: Sequence[Operation]) -
     return changes
 
 
+def cast_losses(df: DataFrame, ops: Sequence[Operation]) -> DataFrame:
+    """The warnings with what they come to over all rows: one row per cast that may give NULL, with
+    its column and type, the values it was applied to, and those it lost. Rows that a later filter
+    drops do not count."""
+    for op in ops:
+        check_operation(op)
+    casts = []
+    for i, op in enumerate(ops):
+        risky = op["op"] == "cast_column" and is_null_prone(op["data_type"])
+        if risky:
+            df = df.withColumn(f"_had_{i}", F.col(f"`{op['column']}`").isNotNull())
+        df = OPERATIONS[op["op"]][0](df, op)
+        if risky:
+            lost = F.col(f"_had_{i}") & F.col(f"`{op['column']}`").isNull()
+            df = df.withColumn(f"_lost_{i}", lost)
+            casts.append((i, op))
+    counts = [F.count_if(f"_{kind}_{i}").alias(f"{kind}_{i}") for i, _ in casts for kind in ("had", "lost")]
+    if not casts:
+        return df.sparkSession.createDataFrame([], "place int, column string, data_type string, converted long, lost long, warning string")
+    rows = [
+        F.struct(
+            F.lit(i).alias("place"), F.lit(op["column"]).alias("column"), F.lit(op["data_type"]).alias("data_type"),
+            F.col(f"had_{i}").alias("converted"), F.col(f"lost_{i}").alias("lost"), F.lit(warning).alias("warning"),
+        )
+        for (i, op), warning in zip(casts, warnings_for(ops))
+    ]
+    return df.agg(*counts).select(F.inline(F.array(*rows)))
+
+
+def schema_table(df: DataFrame, ops: Sequence[Operation]) -> DataFrame:
+    """``schema_diff`` as rows (name, type, state, from, filled), with the number of rows in which the
+    column has a value: after the operations, or before them for a dropped one."""
+    after = apply_ops(df, ops)
+    changes = schema_diff(df, after, ops)
+
+    def counted(side: DataFrame, wanted: list[dict]) -> DataFrame | None:
+        if not wanted:
+            return None
+        row = side.agg(*[F.count(F.col(f"`{c['name']}`")).alias(f"n{k}") for k, c in enumerate(wanted)])
+        return row.select(F.inline(F.array(*[
+            F.struct(
+                F.lit(c["name"]).alias("name"), F.lit(c["type"]).alias("type"), F.lit(c["state"]).alias("state"),
+                F.lit(c["from"]).cast("string").alias("from"), F.col(f"n{k}").alias("filled"),
+            )
+            for k, c in enumerate(wanted)
+        ])))
+
+    kept = counted(after, [c for c in changes if c["state"] != "dropped"])
+    gone = counted(df, [c for c in changes if c["state"] == "dropped"])
+    return gone if kept is None else kept if gone is None else kept.unionByName(gone)
+
+
 @dataclass(frozen=True)
 class Preview:
     before: DataFrame

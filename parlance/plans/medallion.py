@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from parlance.functions.mask import HashKey
-from parlance.operators import agents, campaigns, contacts, facts, funnel, leads
+from parlance.operators import agents, campaigns, contacts, facts, funnel, leads, quality
 from parlance.operators import messages as msg
 from parlance.operators import negotiation, scoring, silence
 from parlance.sources.tables import read_parquet, write_parquet
@@ -62,6 +64,38 @@ def store_silver(silver: Silver, folder: str) -> Silver:
     return Silver(clean, stored(facts.conversation_facts(clean), "facts"))
 
 
+@dataclass(frozen=True)
+class Published:
+    """All published tables as stored, and the numbers of the quality checks."""
+
+    tables: dict[str, DataFrame]
+    numbers: DataFrame
+
+
+def publish(bronze: DataFrame, folder: str, key: HashKey, at_once: int = 4) -> Published:
+    """Writes Silver and Gold, each table once, and observes the numbers of the gate in the same
+    jobs; those of Bronze in the job that reads it. ``at_once`` tables are written side by side, so
+    that small ones do not wait for each other.
+    """
+    spark = bronze.sparkSession
+    raw, seen = quality.observed(bronze, "bronze")
+    silver = store_silver(build_silver(raw), f"{folder}/clear")
+    plans = {
+        "messages": silver.public_messages, "conversations": silver.conversations,
+        "leads_profile": silver.profile(key), **build_gold(silver),
+    }
+    watches = {"bronze": seen}
+
+    def write(name: str) -> DataFrame:
+        df, watches[name] = quality.observed(plans[name], name)
+        write_parquet(df, f"{folder}/{name}")
+        return read_parquet(spark, f"{folder}/{name}", plans[name].schema)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        stored = dict(zip(plans, pool.map(inheritable_thread_target(spark)(write), plans)))
+    return Published({"bronze": bronze, **stored}, quality.numbers_of(spark, watches))
+
+
 def build_gold(silver: Silver) -> dict[str, DataFrame]:
     """The Gold tables by name, as lazy plans over the Silver tables."""
     clean, convs = silver.messages, silver.conversations

@@ -95,20 +95,25 @@ def _state(rows: DataFrame, table: KeyedTable) -> Column:
 
 
 def load(source: DataFrame, table: KeyedTable) -> DataFrame:
-    """Brings the table up to date with ``source``; returns one row: entity, read (rows above the
-    watermark), inserted, changed, deleted, stale (newest versions of a batch that are not newer
-    than the table's), parts (partitions rewritten), watermark.
+    """Brings the table up to date with ``source``: merges its rows from the watermark on, then moves
+    the watermark. Returns the report of ``merge``."""
+    spark = source.sparkSession
+    return merge(changed_rows(source, table, watermark(spark, table)), table)
+
+
+def merge(rows: DataFrame, table: KeyedTable) -> DataFrame:
+    """Puts the newest versions among ``rows`` into the table; returns one row: entity, read (rows),
+    inserted, changed, deleted, stale (newest versions here that are not newer than the table's),
+    parts (partitions rewritten), watermark.
 
     Rows without a full key, or without a version, are left out. A deleted key stays in the table as
     a mark, so that an older version that comes later does not bring it back. The columns of the
-    source must be those of the table.
+    rows must be those of the table.
     """
-    spark = source.sparkSession
+    spark = rows.sparkSession
     mark = watermark(spark, table)
-    keyed = [F.col(f"`{k}`").isNotNull() for k in table.key]
-    rows = changed_rows(source, table, mark)
-    for condition in keyed:
-        rows = rows.where(condition)
+    for name in (*table.key, table.version):
+        rows = rows.where(F.col(f"`{name}`").isNotNull())
     rows = rows.withColumns({GONE: F.coalesce(F.expr(table.deleted), F.lit(False)), PART: table.partition()})
     # a maximum per key: the order of arrival does not matter, and a hot key is one row per task
     per_key = rows.groupBy(PART, *[F.col(f"`{k}`") for k in table.key]).agg(
@@ -139,10 +144,9 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
     fresh = moved.where("_newer")
     touched = [r[0] for r in fresh.select(PART).distinct().collect()]
     if touched:
-        of = lambda df: df.select(
+        merged = fresh.select(
             *[F.col(f"`{k}`") for k in table.key], *[F.col("_state")[c].alias(c) for c in names], PART
         )
-        merged = of(fresh)
         if stored is not None:
             old = stored.where(F.col(PART).isin(touched))
             kept = old.join(fresh.select(PART, *table.key), [PART, *table.key], "left_anti")

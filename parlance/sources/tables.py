@@ -89,6 +89,38 @@ def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
     df.write.mode("append").options(**_at(path)).saveAsTable(table)
 
 
+def read_table(spark: SparkSession, table: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of the catalog by name; a missing table or column raises."""
+    found = spark.table(table)
+    return found if columns is None else found.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def evolve_table(df: DataFrame, table: str, path: str | None = None) -> list[str]:
+    """Append that lets the table grow: columns that the catalog does not know are added to it first;
+    stored files are left as they are and read as NULL there. Columns that ``df`` lacks become NULL.
+    A column of another type raises. Returns the names of the columns added."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        append_table(df, table, path)
+        return []
+    known = {f.name.lower(): f for f in spark.table(table).schema.fields}
+    for f in df.schema.fields:
+        if f.name.lower() in known and known[f.name.lower()].dataType != f.dataType:
+            raise ValueError(f"{f.name} of {table} is {known[f.name.lower()].dataType}, not {f.dataType}")
+    new = [f for f in df.schema.fields if f.name.lower() not in known]
+    if new:
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"alter table {table} add columns ({listed})")
+    present = {c.lower() for c in df.columns}
+    # rows go in by name, in the order of the catalog
+    rows = df.select(*[
+        F.col(f"`{f.name}`") if f.name.lower() in present else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in spark.table(table).schema.fields
+    ])
+    rows.write.mode("append").insertInto(table)
+    return [f.name for f in new]
+
+
 def overwrite_table(
     df: DataFrame, table: str, replace_schema: bool = False, path: str | None = None
 ) -> DataFrame:

@@ -175,3 +175,41 @@ def test_platform(spark):
 def test_status_must_be_known(spark):
     with pytest.raises(Exception):
         diagnostics.build_records(raw(spark).drop("status")).filter("no_such = 1")
+
+
+def test_feedback_into_the_stored_log(spark, tmp_path):
+    """Late, repeated and contradicting feedback: the latest of a pull request counts, and partitions
+    without one of its records keep their files."""
+    import os
+    from datetime import datetime as dt
+
+    rows = [
+        {"id": f"d{i}", "timestamp": dt(2024, 1, 1), "pr_number": i % 20, "status": "success"} for i in range(100)
+    ]
+    schema = ", ".join(x.strip() for x in diagnostics.DIAGNOSTICS_DDL.split(","))
+    full = spark.createDataFrame([], schema).schema
+    records = spark.createDataFrame([tuple(r.get(f.name) for f in full.fields) for r in rows], full)
+    log = diagnostics.stored_log(str(tmp_path / "log"), parts=16)
+    diagnostics.store_records(records, log)
+
+    def files():
+        return {
+            os.path.join(a, f): os.stat(os.path.join(a, f)).st_mtime_ns
+            for a, _, names in os.walk(log.path) for f in names if f.startswith("part-")
+        }
+
+    def feed(*rows):
+        df = spark.createDataFrame(list(rows), "pr_number long, pr_status string, resolved_at timestamp")
+        return diagnostics.store_feedback(df, log).first()
+
+    before = files()
+    assert feed((7, "merged", dt(2024, 1, 2, 10)))["changed"] == 5
+    after = files()
+    assert 0 < sum(before.get(f) == t for f, t in after.items()) < len(after)
+    assert feed((7, "merged", dt(2024, 1, 2, 10)))["changed"] == 0
+    assert feed((7, "closed", dt(2024, 1, 2, 9)), (0, "merged", dt(2024, 1, 3)), (8, "open", dt(2024, 1, 3)))["changed"] == 0
+    assert files() == after
+    assert feed((7, "closed", dt(2024, 1, 2, 11)))["changed"] == 5
+    stored = diagnostics.incremental.current(spark, log)
+    got = {(r["pr_number"], r["feedback"], r["resolution_time_hours"]) for r in stored.collect() if r["feedback"]}
+    assert got == {(7, "fix_rejected", 35.0)} and stored.count() == 100

@@ -42,6 +42,43 @@ def test_planted_signal(spark):
     assert all(r["f1"] > 0.9 for r in report)
 
 
+def test_a_million_values_of_a_category(spark):
+    """The driver holds the most frequent ones only; every row gets a prediction."""
+    df = planted(spark)
+    rare = spark.range(1_000_000).select(
+        F.concat(F.lit("x"), "id").alias("conversation_id"), *[F.lit(1).alias(c) for c in ("contact_hour", "contact_dow")],
+        F.lit(1.0).alias("avg_msg_length"), F.lit(1).cast("bigint").alias("early_inbound_count"),
+        F.lit(5).cast("bigint").alias("early_questions"), F.lit(1).alias("first_response_time"),
+        F.lit(1).alias("is_business_hours"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("o"), "id")).alias("outcome"),
+        F.concat(F.lit("source "), "id").alias("lead_source"), F.lit("web").alias("device"),
+    )
+    fitted = prediction.fit_outcome_model(df.unionByName(rare), iterations=3)
+    assert len(fitted.categories["lead_source"]) == prediction.MOST_CATEGORIES
+    assert len(fitted.labels) == prediction.MOST_OUTCOMES and set(fitted.labels[:3]) == {"ghosting", "perdido_preco", "venda_fechada"}
+    assert fitted.predictions.where("predicted_outcome is null").count() == 0
+    assert fitted.predictions.count() == 1_000_900
+
+
+def test_split_is_md5(spark):
+    import hashlib
+
+    keys = [f"conv_{i}" for i in range(300)] + [None]
+    df = spark.createDataFrame([(k,) for k in keys], "conversation_id string")
+    got = {r["conversation_id"]: r["t"] for r in df.withColumn("t", prediction.in_training(42)).collect()}
+    want = {k: int(hashlib.md5(f"{k}:42".encode()).hexdigest()[:8], 16) % 10_000 < 8000 for k in keys if k}
+    assert got == {**want, None: False} and 0.7 < sum(want.values()) / 300 < 0.9
+
+
+def test_history_has_every_fit(spark, tmp_path):
+    name = "fits_of_test"
+    spark.sql(f"drop table if exists {name}")
+    for iterations in (2, 3):
+        prediction.record_fit(prediction.fit_outcome_model(planted(spark), iterations=iterations), name, str(tmp_path / "h"))
+    fits = prediction.fit_history(spark, name)
+    assert fits.count() == 2 and fits.select("train_size").distinct().count() == 1
+    spark.sql(f"drop table {name}")
+
+
 def test_report(spark):
     df = spark.sql(
         """select * from values ('a', 'a'), ('a', 'b'), ('b', 'b'), ('c', 'b')

@@ -54,6 +54,29 @@ def test_failures(spark):
     assert failed(spark, {"conversations": ["x"]}) == {"conversations_unexpected_columns"}
 
 
+def test_observed_numbers_equal_scanned_ones(spark, tmp_path):
+    watches = {}
+    for name, df in tables(spark).items():
+        seen, watches[name] = quality.observed(df.repartition(3), name)
+        seen.write.parquet(str(tmp_path / name))
+    got = {r["metric"]: r["value"] for r in quality.numbers_of(spark, watches).collect()}
+    assert got == {r["metric"]: r["value"] for r in quality.measure_all(tables(spark)).collect()}
+    checks = quality.run_checks(tables(spark), numbers=quality.numbers_of(spark, watches))
+    assert checks.collect() == quality.run_checks(tables(spark)).collect()
+
+
+def test_numbers_come_without_a_scan(spark, tmp_path):
+    """The gate reads no table: all its jobs are done before the tables are gone."""
+    import shutil
+
+    seen, watch = quality.observed(spark.range(5), "conversations")
+    seen.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    shutil.rmtree(tmp_path / "t")
+    checks = quality.run_checks({"conversations": stored}, numbers=quality.numbers_of(spark, {"conversations": watch}))
+    assert {r["check"]: r["passed"] for r in checks.collect()}["conversations_exists"]
+
+
 def test_verdict(spark):
     checks = quality.run_checks(tables(spark, personas=None, campaign_geo=spark.range(0)))
     row = quality.verdict(checks).first()

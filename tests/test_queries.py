@@ -8,13 +8,13 @@ from check_oracles import TABLES, rows_of
 from workload.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-NO_SQL = {"outcome_prediction", "model_metrics"}
 WITH_PYTHON = {"sentiment_ml"}
 RUN_AT_BUILD = {
     name for name in QUERIES
     if name.startswith(("stream_", "table_", "quality_")) or name in
     {"parquet_sink", "export_sample", "append_records", "outcome_prediction", "model_metrics",
-     "agent_performance", "contact_sequence", "checkout_funnel", "keyed_load", "keyed_load_report"}
+     "agent_performance", "contact_sequence", "checkout_funnel", "keyed_load", "keyed_load_report",
+     "stored_feedback"}
 }
 
 
@@ -34,8 +34,8 @@ def test_all_are_registered():
     assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
-def test_only_the_listed_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == NO_SQL and set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

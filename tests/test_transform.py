@@ -80,3 +80,18 @@ def test_preview(df):
         "who": ("renamed", "name"), "n": ("kept", "n"), "e": ("kept", "e"), "t": ("kept", "t"),
         "k": ("derived", None), "meta": ("dropped", "meta"),
     }
+
+
+def test_losses_of_casts(spark):
+    df = spark.createDataFrame([("1", "x"), ("b", "2"), (None, "3"), ("4", None)], "a string, b string")
+    ops = [
+        {"op": "cast_column", "column": "a", "data_type": "int"},
+        {"op": "rename_column", "column": "a", "new_name": "c"},
+        {"op": "cast_column", "column": "c", "data_type": "string"},
+        {"op": "cast_column", "column": "b", "data_type": "double"},
+    ]
+    got = [(r["place"], r["column"], r["converted"], r["lost"]) for r in transform.cast_losses(df, ops).collect()]
+    assert got == [(0, "a", 3, 1), (3, "b", 3, 1)]
+    assert transform.cast_losses(df, ops[1:2]).count() == 0
+    found = {r["name"]: (r["state"], r["from"], r["filled"]) for r in transform.schema_table(df, ops[:2] + [{"op": "drop_column", "column": "b"}]).collect()}
+    assert found == {"c": ("renamed", "a", 2), "b": ("dropped", "b", 3)}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +19,9 @@ from parlance.operators import (
     negotiation, platform_metrics, prediction, quality, runs, scoring, sentiment, silence,
     transform,
 )
-from parlance.plans.medallion import Silver, build_gold, build_silver, store_silver
+from parlance.plans.medallion import Published, Silver, build_silver, publish
 from parlance.session import work_dir
-from parlance.sources import tables
+from parlance.sources import incremental, tables
 from parlance.streaming import events as stream
 from parlance.streaming import live
 from workload import derived as d
@@ -32,6 +33,8 @@ from workload.oracle_tables import (
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL of each query without the tables it is put over.
+RAW_ORACLES: dict[str, str] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -63,6 +66,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = settled
         if oracle is not None:
             ORACLES[name] = with_tables(oracle)
+            RAW_ORACLES[name] = oracle
         return run
 
     return register
@@ -171,6 +175,20 @@ def table_overwrite_replace(spark, sf_dir):
     return tables.read_parquet(spark, path)
 
 
+@query(
+    "table_evolve",
+    "select event_id, event_type, cast(null as bigint) as user_id from events union all "
+    "select event_id, cast(null as varchar), user_id from events",
+)
+def table_evolve(spark, sf_dir):
+    """A table that gets a column later, read by name."""
+    path, name = scratch(spark), f"evolved_{uuid.uuid4().hex}"
+    source = d.events(spark, sf_dir)
+    tables.evolve_table(source.select("event_id", "event_type"), name, path)
+    tables.evolve_table(source.select("user_id", "event_id"), name)
+    return tables.read_table(spark, name, ["event_id", "event_type", "user_id"])
+
+
 @query("row_count", "select count(*) as rows from lineitem")
 def row_count(spark, sf_dir):
     return tables.row_count(table(spark, sf_dir, "lineitem"))
@@ -902,22 +920,59 @@ def early_features(spark, sf_dir):
     return prediction.early_features(clean(spark, sf_dir))
 
 
-def fitted(spark, sf_dir):
+def fitted(spark, sf_dir, iterations: int = 100):
     """Model over features that are written once, as the fit reads them many times."""
     path = scratch(spark)
     features = prediction.early_features(clean(spark, sf_dir))
     tables.write_parquet(features, path)
-    return prediction.fit_outcome_model(tables.read_parquet(spark, path, features.schema))
+    return prediction.fit_outcome_model(
+        tables.read_parquet(spark, path, features.schema), iterations=iterations
+    )
+
 
+TRAINING = "('0x' || substr(md5(conversation_id || ':42'), 1, 8))::bigint % 10000 < 8000"
 
-@query("outcome_prediction")
+
+@query(
+    "outcome_prediction",
+    f"""select conversation_id, outcome.v as outcome, coalesce({TRAINING}, false) as in_training,
+    true as predicted, true as correct_agrees, true as likely
+    from (select conversation_id, arg_min(o, ("timestamp" is null, "timestamp", message_id)) as outcome
+        from (select *, struct_pack(v := conversation_outcome) as o from m) group by conversation_id)""",
+)
 def outcome_prediction(spark, sf_dir):
-    return fitted(spark, sf_dir).predictions
+    """Every conversation with its part of the split; a prediction that is one of the outcomes learned,
+    at least as likely as each of them would be by chance; and whether ``correct`` says what it should."""
+    fit = fitted(spark, sf_dir)
+    right = F.col("correct").eqNullSafe((F.col("outcome") == F.col("predicted_outcome")).cast("int"))
+    return fit.predictions.select(
+        "conversation_id", "outcome", prediction.in_training(42).alias("in_training"),
+        F.col("predicted_outcome").isin(fit.labels).alias("predicted"), right.alias("correct_agrees"),
+        (F.col("prediction_proba_max") >= 1 / len(fit.labels) - 1e-9).alias("likely"),
+    )
 
 
-@query("model_metrics")
+@query(
+    "model_metrics",
+    f"""select 'logistic_regression_v1' as model, fit, train_size, test_size, '{json.dumps(prediction.FEATURES)}' as features,
+    true as plausible from (values (1), (2)) as t(fit), (select count(*) filter (where {TRAINING}) as train_size,
+        count(*) filter (where not ({TRAINING})) as test_size
+        from (select conversation_id, arg_min(o, ("timestamp" is null, "timestamp", message_id)) as outcome
+            from (select *, struct_pack(v := conversation_outcome) as o from m) group by conversation_id)
+        where outcome.v is not null)""",
+)
 def model_metrics(spark, sf_dir):
-    return fitted(spark, sf_dir).metrics
+    """Two fits, each appended to the history, and the history read by its name."""
+    name = f"fits_{uuid.uuid4().hex}"
+    path = scratch(spark)
+    for iterations in (5, 20):
+        prediction.record_fit(fitted(spark, sf_dir, iterations), name, path)
+    fits = prediction.fit_history(spark, name)
+    number = F.row_number().over(Window.orderBy("timestamp", "accuracy"))  # a row for each fit
+    return fits.select(
+        "model", number.alias("fit"), "train_size", "test_size", "features",
+        F.col("accuracy").between(0, 1).alias("plausible"),
+    )
 
 
 @query(
@@ -1042,38 +1097,107 @@ def preview_after(spark, sf_dir):
     return transform.preview(ordered, EDIT, 50).after
 
 
+CASTS = [
+    {"op": "cast_column", "column": "event_type", "data_type": "int"},
+    {"op": "cast_column", "column": "props", "data_type": "date"},
+    {"op": "cast_column", "column": "user_id", "data_type": "string"},
+]
+
+
+@query(
+    "preview_warnings",
+    """select 0 as place, 'event_type' as "column", 'int' as data_type, count(event_type) as converted,
+        count(event_type) - count(try_cast(event_type as integer)) as lost,
+        'cast of event_type to int gives NULL for values that do not fit' as warning from events
+    union all select 1, 'props', 'date', count(props), count(props) - count(try_cast(props as date)),
+        'cast of props to date gives NULL for values that do not fit' from events""",
+)
+def preview_warnings(spark, sf_dir):
+    return transform.cast_losses(d.events(spark, sf_dir), CASTS)
+
+
+@query(
+    "preview_schema",
+    """select 'id' as name, 'bigint' as type, 'renamed' as state, 'event_id' as "from", count(event_id) as filled from events
+    union all select 'user_id', 'bigint', 'kept', 'user_id', count(user_id) from events
+    union all select 'event_type', 'string', 'kept', 'event_type', count(event_type) from events
+    union all select 'value', 'double', 'kept', 'value', count(value) from events
+    union all select 'props', 'int', 'kept', 'props', count(try_cast(props as integer)) from events
+    union all select 'double_id', 'bigint', 'derived', null, count(event_id) from events
+    union all select 'ts', 'timestamp_ntz', 'dropped', 'ts', count(ts) from events""",
+)
+def preview_schema(spark, sf_dir):
+    return transform.schema_table(d.events(spark, sf_dir), EDIT)
+
+
 # Quality gates
 
 
-def checked_tables(spark, sf_dir) -> dict[str, DataFrame]:
-    """Bronze, Silver and all Gold tables, over a Silver that is written once."""
-    raw = d.bronze(spark, sf_dir)
-    s = store_silver(build_silver(raw), scratch(spark))
-    gold = build_gold(s)
+def published(spark, sf_dir) -> Published:
+    """Bronze, Silver and all Gold tables, each written once and measured in the same job."""
     key = mk.HashKey.prepare(spark, d.HASH_SECRET)
-    return {
-        "bronze": raw,
-        "messages": s.public_messages,
-        "conversations": s.conversations,
-        "leads_profile": s.profile(key),
-        **{name: gold[name] for name in quality.GOLD_TABLES},
-    }
+    return publish(d.bronze(spark, sf_dir), scratch(spark), key)
+
+
+def rows_of_sql(name: str) -> str:
+    return f"select '{name}.rows' as metric, cast(count(*) as double) as value from (select * from ({RAW_ORACLES[name]}))"
+
+
+NUMBERS = " union all ".join(
+    [
+        "select 'bronze.rows' as metric, cast(count(*) as double) as value from bronze",
+        f"select 'bronze.null_conversation', {count_if('conversation_id is null')} from bronze",
+        "select 'messages.rows', count(*) from m",
+        "select 'messages.clear_cpf', 0 from m having count(*) >= 0",
+        "select 'conversations.rows', count(*) from c",
+        rows_of_sql("leads_profile"),
+        "select 'lead_scoring.low', min(lead_score) from ls",
+        "select 'lead_scoring.high', max(lead_score) from ls",
+        "select 'sentiment.low', min(sentiment_score) from s",
+        "select 'sentiment.high', max(sentiment_score) from s",
+        *[rows_of_sql(name) for name in quality.GOLD_TABLES],
+    ]
+)
+
+
+@query("quality_numbers", NUMBERS)
+def quality_numbers(spark, sf_dir):
+    return published(spark, sf_dir).numbers
+
+
+def _check_sql() -> str:
+    """All checks as conditions on the numbers."""
+    n = lambda metric: f"(select value from numbers where metric = '{metric}')"
+    bronze, silver = n("bronze.rows"), n("messages.rows")
+    rows = [
+        ("bronze_not_empty", "error", bronze, 1, f"{bronze} > 0"),
+        ("bronze_conversation_id", "error", n("bronze.null_conversation"), 0, f"{n('bronze.null_conversation')} = 0"),
+        ("dedup_effect", "warning", f"{silver} - {bronze}", 0, f"{silver} < {bronze}"),
+        ("silver_volume", "error", silver, 1000, f"{silver} >= 1000"),
+        ("silver_ratio_error", "error", f"{silver} / {bronze}", 0.01, f"{silver} / {bronze} >= 0.01"),
+        ("silver_ratio_warning", "warning", f"{silver} / {bronze}", 0.03, f"{silver} / {bronze} >= 0.03 or {silver} / {bronze} < 0.01"),
+        ("clear_cpf", "error", n("messages.clear_cpf"), 0, f"{n('messages.clear_cpf')} = 0"),
+        ("lead_score_range", "error", n("lead_scoring.high"), 100, f"{n('lead_scoring.low')} >= 0 and {n('lead_scoring.high')} <= 100"),
+        ("sentiment_range", "error", n("sentiment.high"), 1, f"{n('sentiment.low')} >= -1 and {n('sentiment.high')} <= 1"),
+        ("masked_columns", "error", "0", 0, "true"),
+        *[(f"{t}_exists", "error", "1", 1, "true") for t in ("bronze", "messages", "leads_profile", "conversations", *quality.GOLD_TABLES)],
+        *[(f"{t}_not_empty", "warning", n(f"{t}.rows"), 1, f"{n(f'{t}.rows')} > 0") for t in quality.GOLD_TABLES],
+    ]
+    listed = " union all ".join(
+        f"""select '{name}' as "check", '{severity}' as severity, cast({value} as double) as value,
+        cast({limit} as double) as threshold, {passed} as passed""" for name, severity, value, limit, passed in rows
+    )
+    return f"with numbers as materialized ({NUMBERS}) {listed}"
 
 
 @query(
     "quality_checks",
-    f"""select * from (values ('bronze_not_empty', 'error'), ('bronze_conversation_id', 'error'),
-    ('dedup_effect', 'warning'), ('silver_volume', 'error'), ('silver_ratio_error', 'error'),
-    ('silver_ratio_warning', 'warning'), ('clear_cpf', 'error'), ('lead_score_range', 'error'),
-    ('sentiment_range', 'error'), ('masked_columns', 'error'), ('bronze_exists', 'error'),
-    ('messages_exists', 'error'), ('leads_profile_exists', 'error'),
-    ('conversations_exists', 'error'),
-    {', '.join(f"('{t}_exists', 'error'), ('{t}_not_empty', 'warning')" for t in quality.GOLD_TABLES)}
-    ) as t("check", severity), (select case when count(*) > 0 then true end as passed from m)""",
+    f"""select "check", severity, round(value, 6) as value, round(threshold, 6) as threshold, passed from ({_check_sql()})""",
 )
 def quality_checks(spark, sf_dir):
-    checks = quality.run_checks(checked_tables(spark, sf_dir))
-    return checks.select("check", "severity", "passed")
+    done = published(spark, sf_dir)
+    checks = quality.run_checks(done.tables, numbers=done.numbers)
+    return checks.select("check", "severity", "value", "threshold", "passed")
 
 
 FAULTS = ("bronze_conversation_id", "bronze_not_empty", "bronze_unexpected_columns", "dedup_effect")
@@ -1099,51 +1223,18 @@ def quality_faults(spark, sf_dir):
     return checks.filter(F.col("check").isin(*FAULTS)).select("check", "value", "threshold", "passed")
 
 
-@query(
-    "quality_numbers",
-    f"""select 'bronze.rows' as metric, cast(count(*) as double) as value from bronze
-    union all select 'bronze.null_conversation', {count_if('conversation_id is null')} from bronze
-    union all select 'messages.rows', count(*) from m
-    union all select 'messages.clear_cpf', {count_if(f"regexp_matches(message_body, {text(fv.CPF_PUNCTUATED)})")} from m
-    union all select 'lead_scoring.rows', count(*) from ls
-    union all select 'lead_scoring.low', min(lead_score) from ls
-    union all select 'lead_scoring.high', max(lead_score) from ls
-    union all select 'sentiment.rows', count(*) from s
-    union all select 'sentiment.low', min(sentiment_score) from s
-    union all select 'sentiment.high', max(sentiment_score) from s""",
-)
-def quality_numbers(spark, sf_dir):
-    s = silver(spark, sf_dir)
-    gold = build_gold(s)
-    return quality.measure_all(
-        {
-            "bronze": d.bronze(spark, sf_dir),
-            "messages": s.messages,
-            "lead_scoring": gold["lead_scoring"],
-            "sentiment": gold["sentiment"],
-        }
-    )
-
-
-UNMEASURED = "|".join(
-    sorted(["lead_score_range", "sentiment_range", *(f"{t}_not_empty" for t in quality.GOLD_TABLES)])
-)
-ABSENT = [f"{name}_exists" for name in ("conversations", "leads_profile", *quality.GOLD_TABLES)]
-
-
 @query(
     "quality_verdict",
-    f"""select 'FAIL' as status, '{'|'.join(sorted(["clear_cpf", *ABSENT]))}' as errors, '' as warnings, '{UNMEASURED}' as unmeasured from (select count(*) as n from m) where n > 0""",
+    f"""select case when bool_and(coalesce(passed, false)) filter (where severity = 'error') then 'PASS' else 'FAIL' end as status,
+    coalesce(string_agg("check", '|' order by "check") filter (where not passed and severity = 'error'), '') as errors,
+    coalesce(string_agg("check", '|' order by "check") filter (where not passed and severity = 'warning'), '') as warnings,
+    coalesce(string_agg("check", '|' order by "check") filter (where passed is null), '') as unmeasured
+    from ({_check_sql()})""",
 )
 def quality_verdict(spark, sf_dir):
-    """Clear-text messages and no further tables: the verdict names what is wrong."""
-    raw = d.bronze(spark, sf_dir)
-    return quality.verdict(
-        quality.run_checks(
-            {"bronze": raw, "messages": messages.clean_messages(raw)},
-            quality.Thresholds(min_silver_rows=1),
-        )
-    )
+    """The verdict over all tables."""
+    done = published(spark, sf_dir)
+    return quality.verdict(quality.run_checks(done.tables, numbers=done.numbers))
 
 
 @query(
@@ -1216,6 +1307,23 @@ def apply_feedback(spark, sf_dir):
     )
 
 
+@query(
+    "stored_feedback",
+    """select id, pr_number, pr_status, pr_resolved_at,
+    round(resolution_time_hours, 6) as resolution_time_hours, feedback from diag""",
+)
+def stored_feedback(spark, sf_dir):
+    """Feedback written into the stored log in three parts, one of which comes twice."""
+    stored = diagnostics.stored_log(scratch(spark), parts=8)
+    diagnostics.store_records(diagnoses(spark, sf_dir), stored)
+    feedback = d.feedback(spark, sf_dir)
+    for part in (2, 0, 1, 0):
+        diagnostics.store_feedback(feedback.where(F.col("pr_number") % 3 == part), stored)
+    return incremental.current(spark, stored).select(
+        "id", "pr_number", "pr_status", "pr_resolved_at", "resolution_time_hours", "feedback"
+    )
+
+
 @query(
     "rejected_feedback",
     """select pr_number, pr_status, case when pr_number <= 0 then 'pr_number must be positive'
