@@ -455,7 +455,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     names = docs.columns
     if out in names:
         raise ValueError(f"{out} is a column already")
-    giant = F.length(F.coalesce(F.col(text), F.lit(""))) > CHUNK
+    giant = F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) > CHUNK
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.shared(model.value)
@@ -466,20 +466,24 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{out}` array<int>"
     plain = docs.where(~giant).mapInArrow(short, schema)
-    large = docs.where(giant).withColumn("_giant", F.xxhash64(text))
-    once = large.select(F.col("_giant").alias("giant"), F.col(text).alias("text"))
-    ids = _giant_ids(once.dropDuplicates(["giant"]), model).withColumnRenamed("ids", "_ids")
-    large = large.join(ids, F.col("_giant") == F.col("giant"))
-    return plain.unionByName(large.select(*[F.col(f"`{n}`") for n in names], F.col("_ids").alias(out)))
+    row = F.struct(*[F.col(f"`{n}`") for n in names])  # no name of a column meets one of ours
+    large = docs.where(giant).select(row.alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("giant"))
+    once = large.select("giant", F.col("row")[text].alias("text"))
+    ids = _giant_ids(once.dropDuplicates(["giant"]), model)
+    large = large.join(ids, "giant").select(*[F.col("row")[n].alias(n) for n in names], F.col("ids").alias(out))
+    return plain.unionByName(large)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text that ids stand for, in place of ``ids``. Bytes that are no UTF-8 become
-    U+FFFD; null ids become null, ids of control pieces nothing. The text of encode() comes back
-    exactly, unless it holds U+2581, which comes back as a blank."""
+    """Adds the text that ids stand for, in place of ``ids``; ``out`` must be a new name. Bytes that
+    are no UTF-8 become U+FFFD; null ids become null, ids of control pieces nothing. The text of
+    encode() comes back exactly, unless it holds U+2581, which comes back as a blank. Repeated
+    rows each come back; an empty table gives an empty result."""
     small_batches(encoded.sparkSession)
     model = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     names = [n for n in encoded.columns if n != ids]
+    if out in names:
+        raise ValueError(f"{out} is a column already")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Pieces.shared(model.value).table

@@ -235,11 +235,10 @@ def op2_quality_classifier(spark, sf_dir):
 def op10_sentencepiece(spark, sf_dir):
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode(docs, model).withColumn("n_pieces", F.size("ids").cast("long"))
-    encoded = encoded.withColumn("ids_hash", F.xxhash64("ids"))
-    decoded = pieces.decode(encoded, model)
+    rows = pieces.encode(docs, model).withColumn("copy", F.col("ids"))
+    decoded = pieces.decode(rows, model, ids="copy")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return decoded.select("doc_id", "n_pieces", "ids_hash", same.alias("round_trip"))
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
 
 
 @query("op11_sharding")

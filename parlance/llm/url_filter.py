@@ -18,13 +18,8 @@ from pyspark.sql import types as T
 
 from parlance.llm.common import small_batches, stored
 
-#: Characters the models tell apart; any other byte counts as one more character.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-"
-#: Symbols: the alphabet, other bytes, and the edge before the first and after the last.
-OTHER, EDGE, SYMBOLS = len(ALPHABET), len(ALPHABET) + 1, len(ALPHABET) + 2
-#: Longest context; a model has SYMBOLS ** (CONTEXT + 1) cells, 2.8 million, whatever the input.
+#: Longest context.
 CONTEXT = 3
-CELLS = SYMBOLS ** (CONTEXT + 1)
 #: A run holds CONTEXT bytes and the next, of 9 bits each; EDGE_BYTE stands before and after a URL.
 EDGE_BYTE, BITS = 256, 9
 #: Runs whose ratios every task holds. A run beyond them is less than 1/FREQUENT of all runs, so
@@ -64,50 +59,6 @@ def rule_columns(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return rule, verdict
 
 
-def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Model cells of all symbols of all texts, and the number of symbols of each text; the last
-    symbol of a text is the edge."""
-    table = np.full(256, OTHER, np.int64)
-    for code, symbol in enumerate(ALPHABET):
-        table[ord(symbol)] = table[ord(symbol.upper())] = code
-    found = texts.cast(pa.binary())
-    lengths = np.array([len(x) for x in found.to_pylist()], np.int64)
-    data = np.frombuffer(b"".join(found.to_pylist()), np.uint8)
-    sizes = lengths + 1 + CONTEXT
-    starts = np.cumsum(sizes) - sizes
-    symbols = np.full(int(sizes.sum()), EDGE, np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(data)) - (np.cumsum(lengths) - lengths)[owner]
-    symbols[starts[owner] + CONTEXT + place] = table[data]
-    cells = np.zeros(len(symbols) - CONTEXT if len(symbols) else 0, np.int64)
-    for k in range(CONTEXT + 1):
-        cells = cells * SYMBOLS + symbols[k : k + len(cells)]
-    inside = np.ones(len(cells), bool)  # runs that lie in one text
-    for k in range(1, CONTEXT + 1):
-        inside[starts[1:] - k] = False
-    return cells[inside], lengths + 1
-
-
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of the last symbol of each cell given the others.
-
-    Every order is interpolated with the next shorter one, by as much as its context has
-    different successors (Witten-Bell); below order 0 all symbols are equally likely.
-    """
-    longer = counts.astype(np.float64).reshape([SYMBOLS] * (CONTEXT + 1))
-    orders = [longer]
-    for _ in range(CONTEXT):
-        longer = longer.sum(axis=0)
-        orders.append(longer)
-    chance = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for table in orders[::-1]:
-        kinds = (table > 0).sum(axis=-1, keepdims=True)
-        total = table.sum(axis=-1, keepdims=True)
-        mix = table + kinds * chance
-        chance = np.where(total > 0, mix / np.maximum(total + kinds, 1), chance)
-    return np.log(chance).reshape(-1)
-
-
 def runs_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Packed runs that end at every byte and at the end of every text, and runs of each text."""
     found = texts.cast(pa.binary()).to_pylist()

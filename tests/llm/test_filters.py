@@ -82,39 +82,6 @@ def test_urls_by_brute_force(make):
         assert r.verdict in ("allow", "block") and (not fits or r.verdict == max(fits)[2])
 
 
-def test_url_model_by_brute_force():
-    texts = ["ab.com/x", "ab", "", "zz.org/y", "ab.com/é"]
-    import pyarrow as pa
-
-    cells, sizes = url_filter.cells_of(pa.array(texts))
-    assert sizes.tolist() == [len(t.encode()) + 1 for t in texts]
-    counts = np.bincount(cells, minlength=url_filter.CELLS)
-    table = url_filter.log_model(counts)
-    n = url_filter.SYMBOLS
-    assert np.allclose(np.exp(table).reshape(-1, n).sum(axis=1), 1)
-    code = {c: i for i, c in enumerate(url_filter.ALPHABET)}
-    runs = Counter()
-    for t in texts:
-        s = [url_filter.EDGE] * 3 + [code.get(chr(b), url_filter.OTHER) for b in t.encode()] + [url_filter.EDGE]
-        for k in range(3, len(s)):
-            for m in range(4):
-                runs[tuple(s[k - m : k + 1])] += 1
-
-    def chance(context, symbol):
-        lower = chance(context[1:], symbol) if context else 1 / n
-        after = {x[-1]: c for x, c in runs.items() if x[:-1] == context and len(x) == len(context) + 1}
-        if not after:
-            return lower
-        total = sum(after.values())
-        return (after.get(symbol, 0) + len(after) * lower) / (total + len(after))
-
-    for context, symbol in (((41 - 1,) * 3, code["a"]), ((0, 1, 2), 5), ((code["a"], code["b"], code["."]), code["c"])):
-        cell = 0
-        for x in (*context, symbol):
-            cell = cell * n + x
-        assert table[cell] == pytest.approx(math.log(chance(context, symbol)))
-
-
 def test_urls_without_labels(make):
     got = url_filter.filter_urls(make([(1, "http://a.org/", "")], "page_id long, url string, html string"), URL_RULES)
     assert [r.verdict for r in got.collect()] == ["allow"]

@@ -137,6 +137,33 @@ def test_giant_texts_over_tasks(make, library, monkeypatch):
     assert back == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_clashing_names(make, library, monkeypatch):
+    """Columns named like those that the operator makes on its way."""
+    monkeypatch.setattr(sp, "CHUNK", 50)
+    rows = [(1, "ab cd " * 30, 5, 6, "x", 7), (2, "short", 8, 9, "y", 10), (3, None, 1, 2, "z", 3)]
+    names = "doc_id long, `te xt` string, giant long, _giant long, part string, _ids long"
+    docs = make(rows, names)
+    encoded = sp.encode(docs, MODEL, text="te xt")
+    got = {r["doc_id"]: r for r in encoded.collect()}
+    assert encoded.columns == [*docs.columns, "ids"]
+    for r in rows:
+        assert tuple(got[r[0]]) == (*r, library.encode(r[1] or ""))
+    with pytest.raises(ValueError):
+        sp.encode(encoded, MODEL, text="te xt")
+    with pytest.raises(ValueError):
+        sp.decode(encoded.withColumnRenamed("part", "decoded"), MODEL)
+
+
+def test_query_returns_the_ids(spark, library):
+    from parlance.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = QUERIES["op10_sentencepiece"](spark, small).collect()
+    assert {r.doc_id: r.ids for r in rows} == {k: library.encode(t or "") for k, t in texts.items()}
+    assert all(r.n_pieces == len(r.ids) and r.round_trip for r in rows)
+
+
 def test_odd_texts(odd, none, make):
     back = sp.decode(sp.encode(odd, MODEL), MODEL).collect()
     assert len(back) == odd.count() and all(r.decoded == (r.text or "") for r in back)
