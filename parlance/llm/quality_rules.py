@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import stored, words
 
-#: Leading bits a bucket keeps: a quartile is low by less than one part in 64.
+#: Leading bits a bucket keeps: a quartile is low by less than one part in 64, and exact below 128.
 BITS = 7
-#: (language, source) pairs with fewer documents use the limits of their language.
-LEAST_DOCS = 50
+#: A limit of a (language, source) pair and that of its language are averaged, weighted by the pair's
+#: documents and by this many.
+PRIOR = 50
 #: A limit lies this many quartile distances beyond the quartile.
 REACH = 3
-#: Measure -> (distance beyond the quartile that is always allowed, whether low values fail too).
-#: All but word length are per 10,000 (of words, lines or characters of words).
+#: Measure -> (occurrences that are no share yet, room beyond the reach, whether low values fail too).
+#: All but word length are per 10,000 (of words, lines or characters of words); a word that is
+#: repeated counts in windows of three words that occur twice. The room is what the sketch tells
+#: apart: the 128 values that it counts one by one, and for word length a part of them.
 MEASURES = {
-    "symbol_share": (2_000, False), "dup_line_share": (2_000, False),
-    "repeat_share": (2_000, False), "capital_share": (2_000, False), "word_length": (300, True),
+    "symbol_share": (3, 1 << BITS, False), "dup_line_share": (3, 1 << BITS, False),
+    "repeat_share": (18, 1 << BITS, False), "capital_share": (3, 1 << BITS, False),
+    "word_length": (0, 1 << BITS - 3, True),
 }
 
 
@@ -117,9 +121,9 @@ def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
     )
     reach = (F.col("q3") - F.col("q1")) * REACH
     bounds = []
-    for name, (slack, two_sided) in MEASURES.items():
-        room = F.greatest(reach, F.lit(slack))
-        low = F.col("q1") - room if two_sided else F.lit(None).cast("long")
+    for name, (_, least, two_sided) in MEASURES.items():
+        room = reach + least
+        low = F.greatest(F.col("q1") - room, F.lit(0)) if two_sided else F.lit(None).cast("long")
         here = F.col("measure") == name
         bounds += [
             F.max(F.when(here, low)).alias(f"{name}_low"),
@@ -137,8 +141,10 @@ def judge(
     base_failed: under 50 words, or over half of them in repeated three-word windows. Rows that
     pass are kept if every measure lies within the limits of their language and source. Null
     languages and sources form groups of their own; null, empty and blank texts have no words
-    and fail; equal rows get equal results; an empty table gives an empty result. Groups with
-    few documents take the limits of their language.
+    and fail; equal rows get equal results; an empty table gives an empty result. The limits are the
+    quartiles of the group, extended by REACH times their distance and by the resolution of the
+    sketch; those of small groups lean on the limits of their language, by the numbers of documents.
+    A few symbols, capitals or repetitions in one document are no share of it.
     """
 
     def key(name: str) -> Column:
@@ -148,14 +154,13 @@ def judge(
     keep = [F.col(id_col).alias("doc_id"), key(lang).alias("_lang"), key(source).alias("_source")]
     counts = text_counts(docs, text, keep)
 
-    def share(part: str, of: str) -> Column:
-        return F.when(F.col(of) > 0, F.expr(f"{part} * 10000 div {of}")).otherwise(0).cast("long")
+    def share(part: str, of: str, name: str) -> Column:
+        some = f"greatest({part} - {MEASURES[name][0]}, 0) * 10000 div {of}"
+        return F.when(F.col(of) > 0, F.expr(some)).otherwise(0).cast("long").alias(name)
 
     measured = counts.select(
-        "*", share("n_symbols", "n_words").alias("symbol_share"),
-        share("n_dup_lines", "n_lines").alias("dup_line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
-        share("n_capitals", "word_chars").alias("capital_share"),
+        "*", share("n_symbols", "n_words", "symbol_share"), share("n_dup_lines", "n_lines", "dup_line_share"),
+        share("n_repeat_words", "n_words", "repeat_share"), share("n_capitals", "word_chars", "capital_share"),
         F.when(F.col("n_words") > 0, F.expr("word_chars * 100 div n_words")).otherwise(0)
         .cast("long").alias("word_length"),
     )
@@ -167,10 +172,7 @@ def judge(
     chosen = own.join(coarse.select("_lang", *[F.col(b).alias(f"l_{b}") for b in bounds]), "_lang")
     chosen = chosen.select(
         "_lang", "_source",
-        *[
-            F.when(F.col("docs") >= LEAST_DOCS, F.col(b)).otherwise(F.col(f"l_{b}")).alias(b)
-            for b in bounds
-        ],
+        *[F.expr(f"(docs * {b} + {PRIOR} * l_{b}) div (docs + {PRIOR})").alias(b) for b in bounds],
     )
     good = F.lit(True)
     for name in MEASURES:

@@ -78,8 +78,8 @@ def _quality_sql() -> str:
     )
 
     def limits(name: str, by: str) -> str:
-        slack = "case measure " + " ".join(
-            f"when '{m}' then {quality_rules.MEASURES[m][0]}" for m in names
+        room = "case measure " + " ".join(
+            f"when '{m}' then {quality_rules.MEASURES[m][1]}" for m in names
         ) + " end"
         return f"""
         {name}_sums as (
@@ -94,13 +94,13 @@ def _quality_sql() -> str:
             from {name}_sums group by {by}, measure),
         {name} as (
             select {by}, measure, docs,
-                q1 - greatest((q3 - q1) * {quality_rules.REACH}, {slack}) as low,
-                q3 + greatest((q3 - q1) * {quality_rules.REACH}, {slack}) as high
+                greatest(q1 - (q3 - q1) * {quality_rules.REACH} - {room}, 0) as low,
+                q3 + (q3 - q1) * {quality_rules.REACH} + {room} as high
             from {name}_q)"""
 
     fails = " or ".join(
         f"(l.measure = '{m}' and (d.{m} > l.high" + (f" or d.{m} < l.low" if two else "") + "))"
-        for m, (_, two) in quality_rules.MEASURES.items()
+        for m, (*_, two) in quality_rules.MEASURES.items()
     )
     return f"""
     with split as (
@@ -128,10 +128,10 @@ def _quality_sql() -> str:
         from split s left join covered c using (doc_id)),
     measured as (
         select *,
-            case when n_words > 0 then n_symbols * 10000 // n_words else 0 end as symbol_share,
-            case when n_lines > 0 then n_dup_lines * 10000 // n_lines else 0 end as dup_line_share,
-            case when n_words > 0 then n_repeat_words * 10000 // n_words else 0 end as repeat_share,
-            case when word_chars > 0 then n_capitals * 10000 // word_chars else 0 end as capital_share,
+            case when n_words > 0 then greatest(n_symbols - {quality_rules.MEASURES['symbol_share'][0]}, 0) * 10000 // n_words else 0 end as symbol_share,
+            case when n_lines > 0 then greatest(n_dup_lines - {quality_rules.MEASURES['dup_line_share'][0]}, 0) * 10000 // n_lines else 0 end as dup_line_share,
+            case when n_words > 0 then greatest(n_repeat_words - {quality_rules.MEASURES['repeat_share'][0]}, 0) * 10000 // n_words else 0 end as repeat_share,
+            case when word_chars > 0 then greatest(n_capitals - {quality_rules.MEASURES['capital_share'][0]}, 0) * 10000 // word_chars else 0 end as capital_share,
             case when n_words > 0 then word_chars * 100 // n_words else 0 end as word_length
         from counts),
     sketch as (
@@ -141,8 +141,8 @@ def _quality_sql() -> str:
     {limits("coarse", "lang")},
     chosen as (
         select f.lang, f.source, f.measure,
-            case when f.docs >= {quality_rules.LEAST_DOCS} then f.low else c.low end as low,
-            case when f.docs >= {quality_rules.LEAST_DOCS} then f.high else c.high end as high
+            (f.docs * f.low + {quality_rules.PRIOR} * c.low) // (f.docs + {quality_rules.PRIOR}) as low,
+            (f.docs * f.high + {quality_rules.PRIOR} * c.high) // (f.docs + {quality_rules.PRIOR}) as high
         from fine f join coarse c on f.lang is not distinct from c.lang and f.measure = c.measure),
     judged as (
         select d.doc_id, bool_or(coalesce({fails}, false)) as beyond

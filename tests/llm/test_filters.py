@@ -41,6 +41,31 @@ def test_rules_reject_what_stands_out(make):
     assert not any(got[i] for i in (200, 201, 202)) and all(got[r[0]] for r in clean)
 
 
+def test_no_fixed_reach(make):
+    """Among 400 documents without symbols or capitals, a sixth of either stands out."""
+    clean = [(i, " ".join(f"word{chr(97 + (i + k) % 26)}{chr(97 + k % 23)}" for k in range(60 + i % 9)), "en", "s", 0) for i in range(400)]
+    odd = [
+        (500, " ".join(("#tag" if k % 6 == 0 else "word") + chr(97 + k % 26) + chr(97 + k // 26) for k in range(60)), "en", "s", 0),
+        (501, " ".join("wORD"[: 4] if k % 4 == 0 else f"abc{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "en", "s", 0),
+        (502, " ".join(("#" if k < 3 else "") + f"abcd{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "en", "s", 0),
+    ]
+    got = {r.doc_id: r for r in quality_rules.judge(make(clean + odd)).collect()}
+    assert all(got[r[0]].kept for r in clean) and got[502].kept
+    assert not got[500].kept and not got[501].kept
+    assert got[501].n_repeat_words == 0
+
+
+def test_limits_of_small_groups_lean_on_the_language(make):
+    """One more document moves a group's limit a little, at any size of the group."""
+    def limit_of(n):
+        rows = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "en", "big", 0) for i in range(300)]
+        rows += [(1000 + i, " ".join("WORD" if k < 12 else f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "en", "small", 0) for i in range(n)]
+        rows.append((5000, " ".join("WORD" if k < 6 else f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "en", "small", 0))
+        return {r.doc_id: r.kept for r in quality_rules.judge(make(rows)).collect()}[5000]
+
+    assert [limit_of(n) for n in (1, 60)] == [False, True]
+
+
 def test_sketches_merge(make):
     df = make([(i, None, "en", f"s{i % 3}", i * i) for i in range(500)])
     values = df.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"),
