@@ -124,6 +124,86 @@ def test_kneser_ney_is_a_distribution(make):
             assert total == pytest.approx(1, abs=1e-4)
 
 
+def kneser_ney(texts):
+    """Probability of a word after two others by the definition, over plain dictionaries."""
+    words_of = [t.split() for t in texts]
+    counts = Counter(w for t in words_of for w in t)
+    vocabulary = [w for w, n in counts.items() if n > 1]
+
+    def number(w):
+        return w if w in vocabulary else qc.shape(w) if w != "" else qc.EDGE
+
+    three = Counter()
+    for t in words_of:
+        row = ["", "", *t, ""]
+        three.update((number(a), number(b), number(c)) for a, b, c in zip(row, row[1:], row[2:]))
+    two = Counter((b, c) for _, b, c in three)
+    one = Counter((c,) for _, c in two)
+    numbers = len(vocabulary) + qc.FIRST
+
+    def model(table):
+        n = Counter(min(x, 5) for x in table.values())
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        cut = {k: min(max(k - (k + 1) * y * n[k + 1] / max(n[k], 1), 0.1), k - 0.1) for k in (1, 2, 3)}
+        total, taken = Counter(), Counter()
+        for run, x in table.items():
+            total[run[:-1]] += x
+            taken[run[:-1]] += cut[min(x, 3)]
+        return table, cut, total, taken
+
+    models = [model(one), model(two), model(three)]
+
+    def chance(run):
+        if not run:
+            return 1 / numbers
+        table, cut, total, taken = models[len(run) - 1]
+        shorter = chance(run[1:])
+        if run[:-1] not in total:
+            return shorter
+        x = table.get(run, 0)
+        return (x - (cut[min(x, 3)] if x else 0)) / total[run[:-1]] + taken[run[:-1]] / total[run[:-1]] * shorter
+
+    unknown = Counter(qc.shape(w) for w in counts if w not in vocabulary)
+
+    def perplexity(text):
+        row = ["", "", *text.split(), ""]
+        logs = [
+            math.log(chance((number(a), number(b), number(c))))
+            - (math.log(unknown[qc.shape(c)] + 1) if c and c not in vocabulary else 0)
+            for a, b, c in zip(row, row[1:], row[2:])
+        ]
+        return math.exp(-sum(logs) / len(logs))
+
+    return perplexity
+
+
+def test_perplexity_by_brute_force(make):
+    draw = np.random.default_rng(9)
+    letters = ["ka", "lo", "mi", "ne", "su", "Ra", "TI", "v0", "p!", "xo"]
+    texts = [" ".join(draw.choice(letters[:8], draw.integers(1, 12))) for _ in range(60)]
+    texts += ["odd one out", "Another 3rd thing"]
+    perplexity = kneser_ney(texts)
+    trained = make([(t, "xx") for t in texts], "text string, lang string")
+    vocabularies, shards, stands_for = qc.train_all(trained, {"xx": 0})
+    asked = [*texts[:20], "ka lo unknown words", "", "xo p! Strange WORDS 77", "mi mi mi mi"]
+    rows = make([(i, t, "xx") for i, t in enumerate(asked)], "i long, text string, lang string")
+    got = {r.i: r for r in qc.log_scores(rows, {"xx": 0}, vocabularies, shards, stands_for).collect()}
+    for i, text in enumerate(asked):
+        assert math.exp(-got[i]["mean"]) == pytest.approx(perplexity(text), rel=1e-4), text
+        assert got[i].n_tokens == len(text.split()) + 1
+
+
+def test_many_languages_share_one_bound(make, monkeypatch):
+    """More languages than models: the largest have one, and the others are judged by the nearest."""
+    monkeypatch.setattr(qc, "LANGUAGES", 2)
+    draw = np.random.default_rng(7)
+    rows = [(i, " ".join(draw.choice(["ka", "lo", "mi", "ne"], 20)), f"l{i % 5 if i % 3 else 0}", "s", 0) for i in range(300)]
+    rows += [(1000, " ".join(f"q%{k}x" for k in range(30)), "l4", "s", 0), (1001, "ka lo", None, "s", 0)]
+    got = {r.doc_id: r for r in qc.classify(make(rows), make([(i,) for i in range(300)], "doc_id long")).collect()}
+    assert len(got) == len(rows) and not got[1000].kept
+    assert sum(r.kept for r in got.values()) >= 295
+
+
 def test_classifier_separates(make):
     draw = np.random.default_rng(5)
     vocabulary = [a + b for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "ti", "vo", "pe")]
