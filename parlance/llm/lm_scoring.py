@@ -1,11 +1,16 @@
 """Scores of texts under a log-bilinear neural language model.
 
-Word counts come from the whole training corpus. The frequent words are classes of a neural
-model of the next class given two classes before it: the score of a class is the product of its
-vector with the sum of two context vectors, plus a bias. Every task trains on its share of the
-corpus by noise-contrastive estimation, and the tasks' parameters are averaged by size. All
-contexts' normalisers are computed by matrix products, so scores are true log-probabilities. A
-word outside the classes counts as the class ``rare`` and, within it, by its smoothed count.
+Word counts come from the whole training corpus. The frequent words, more of them the larger the
+corpus, and the endings of all other words are the items of a neural model of the next item given
+three before it: the context's vector is the sum of the items' vectors, weighted by place. Items lie
+in clusters of like frequency. The score of a cluster, and that of an item in its cluster, is the
+product of its vector with the context's, plus a bias; both are normalised by matrix products, so
+scores are true log-probabilities. Among the words of an ending a word counts by its smoothed count.
+
+The documents are dealt to shards by hash. In each of a few rounds every shard of the round trains
+the merged model of the round before on its texts, by noise-contrastive estimation, in an order of
+its own; the shards' models are then averaged in order. So results do not depend on how the input is
+split, and all texts are trained on.
 """
 
 from __future__ import annotations
@@ -15,20 +20,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Tokens, small_batches, steps, stored
+from parlance.llm.common import Tokens, release, small_batches, steps, stored
 
-#: Classes of the neural model: rare words, then the most frequent words (the end is a word).
-CLASSES = 1024
+#: Items of their own: this many times the root of the training tokens, this many at most.
+GROWTH, MOST_ITEMS = 2, 1 << 18
+#: Items that stand for the other words, by their last LAST bytes.
+TAILS, LAST = 512, 3
 #: Words whose counts every task holds. A word beyond them has less than 1/FREQUENT of all
 #: tokens, so no key of the join with the other counts is hot.
 FREQUENT = 1 << 18
-DIMENSION, NOISE, BATCH, RATE = 24, 64, 4096, 0.1
-#: Context before the first word; the end of a text, which no word can equal.
-BEGIN = CLASSES
+#: Vectors; items of context; noise clusters of a batch, noise items of a cluster; step sizes.
+DIMENSION, PLACES, NOISE, INNER, RATE, CALM = 16, 5, 32, 8, 0.1, 1.0
+#: Training: tokens of a shard, rounds, shards of a round at most, steps of a shard, tokens of a step.
+SHARD, ROUNDS, MOST_SHARDS, STEPS, LEAST_STEP, MOST_STEP = 1 << 21, 4, 1024, 128, 256, 1 << 14
+#: Tokens that are scored at once; parameters that are merged at once.
+SCORED, MERGED = 1 << 15, 1 << 14
+#: The end of a text, which no word can equal.
 END = xxhash.xxh3_64_intdigest(b"\n")
 
 
@@ -46,21 +58,33 @@ def token_stream(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return signed(hashes), codes, sizes
 
 
+def endings(tokens: Tokens) -> np.ndarray:
+    """Number of the ending of every word of the vocabulary, and of the end."""
+    last = pc.binary_slice(tokens.vocabulary.cast(pa.large_binary()), start=-LAST).dictionary_encode()
+    names = last.dictionary.to_pylist()
+    numbers = np.fromiter((xxhash.xxh3_64_intdigest(x) % TAILS for x in names), np.int64, len(names))
+    return np.append(numbers[last.indices.to_numpy(zero_copy_only=False)], 0)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n): count of every word, by its 64-bit hash, and of the end, in the training texts."""
+    """(word, ending, n): count of every word, by its 64-bit hash, and of the end, in the training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            hashes, codes, _ = token_stream(Tokens(batch.column("text"), lower=True))
+            tokens = Tokens(batch.column("text"), lower=True)
+            hashes, codes, _ = token_stream(tokens)
             n = np.bincount(codes, minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes), pa.array(endings(tokens).astype(np.int32)), pa.array(n)],
+                names=["word", "ending", "n"],
+            )
 
-    found = training.select("text").mapInArrow(count, "word long, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+    found = training.select("text").mapInArrow(count, "word long, ending int, n long")
+    return found.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
-class Classes:
-    """Class of a word hash: 0 (rare), or 1 and up for the given hashes in their order."""
+class Places:
+    """Place of a word hash among the given ones, in their order, or -1."""
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.order = np.argsort(hashes)
@@ -68,56 +92,98 @@ class Classes:
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
-            return np.zeros(len(hashes), np.int64)
+            return np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0)
-
-
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class one and two places before every token, BEGIN before the first of a text."""
-    first = np.cumsum(sizes) - sizes
-    one, two = np.empty_like(classes), np.empty_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
-    one[first] = BEGIN
-    two[first] = BEGIN
-    two[first[sizes > 1] + 1] = BEGIN
-    return one, two
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
+
+
+class Items:
+    """Items in order of frequency: ``own[i]`` and ``tail[e]`` are the items of the ``i``-th frequent
+    word and of ending ``e``. A cluster is ``width`` items in a row."""
+
+    def __init__(self, counts: np.ndarray, tails: np.ndarray) -> None:
+        mass = np.concatenate([counts, tails]).astype(np.float64) + 1
+        order = np.argsort(-mass, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.own, self.tail = place[: len(counts)], place[len(counts) :]
+        self.size = len(order)
+        self.width = int(np.ceil(np.sqrt(self.size)))
+        self.clusters = -(-self.size // self.width)
+        whole = np.zeros(self.clusters * self.width)
+        whole[: self.size] = mass[order] / mass.sum()
+        self.chance = whole  # 0 behind the last item
+        self.of_cluster = whole.reshape(self.clusters, self.width).sum(1)
+
+
+def contexts(items: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
+    """Items one, two, ... places before every token (a row each), ``begin`` before a text's first."""
+    inside = np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = np.full((PLACES, len(items)), begin, np.int64)
+    for p in range(PLACES):
+        found[p, p + 1 :] = items[: max(len(items) - p - 1, 0)]
+        found[p, inside <= p] = begin
+    return found
 
 
 class Model:
-    """Vectors of classes (with bias in the last column) and of contexts one and two back."""
-
-    SHAPES = ((CLASSES, DIMENSION + 1), (CLASSES + 1, DIMENSION), (CLASSES + 1, DIMENSION))
+    """Vectors with a bias in the last column, of items and clusters; vectors of items as context,
+    the last one that before a text; weights of the places."""
 
     def __init__(self, parts: list[np.ndarray]) -> None:
-        self.out, self.one, self.two = parts
+        self.out, self.top, self.before, self.place = parts
+
+    @staticmethod
+    def shapes(items: Items) -> list[tuple[int, int]]:
+        d = DIMENSION
+        return [(len(items.chance), d + 1), (items.clusters, d + 1), (items.size + 1, d), (PLACES, d)]
 
     @classmethod
-    def start(cls, chance: np.ndarray) -> Model:
+    def start(cls, items: Items) -> Model:
         draw = np.random.default_rng(11)
-        parts = [draw.normal(0, 0.1, s).astype(np.float32) for s in cls.SHAPES]
-        parts[0][:, -1] = np.log(chance)
+        parts = [draw.normal(0, 0.1, s).astype(np.float32) for s in cls.shapes(items)]
+        inner = items.chance / np.repeat(items.of_cluster, items.width)
+        parts[0][:, -1] = np.log(np.maximum(inner, 1e-35))
+        parts[1][:, -1] = np.log(items.of_cluster)
+        parts[3] = np.ones_like(parts[3]) / np.arange(1, PLACES + 1, dtype=np.float32)[:, None]
         return cls(parts)
 
+    @property
+    def parts(self) -> list[np.ndarray]:
+        return [self.out, self.top, self.before, self.place]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.out, self.one, self.two)])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Model:
-        ends = np.cumsum([0, *(a * b for a, b in cls.SHAPES)])
-        return cls(
-            [flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(ends, ends[1:], cls.SHAPES)]
-        )
-
-    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.one[one] + self.two[two]
-
-    def normalisers(self, two: int) -> np.ndarray:
-        """Log of the sum of exp(score) over all classes, for every class one back."""
-        every = np.arange(CLASSES + 1)
-        scores = self.context(every, np.full(len(every), two)) @ self.out[:, :-1].T + self.out[:, -1]
-        top = scores.max(axis=1, keepdims=True)
-        return (np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]).astype(np.float32)
+    def of(cls, flat: np.ndarray, items: Items) -> Model:
+        shapes = cls.shapes(items)
+        ends = np.cumsum([0, *(a * b for a, b in shapes)])
+        return cls([flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(ends, ends[1:], shapes)])
+
+    def context(self, before: np.ndarray) -> np.ndarray:
+        return sum(self.before[before[p]] * self.place[p] for p in range(PLACES))
+
+    def log_chances(self, items: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Log-probability of every item after its context: that of its cluster, and in the cluster."""
+        q, width = self.context(before), len(self.out) // len(self.top)
+        cluster = items // width
+        scores = q @ self.top[:, :-1].T + self.top[:, -1]
+        found = scores[np.arange(len(items)), cluster] - log_sums(scores)
+        order = np.argsort(cluster, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            if len(rows):
+                first = int(cluster[rows[0]]) * width
+                part = self.out[first : first + width]
+                scores = q[rows] @ part[:, :-1].T + part[:, -1]
+                found[rows] += scores[np.arange(len(rows)), items[rows] - first] - log_sums(scores)
+        return found
+
+
+def log_sums(scores: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp along rows."""
+    top = scores.max(axis=1, keepdims=True)
+    return np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -125,83 +191,255 @@ def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(rows, v, size) for v in values.T], axis=1).astype(np.float32)
 
 
+def _pull(true: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(true, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive estimation with adaptive step sizes.
+    """Noise-contrastive estimation with adaptive step sizes, of the cluster and of the item in it.
 
-    A batch shares its noise classes, drawn from the class frequencies; each stands for one noise
-    sample of every context.
+    A batch shares its noise clusters, and the tokens of a cluster its noise items, drawn by
+    frequency; each stands for one noise sample of every context.
     """
 
-    def __init__(self, chance: np.ndarray) -> None:
-        self.model = Model.start(chance)
-        self.chance = chance
-        self.offset = np.log(NOISE * chance).astype(np.float32)
-        self.draw = np.random.default_rng(13)
-        self.size = [np.full(s, 1e-3, np.float32) for s in Model.SHAPES]
-
-    def step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        m = self.model
-        noise = self.draw.choice(CLASSES, NOISE, p=self.chance)
-        q = m.context(one, two)
-        true = np.einsum("ij,ij->i", q, m.out[word, :-1]) + m.out[word, -1] - self.offset[word]
-        false = q @ m.out[noise, :-1].T + m.out[noise, -1] - self.offset[noise]
-        pull = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        push = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        vector = pull[:, None] * m.out[word, :-1] + push @ m.out[noise, :-1]
-        ones = np.ones((len(word), 1), np.float32)
-        grown = np.hstack([q, ones])
-        out = _sums(word, pull[:, None] * grown, CLASSES)
-        np.add.at(out, noise, push.T @ grown)
-        grads = (out, _sums(one, vector, CLASSES + 1), _sums(two, vector, CLASSES + 1))
-        for part, size, grad in zip((m.out, m.one, m.two), self.size, grads):
-            grad = grad / len(word)
+    def __init__(self, items: Items, flat: np.ndarray, seed: int) -> None:
+        self.items, self.model = items, Model.of(flat, items)
+        self.draw = np.random.default_rng([13, seed])
+        inner = items.chance / np.repeat(items.of_cluster, items.width)
+        self.cluster_off = np.log(NOISE * items.of_cluster).astype(np.float32)
+        self.item_off = np.log(INNER * np.maximum(inner, 1e-35)).astype(np.float32)
+        self.ends = np.cumsum(items.chance)
+        self.starts = np.concatenate([[0.0], np.cumsum(items.of_cluster)[:-1]])
+        self.size = [np.full(s, CALM, np.float32) for s in Model.shapes(items)]
+
+    def noise_items(self) -> np.ndarray:
+        """INNER items of every cluster."""
+        at = self.starts[:, None] + self.draw.random((self.items.clusters, INNER)) * self.items.of_cluster[:, None]
+        found = np.searchsorted(self.ends, at.ravel(), "right").reshape(at.shape)
+        first = np.arange(self.items.clusters)[:, None] * self.items.width
+        return np.clip(found, first, np.minimum(first + self.items.width, self.items.size) - 1)
+
+    def step(self, word: np.ndarray, before: np.ndarray) -> None:
+        m, width = self.model, self.items.width
+        cluster = word // width
+        order = np.argsort(cluster, kind="stable")
+        word, before, cluster = word[order], before[:, order], cluster[order]
+        q = m.context(before)
+        grown = np.hstack([q, np.ones((len(word), 1), np.float32)])
+        # the cluster
+        noise = self.draw.choice(self.items.clusters, NOISE, p=self.items.of_cluster)
+        true = (grown * m.top[cluster]).sum(1) - self.cluster_off[cluster]
+        push = -_pull(-(grown @ m.top[noise].T - self.cluster_off[noise]))
+        pull = _pull(true)
+        vector = pull[:, None] * m.top[cluster, :-1] + push @ m.top[noise, :-1]
+        top = _sums(cluster, pull[:, None] * grown, len(m.top))
+        np.add.at(top, noise, push.T @ grown)
+        # the item in the cluster
+        true = (grown * m.out[word]).sum(1) - self.item_off[word]
+        pull = _pull(true)
+        vector += pull[:, None] * m.out[word, :-1]
+        out = _sums(word, pull[:, None] * grown, len(m.out))
+        drawn = self.noise_items()
+        ends = np.append(np.flatnonzero(np.diff(cluster)) + 1, len(cluster))
+        start = 0
+        for end in ends.tolist():
+            noise = drawn[cluster[start]]
+            push = -_pull(-(grown[start:end] @ m.out[noise].T - self.item_off[noise]))
+            vector[start:end] += push @ m.out[noise, :-1]
+            np.add.at(out, noise, push.T @ grown[start:end])
+            start = end
+        context = np.zeros_like(m.before)
+        place = np.empty_like(m.place)
+        for p in range(PLACES):
+            context += _sums(before[p], vector * m.place[p], len(context))
+            place[p] = (vector * m.before[before[p]]).sum(0)
+        for part, size, grad in zip(m.parts, self.size, (out, top, context, place)):
             size += grad * grad
             part += RATE * grad / np.sqrt(size)
 
 
-def train(training: DataFrame, class_words: np.ndarray, chance: np.ndarray) -> Model:
-    """Average, weighted by tokens, of the models that the tasks train on their texts."""
-    shared = training.sparkSession.sparkContext.broadcast((class_words, chance))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trainer, seen = Classes(shared.value[0]), Trainer(shared.value[1]), 0
-        for batch in steps(batches):
-            hashes, codes, sizes = token_stream(Tokens(batch.column("text"), lower=True))
-            found = known.of(hashes)[codes]
-            one, two = contexts(found, sizes)
-            for a in range(0, len(found), BATCH):
-                b = a + BATCH
-                trainer.step(found[a:b], one[a:b], two[a:b])
-            seen += len(found)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([seen]), pa.array([trainer.model.flat().tobytes()])],
-                names=["tokens", "model"],
-            )
-
-    def weighed(row) -> tuple[int, np.ndarray]:
-        return row[0], np.frombuffer(row[1], np.float32).astype(np.float64) * row[0]
-
-    def add(a, b):
-        return a[0] + b[0], a[1] + b[1]
-
-    models = training.select("text").mapInArrow(fit, "tokens long, model binary")
-    zero = (0, np.zeros(sum(a * b for a, b in Model.SHAPES)))
-    total, flat = models.rdd.map(weighed).treeAggregate(zero, add, add, depth=3)
-    return Model.of(flat / total) if total else Model.start(chance)
+def by_shard(rows: DataFrame, shards: int, tasks: int) -> DataFrame:
+    """Rows (shard, order, ...) with those of a shard behind each other in their order, in one task;
+    a task may have several shards. Sorting spills, so a shard need not fit into memory."""
+    return rows.repartition(min(shards, max(tasks, 1)), "shard").sortWithinPartitions("shard", "order", "row")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    shard = batch.column("shard").to_numpy(zero_copy_only=False)
+    ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(shard))
+    start = 0
+    for end in ends.tolist():
+        if end > start:
+            yield int(shard[start]), batch.slice(start, end - start)
+        start = end
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    lists = batch.column("items")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(
+        zero_copy_only=False
+    ).astype(np.int64)
+
+
+def train(coded: DataFrame, items: Items, shards: int, tokens: int, tasks: int) -> np.ndarray:
+    """Parameters after all rounds, from rows (shard, order, row, items) of the training texts."""
+    flat = Model.start(items).flat()
+    size = int(np.clip(2 ** int(np.log2(max(tokens / shards / STEPS, 1))), LEAST_STEP, MOST_STEP))
+    context = coded.sparkSession.sparkContext
+
+    for turn in range(min(ROUNDS, shards)):
+        shared = context.broadcast((items, flat))
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, flat = shared.value
+            trainer, now, seen, rest = None, None, 0, None
+
+            def finished() -> Iterator[pa.RecordBatch]:
+                if rest[0].size:
+                    trainer.step(*rest)
+                found = trainer.model.flat()
+                for part, start in enumerate(range(0, len(found), MERGED)):
+                    yield pa.RecordBatch.from_pydict({
+                        "part": pa.array([part], pa.int32()), "shard": pa.array([now], pa.int32()),
+                        "tokens": pa.array([seen]), "values": pa.array([found[start : start + MERGED].tobytes()], pa.binary()),
+                    })
+
+            for batch in batches:
+                for shard, rows in _runs(batch):
+                    if shard != now:
+                        if trainer is not None:
+                            yield from finished()
+                        trainer, now, seen = Trainer(items, flat, shard), shard, 0
+                        rest = np.empty(0, np.int64), np.empty((PLACES, 0), np.int64)
+                    word, sizes = _codes(rows)
+                    before = contexts(word, sizes, items.size)
+                    seen += len(word)
+                    word, before = np.concatenate([rest[0], word]), np.hstack([rest[1], before])
+                    whole = len(word) // size * size
+                    for a in range(0, whole, size):
+                        trainer.step(word[a : a + size], before[:, a : a + size])
+                    rest = word[whole:], before[:, whole:]
+            if trainer is not None:
+                yield from finished()
+            release()
+
+        def mean(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("shard")
+            total = np.zeros(len(frame["values"].iloc[0]) // 4)
+            for n, values in zip(frame["tokens"], frame["values"]):
+                total += n * np.frombuffer(values, np.float32)
+            merged = (total / frame["tokens"].sum()).astype(np.float32)
+            return pd.DataFrame({"part": frame["part"].head(1), "values": [merged.tobytes()]})
+
+        rows = by_shard(coded.where(F.col("shard") % ROUNDS == turn), shards, tasks)
+        models = rows.select("shard", "items").mapInArrow(fit, "part int, shard int, tokens long, values binary")
+        merged = models.groupBy("part").applyInPandas(mean, "part int, values binary").collect()
+        if merged:  # one model, whatever the number of shards
+            values = [r["values"] for r in sorted(merged, key=lambda r: r["part"])]
+            flat = np.frombuffer(b"".join(values), np.float32)
+    return flat
+
+
+def item_scores(coded: DataFrame, items: Items, flat: np.ndarray, shards: int, tasks: int) -> DataFrame:
+    """(row, own): sum of the items' log10-probabilities of every row (shard, order, row, items).
+    Tokens are taken in fixed numbers along a shard, so the last digits do not depend on the split."""
+    shared = coded.sparkSession.sparkContext.broadcast((items, flat))
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, flat = shared.value
+        model, now = Model.of(flat, items), None
+        held: list[tuple] = []  # rows whose tokens are not scored yet: (row, items, context)
+
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if not held:
+                return
+            rows, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            word, before = np.concatenate([h[2] for h in held]), np.hstack([h[3] for h in held])
+            logs = np.concatenate([h[4] for h in held])
+            start = len(logs)
+            ends = [*range(start + SCORED, len(word) + 1, SCORED)]
+            if whole and (not ends or ends[-1] < len(word)):
+                ends.append(len(word))
+            found = [logs]
+            for end in ends:
+                if end > start:
+                    found.append(model.log_chances(word[start:end], before[:, start:end]))
+                    start = end
+            logs = np.concatenate(found)
+            done = int(np.searchsorted(np.cumsum(sizes), len(logs), "right"))
+            used = int(sizes[:done].sum())
+            if done:
+                owner = np.repeat(np.arange(done), sizes[:done])
+                own = np.bincount(owner, logs[:used].astype(np.float64), done) / np.log(10)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:done]), pa.array(own)], names=["row", "own"])
+            held = [(rows[done:], sizes[done:], word[used:], before[:, used:], logs[used:])] if done < len(rows) else []
+
+        for batch in batches:
+            for shard, part in _runs(batch):
+                if shard != now:
+                    yield from flush(True)
+                    now = shard
+                word, sizes = _codes(part)
+                row = part.column("row").to_numpy(zero_copy_only=False)
+                held.append((row, sizes, word, contexts(word, sizes, items.size), np.empty(0, np.float32)))
+                # what is scored already stands before what is not
+                if sum(len(h[2]) for h in held) >= SCORED:
+                    yield from flush(False)
+        yield from flush(True)
+        release()
+
+    rows = by_shard(coded, shards, tasks).select("shard", "row", "items")
+    return rows.mapInArrow(score, "row long, own double")
+
+
+def encode(
+    rows: DataFrame, words: np.ndarray, n: np.ndarray, own: int, items: Items, inner: np.ndarray
+) -> DataFrame:
+    """One row per document (word null) with its items, and one per document and word that is not
+    among ``words``, the frequent ones with counts ``n``, of which the first ``own`` are items.
+
+    ``base`` and ``inner`` are sums of log10 over the words known here: of count + 1, and of the
+    share of a word in its ending, whose total is 10 to the power of ``inner``.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((words, n, own, items, inner))
 
-def normalisers(spark: SparkSession, model: Model) -> np.ndarray:
-    """Log-normaliser of every context (two back, one back)."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for two in frame["id"]:
-                yield pd.DataFrame({"two": [two], "z": [model.normalisers(two).tobytes()]})
-
-    tasks = spark.sparkContext.defaultParallelism
-    found = spark.range(0, CLASSES + 1, 1, tasks).mapInPandas(rows, "two long, z binary").collect()
-    return np.stack([np.frombuffer(r["z"], np.float32) for r in sorted(found, key=lambda r: r["two"])])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n, own, items, inner = shared.value
+        frequent, count = Places(words), np.append(n, 0)
+        for batch in steps(batches):
+            tokens = Tokens(batch.column("text"), lower=True)
+            hashes, codes, sizes = token_stream(tokens)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place, ending = frequent.of(hashes), endings(tokens)
+            single = (place >= 0) & (place < own)
+            item = np.where(single, items.own[np.where(single, place, 0)] if own else 0, items.tail[ending])
+            logs = np.log10(count[place] + 1.0)  # 0 for a word that is not frequent, until the join
+            share = np.where(single, 0.0, logs - inner[ending])
+            some = (place < 0)[codes]
+            pairs, tf = np.unique(owner[some] * len(hashes) + codes[some], return_counts=True)
+            who, word = np.divmod(pairs, len(hashes))
+            found = item[codes].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found))
+            main = {
+                **{c: batch.column(c) for c in ("row", "doc_id", "held_out", "shard", "order")}, "items": lists,
+                "word": pa.nulls(len(sizes), pa.int64()), "tf": pa.nulls(len(sizes), pa.int32()),
+                "n_tokens": pa.array(sizes),
+                "n_known": pa.array(np.bincount(owner, (place >= 0)[codes], len(sizes)).astype(np.int64)),
+                "base": pa.array(np.bincount(owner, logs[codes], len(sizes))),
+                "inner": pa.array(np.bincount(owner, share[codes], len(sizes))),
+            }
+            yield pa.RecordBatch.from_pydict(main)
+            if len(who):
+                rare = {c: pa.nulls(len(who), main[c].type) for c in main}
+                rare |= {"row": batch.column("row").take(pa.array(who)), "word": pa.array(hashes[word]), "tf": pa.array(tf.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(rare)
+
+    return rows.mapInArrow(
+        code,
+        "row long, doc_id long, held_out boolean, shard int, order long, items array<int>, word long, tf int, "
+        "n_tokens long, n_known long, base double, inner double",
+    )
 
 
 def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -211,97 +449,55 @@ def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     model) and score (this model), log10-probabilities of the whole text. A-Z are lower-cased;
     the tokens are the words and one end.
 
-    Null texts count as empty: one token. A null id counts as an empty one and is not held out.
-    Rows equal in id and text get equal results. Without training rows all words are unknown. An
-    empty table gives an empty result. Words are told apart by 64-bit hashes.
+    Null texts count as empty: one token. A null id counts as an empty one and is not held out; ids
+    are whole numbers. Rows equal in id and text get equal results, up to the last digits. Without
+    training rows all words are unknown. An empty table gives an empty result; other columns are not
+    looked at. Words are told apart by 64-bit hashes.
 
     Counts are exact over all training rows. The counts of rare words meet the documents in a
-    join by word; no rare word is hot by definition.
+    join by word; no rare word is hot by definition. The driver and every task hold the model and
+    the FREQUENT most frequent words.
     """
     spark = docs.sparkSession
     small_batches(spark)
     number = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"),
-        (number % 7 == 2).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(id_col).cast("long").alias("doc_id"), (number % 7 == 2).alias("held_out"), whole.alias("text"),
+        F.xxhash64(F.lit(19), F.col(id_col).cast("string"), whole).alias("order"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    training = rows.where("not held_out")
-    counts = stored(word_counts(training), "lm-counts")
+    counts = stored(word_counts(rows.where("not held_out")), "lm-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     words, n = top["word"].to_numpy(), top["n"].to_numpy()
-    class_words = words[: CLASSES - 1]
-    mass = np.zeros(CLASSES)
-    mass[1 : len(class_words) + 1] = n[: CLASSES - 1]
-    mass[0] = tokens - mass.sum()
-    model = train(training, class_words, (mass + 1) / (mass + 1).sum())
-    table = normalisers(spark, model)
-    # within the rare class: words counted, different words, and one for all unknown words
-    rare = float(mass[0] + max(distinct - (CLASSES - 1), 0) + 1)
-    shared = spark.sparkContext.broadcast((words, n, model.flat(), table))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count, flat, z = shared.value
-        known, frequent, net = Classes(common[: CLASSES - 1]), Classes(common), Model.of(flat)
-        for batch in steps(batches):
-            hashes, codes, sizes = token_stream(Tokens(batch.column("text"), lower=True))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            kind, place = known.of(hashes), frequent.of(hashes)
-            held = np.append(0, count)[place]  # count of a frequent word
-            found = kind[codes]
-            one, two = contexts(found, sizes)
-            chance = np.empty(len(found))
-            for a in range(0, len(found), 1 << 16):
-                w, x, y = found[a : a + (1 << 16)], one[a : a + (1 << 16)], two[a : a + (1 << 16)]
-                s = np.einsum("ij,ij->i", net.context(x, y), net.out[w, :-1]) + net.out[w, -1]
-                chance[a : a + (1 << 16)] = s - z[y, x]
-            logs = np.log10(held + 1.0)
-            # log10(count + 1) of words that are not frequent is added after the join
-            base = np.bincount(owner, logs[codes], len(sizes))
-            inner = np.where(kind == 0, logs - np.log10(rare), 0.0)
-            own = np.bincount(owner, chance / np.log(10) + inner[codes], len(sizes))
-            seen = np.bincount(owner, (place > 0)[codes], len(sizes))
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            some = (place == 0)[codes]
-            pairs, tf = np.unique(owner[some] * len(hashes) + codes[some], return_counts=True)
-            who, word = np.divmod(pairs, len(hashes))
-            size = len(sizes), len(pairs)
-            columns = {
-                "doc_id": pa.chunked_array([ids, ids.take(pa.array(who))]).combine_chunks(),
-                "key": pa.chunked_array([keys, keys.take(pa.array(who))]).combine_chunks(),
-                "held_out": pa.chunked_array(
-                    [batch.column("held_out"), pa.nulls(size[1], pa.bool_())]
-                ).combine_chunks(),
-                "word": np.concatenate([keys.to_numpy(zero_copy_only=False), hashes[word]]),
-                "part": np.repeat([0, 1], size).astype(np.int32),
-                "tf": np.concatenate([np.zeros(size[0], np.int32), tf.astype(np.int32)]),
-                "n_tokens": np.concatenate([sizes, np.zeros(size[1], np.int64)]),
-                "n_known": np.concatenate([seen.astype(np.int64), np.zeros(size[1], np.int64)]),
-                "base": np.concatenate([base, np.zeros(size[1])]),
-                "own": np.concatenate([own, np.zeros(size[1])]),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
-
-    parts = rows.mapInArrow(
-        score,
-        "doc_id long, key long, held_out boolean, word long, part int, tf int, n_tokens long, "
-        "n_known long, base double, own double",
-    )
-    parts = parts.join(counts.withColumn("part", F.lit(1)), ["word", "part"], "left")
-    more = F.when(F.col("n").isNotNull(), F.col("tf") * F.log10(F.col("n") + 1.0)).otherwise(0.0)
-    hits = F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)
-    sums = parts.groupBy("doc_id", "key").agg(
-        F.max("held_out").alias("held_out"), F.count("held_out").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + hits).alias("n_known"),
-        F.sum(F.col("base") + more).alias("base"), F.sum(F.col("own") + more).alias("own"),
+    own = int(min(GROWTH * tokens**0.5, MOST_ITEMS, np.count_nonzero(n > 2)))
+    # of each ending: the tokens and different words beyond those with an item, and one unknown word
+    totals, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        totals[r["ending"]], kinds[r["ending"]] = r["n"], r["words"]
+    listed = top["ending"].to_numpy()[:own]
+    totals -= np.bincount(listed, n[:own], TAILS)
+    kinds -= np.bincount(listed, minlength=TAILS)
+    items = Items(n[:own], totals)
+    shards = int(np.clip(tokens / SHARD, ROUNDS, ROUNDS * MOST_SHARDS))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.pmod(F.xxhash64(F.lit(23), "order"), F.lit(shards)).cast("int")
+    inner = np.log10(totals + kinds + 1)
+    coded = stored(encode(rows.withColumn("shard", shard), words, n, own, items, inner), "lm-items")
+    texts = coded.where("word is null").select("shard", "order", "row", "items", "held_out")
+    flat = train(texts.where("not held_out"), items, shards, int(tokens), tasks)
+    scores = item_scores(texts, items, flat, shards, tasks)
+    rare = coded.where("word is not null").select("row", "word", "tf").join(counts.select("word", "n"), "word")
+    rare = rare.groupBy("row").agg(
+        F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("tf").alias("hits")
     )
-    copies = F.col("copies")
-    found = sums.select(
-        "doc_id", "held_out", F.expr("n_tokens div copies").alias("n_tokens"),
-        F.expr("n_known div copies").alias("n_known"),
+    main = coded.where("word is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner")
+    found = main.join(scores, "row").join(rare, "row", "left")
+    more = F.coalesce("more", F.lit(0.0))
+    return found.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") / copies - F.expr("n_tokens div copies") * float(np.log10(tokens + distinct + 1)))
-        .alias("base_score"),
-        (F.col("own") / copies).alias("score"), "copies",
+        (F.col("base") + more - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"),
+        (F.col("own") + F.col("inner") + more).alias("score"),
     )
-    return found.withColumn("copies", F.expr("explode(sequence(1, copies))")).drop("copies")

@@ -39,26 +39,112 @@ def test_scores_by_brute_force(docs):
     assert total["score"] > total["base_score"]
 
 
-def test_model_is_normalised_and_learns():
-    chance = np.ones(lm.CLASSES) / lm.CLASSES
-    trainer = lm.Trainer(chance)
-    word = np.arange(4096) % 7 + 1  # a cycle of seven words
-    one, two = lm.contexts(word, np.array([4096]))
+def small_items(words=30, tails=6):
+    draw = np.random.default_rng(4)
+    return lm.Items(np.sort(draw.integers(3, 200, words))[::-1], draw.integers(0, 40, tails).astype(float))
+
+
+def test_items_cover_all_tokens_once():
+    items = small_items()
+    codes = np.concatenate([items.own, items.tail])
+    assert sorted(codes.tolist()) == list(range(36)) and items.chance.sum() == pytest.approx(1)
+    assert (np.diff(items.chance[:36]) <= 0).all() and items.clusters * items.width >= 36
+    assert items.of_cluster.sum() == pytest.approx(1)
+
+
+def plain_log_chance(model, items, word, before):
+    """Softmax over clusters, then over the items of the cluster, in plain loops."""
+    q = [sum(float(model.before[before[p]][d] * model.place[p][d]) for p in range(lm.PLACES)) for d in range(lm.DIMENSION)]
+
+    def score(row):
+        return sum(x * float(y) for x, y in zip(q, row[:-1])) + float(row[-1])
+
+    cluster = word // items.width
+    clusters = [score(r) for r in model.top]
+    inside = [score(model.out[i]) for i in range(cluster * items.width, min((cluster + 1) * items.width, items.size))]
+    return (
+        clusters[cluster] - math.log(sum(map(math.exp, clusters)))
+        + score(model.out[word]) - math.log(sum(map(math.exp, inside)))
+    )
+
+
+def test_model_by_brute_force_and_learns():
+    """A cycle of seven words is learned; chances are those of the definition, and sum to one."""
+    items = small_items()
+    trainer = lm.Trainer(items, lm.Model.start(items).flat(), 3)
+    word = np.arange(4096) % 7 * 5  # in several clusters
+    before = lm.contexts(word, np.array([4096]), items.size)
     for _ in range(60):
-        trainer.step(word, one, two)
-    z = np.stack([trainer.model.normalisers(t) for t in range(8)])
+        trainer.step(word, before)
     model = trainer.model
-    for a, b in ((1, 2), (3, 5)):
-        scores = model.context(np.array([b]), np.array([a]))[0] @ model.out[:, :-1].T + model.out[:, -1]
-        assert np.exp(scores - z[a, b]).sum() == pytest.approx(1, abs=1e-3)
-    scores = model.context(np.array([2]), np.array([1]))[0] @ model.out[:, :-1].T + model.out[:, -1]
-    assert scores.argmax() == 3 and np.exp(scores[3] - z[1, 2]) > 0.2
+    every = np.arange(items.size)
+    for context in ([0, 30, 25, 20, 15], [items.size] * 5, [3, 1, 4, 1, 5]):
+        context = np.array(context[: lm.PLACES])
+        logs = model.log_chances(every, np.repeat(context[:, None], items.size, 1))
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-5)
+        want = [plain_log_chance(model, items, int(w), context) for w in every]
+        assert logs == pytest.approx(np.array(want), abs=1e-4)
+    after = model.log_chances(np.array([5]), np.array([[0], [30], [25], [20], [15]])[: lm.PLACES])
+    assert np.exp(after[0]) > 0.5
 
 
 def test_contexts():
-    one, two = lm.contexts(np.array([5, 6, 7, 8, 9]), np.array([3, 1, 1]))
-    b = lm.BEGIN
-    assert one.tolist() == [b, 5, 6, b, b] and two.tolist() == [b, b, 5, b, b]
+    found = lm.contexts(np.array([5, 6, 7, 8, 9]), np.array([3, 1, 1]), 99)
+    assert found[0].tolist() == [99, 5, 6, 99, 99] and found[1].tolist() == [99, 99, 5, 99, 99]
+    assert (found[2:] == 99).all()
+
+
+def test_scores_do_not_depend_on_the_split(docs, monkeypatch):
+    """One partition or sixteen, and shards that do not fit a step: the same scores."""
+    monkeypatch.setattr(lm, "SCORED", 500)
+    one, many = (
+        {(r.doc_id, r.n_tokens): r for r in lm.score_texts(docs.repartition(n)).collect()} for n in (1, 16)
+    )
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert r.score == pytest.approx(many[k].score, rel=1e-9)
+        assert r.base_score == pytest.approx(many[k].base_score, rel=1e-9)
+
+
+def test_score_by_brute_force(spark, docs, monkeypatch):
+    """The score of a text is the sum over its tokens of the model's chance of the item, and of the
+    word's share of its ending."""
+    held = {}
+    real = lm.item_scores
+
+    def kept(coded, items, flat, shards, tasks):
+        held.update(items=items, flat=flat)
+        return real(coded, items, flat, shards, tasks)
+
+    monkeypatch.setattr(lm, "item_scores", kept)
+    rows = docs.collect()
+    got = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    items, model = held["items"], lm.Model.of(held["flat"], held["items"])
+    counts = Counter(
+        t for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for t in tokens(r.text)
+    )
+    import xxhash
+
+    hashed = lambda t: xxhash.xxh3_64_intdigest(b"\n" if t == "end" else t)
+    signed = lambda t: hashed(t) - (1 << 64) if hashed(t) >> 63 else hashed(t)
+    ranked = sorted(counts, key=lambda t: (-counts[t], signed(t)))
+    own = {t: int(items.own[k]) for k, t in enumerate(ranked[: len(items.own)])}
+    assert len(own) == min(int(lm.GROWTH * sum(counts.values()) ** 0.5), sum(n > 2 for n in counts.values()))
+    ending = lambda t: 0 if t == "end" else xxhash.xxh3_64_intdigest(t[-lm.LAST :]) % lm.TAILS
+    total = Counter()
+    for t in counts:
+        if t not in own:
+            total[ending(t)] += counts[t] + 1
+    short = sorted(rows, key=lambda r: len(r.text or ""))[:25]
+    for r in short:
+        codes = [own[t] if t in own else int(items.tail[ending(t)]) for t in tokens(r.text)]
+        score = 0.0
+        for k, t in enumerate(tokens(r.text)):
+            before = [codes[k - p] if k >= p else items.size for p in range(1, lm.PLACES + 1)]
+            score += plain_log_chance(model, items, codes[k], before) / math.log(10)
+            if t not in own:
+                score += math.log10((counts[t] + 1) / (total[ending(t)] + 1))
+        assert got[r.doc_id] == pytest.approx(score, rel=1e-5), r.doc_id
 
 
 def test_odd_scores(odd, none, make):
