@@ -2,7 +2,7 @@
 
 Word counts come from the whole training corpus. The frequent words, more of them the larger the
 corpus, and the endings of all other words are the items of a neural model of the next item given
-three before it: the context's vector is the sum of the items' vectors, weighted by place. Items lie
+a few before it: the context's vector is the sum of the items' vectors, each weighted by its place. Items lie
 in clusters of like frequency. The score of a cluster, and that of an item in its cluster, is the
 product of its vector with the context's, plus a bias; both are normalised by matrix products, so
 scores are true log-probabilities. Among the words of an ending a word counts by its smoothed count.
@@ -35,11 +35,15 @@ TAILS, LAST = 512, 3
 #: tokens, so no key of the join with the other counts is hot.
 FREQUENT = 1 << 18
 #: Vectors; items of context; noise clusters of a batch, noise items of a cluster; step sizes.
-DIMENSION, PLACES, NOISE, INNER, RATE, CALM = 16, 5, 32, 8, 0.1, 1.0
+DIMENSION, PLACES, NOISE, INNER, RATE, CALM = 16, 4, 32, 6, 0.1, 1.0
+#: What an item counts in the context, by place.
+WEIGHTS = tuple(np.float32(1 / (p + 1) ** 0.5) for p in range(PLACES))
 #: Training: tokens of a shard, rounds, shards of a round at most, steps of a shard, tokens of a step.
 SHARD, ROUNDS, MOST_SHARDS, STEPS, LEAST_STEP, MOST_STEP = 1 << 21, 4, 1024, 128, 256, 1 << 14
-#: Tokens that are scored at once; parameters that are merged at once.
-SCORED, MERGED = 1 << 15, 1 << 14
+#: Tokens that are scored at once, and normalised at once; parameters that are merged at once.
+SCORED, BLOCK, MERGED = 1 << 16, 1 << 10, 1 << 14
+#: Shards of the scoring for one of the training.
+FINER = 16
 #: The end of a text, which no word can equal.
 END = xxhash.xxh3_64_intdigest(b"\n")
 
@@ -128,15 +132,15 @@ def contexts(items: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
 
 class Model:
     """Vectors with a bias in the last column, of items and clusters; vectors of items as context,
-    the last one that before a text; weights of the places."""
+    the last one that before a text."""
 
     def __init__(self, parts: list[np.ndarray]) -> None:
-        self.out, self.top, self.before, self.place = parts
+        self.out, self.top, self.before = parts
 
     @staticmethod
     def shapes(items: Items) -> list[tuple[int, int]]:
         d = DIMENSION
-        return [(len(items.chance), d + 1), (items.clusters, d + 1), (items.size + 1, d), (PLACES, d)]
+        return [(len(items.chance), d + 1), (items.clusters, d + 1), (items.size + 1, d)]
 
     @classmethod
     def start(cls, items: Items) -> Model:
@@ -145,12 +149,11 @@ class Model:
         inner = items.chance / np.repeat(items.of_cluster, items.width)
         parts[0][:, -1] = np.log(np.maximum(inner, 1e-35))
         parts[1][:, -1] = np.log(items.of_cluster)
-        parts[3] = np.ones_like(parts[3]) / np.arange(1, PLACES + 1, dtype=np.float32)[:, None]
         return cls(parts)
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.out, self.top, self.before, self.place]
+        return [self.out, self.top, self.before]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts])
@@ -162,33 +165,61 @@ class Model:
         return cls([flat[a:b].reshape(s).astype(np.float32) for a, b, s in zip(ends, ends[1:], shapes)])
 
     def context(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.before[before[p]] * self.place[p] for p in range(PLACES))
+        """Vectors of contexts, with a 1 behind them for the biases."""
+        found = np.empty((before.shape[1], DIMENSION + 1), np.float32)
+        q = found[:, :-1]
+        q[:] = 0
+        for rows, weight in zip(before, WEIGHTS):
+            q += (self.before * weight).take(rows, axis=0)
+        found[:, -1] = 1
+        return found
 
     def log_chances(self, items: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Log-probability of every item after its context: that of its cluster, and in the cluster."""
-        q, width = self.context(before), len(self.out) // len(self.top)
+        width = len(self.out) // len(self.top)
         cluster = items // width
-        scores = q @ self.top[:, :-1].T + self.top[:, -1]
-        found = scores[np.arange(len(items)), cluster] - log_sums(scores)
         order = np.argsort(cluster, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            if len(rows):
-                first = int(cluster[rows[0]]) * width
-                part = self.out[first : first + width]
-                scores = q[rows] @ part[:, :-1].T + part[:, -1]
-                found[rows] += scores[np.arange(len(rows)), items[rows] - first] - log_sums(scores)
+        item, cluster, q = items[order], cluster[order], self.context(before[:, order])
+        logs = np.einsum("ij,ij->i", q, self.top.take(cluster, axis=0) + self.out.take(item, axis=0))
+        for start in range(0, len(q), BLOCK):  # a block of scores stays in the cache
+            logs[start : start + BLOCK] -= log_sums(q[start : start + BLOCK], self.top)
+        start = 0
+        for end in [*(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(cluster)]:
+            if end > start:
+                first = int(cluster[start]) * width
+                logs[start:end] -= log_sums(q[start:end], self.out[first : first + width])
+                start = end
+        found = np.empty_like(logs)
+        found[order] = logs
         return found
 
 
-def log_sums(scores: np.ndarray) -> np.ndarray:
-    """Log of the sum of exp along rows."""
+def log_sums(contexts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp(score) over all vectors, for every context."""
+    scores = contexts @ vectors.T
+    top = scores.max() if len(scores) else 0.0
+    if top < 60:  # no exp overflows, so the largest need not be taken out of every row
+        return np.log(np.exp(scores, out=scores).sum(axis=1))
     top = scores.max(axis=1, keepdims=True)
     return np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
 
 
-def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sum of the vectors of each row number."""
-    return np.stack([np.bincount(rows, v, size) for v in values.T], axis=1).astype(np.float32)
+def _segments(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the vectors of each row number; equal numbers stand behind each other."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+    found = np.zeros((size, values.shape[1]), np.float32)
+    found[rows[first]] = np.add.reduceat(values, first, axis=0)
+    return found
+
+
+def _sums(before: np.ndarray, vectors: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the vectors of each item of context, by the weights of the places."""
+    found = np.zeros((DIMENSION, size))
+    columns = np.ascontiguousarray(vectors.T, np.float64)
+    for rows, weight in zip(before, WEIGHTS):
+        for k in range(DIMENSION):
+            found[k] += weight * np.bincount(rows, columns[k], size)
+    return found.T.astype(np.float32)
 
 
 def _pull(true: np.ndarray) -> np.ndarray:
@@ -221,41 +252,41 @@ class Trainer:
 
     def step(self, word: np.ndarray, before: np.ndarray) -> None:
         m, width = self.model, self.items.width
+        order = np.argsort(word, kind="stable")  # and so by cluster
+        word, before = word[order], before[:, order]
         cluster = word // width
-        order = np.argsort(cluster, kind="stable")
-        word, before, cluster = word[order], before[:, order], cluster[order]
-        q = m.context(before)
-        grown = np.hstack([q, np.ones((len(word), 1), np.float32)])
+        grown = m.context(before)
         # the cluster
         noise = self.draw.choice(self.items.clusters, NOISE, p=self.items.of_cluster)
-        true = (grown * m.top[cluster]).sum(1) - self.cluster_off[cluster]
+        true = m.top.take(cluster, axis=0)
+        pull = _pull(np.einsum("ij,ij->i", grown, true) - self.cluster_off[cluster])[:, None]
         push = -_pull(-(grown @ m.top[noise].T - self.cluster_off[noise]))
-        pull = _pull(true)
-        vector = pull[:, None] * m.top[cluster, :-1] + push @ m.top[noise, :-1]
-        top = _sums(cluster, pull[:, None] * grown, len(m.top))
+        true *= pull
+        vector = true + push @ m.top[noise]
+        top = _segments(cluster, pull * grown, len(m.top))
         np.add.at(top, noise, push.T @ grown)
         # the item in the cluster
-        true = (grown * m.out[word]).sum(1) - self.item_off[word]
-        pull = _pull(true)
-        vector += pull[:, None] * m.out[word, :-1]
-        out = _sums(word, pull[:, None] * grown, len(m.out))
+        true = m.out.take(word, axis=0)
+        pull = _pull(np.einsum("ij,ij->i", grown, true) - self.item_off[word])[:, None]
+        true *= pull
+        vector += true
+        out = _segments(word, pull * grown, len(m.out))
         drawn = self.noise_items()
         ends = np.append(np.flatnonzero(np.diff(cluster)) + 1, len(cluster))
         start = 0
         for end in ends.tolist():
             noise = drawn[cluster[start]]
-            push = -_pull(-(grown[start:end] @ m.out[noise].T - self.item_off[noise]))
-            vector[start:end] += push @ m.out[noise, :-1]
+            there = m.out[noise]
+            push = -_pull(-(grown[start:end] @ there.T - self.item_off[noise]))
+            vector[start:end] += push @ there
             np.add.at(out, noise, push.T @ grown[start:end])
             start = end
-        context = np.zeros_like(m.before)
-        place = np.empty_like(m.place)
-        for p in range(PLACES):
-            context += _sums(before[p], vector * m.place[p], len(context))
-            place[p] = (vector * m.before[before[p]]).sum(0)
-        for part, size, grad in zip(m.parts, self.size, (out, top, context, place)):
+        context = _sums(before, vector[:, :-1], len(m.before))
+        for part, size, grad in zip(m.parts, self.size, (out, top, context)):
             size += grad * grad
-            part += RATE * grad / np.sqrt(size)
+            grad /= np.sqrt(size)
+            grad *= np.float32(RATE)
+            part += grad
 
 
 def by_shard(rows: DataFrame, shards: int, tasks: int) -> DataFrame:
@@ -389,7 +420,9 @@ def item_scores(coded: DataFrame, items: Items, flat: np.ndarray, shards: int, t
         yield from flush(True)
         release()
 
-    rows = by_shard(coded, shards, tasks).select("shard", "row", "items")
+    # finer shards than those of the training, as nothing is carried from one to the next
+    finer = F.pmod(F.xxhash64(F.lit(29), "order"), F.lit(FINER * shards)).cast("int")
+    rows = by_shard(coded.withColumn("shard", finer), FINER * shards, tasks).select("shard", "row", "items")
     return rows.mapInArrow(score, "row long, own double")
 
 

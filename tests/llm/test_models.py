@@ -54,7 +54,7 @@ def test_items_cover_all_tokens_once():
 
 def plain_log_chance(model, items, word, before):
     """Softmax over clusters, then over the items of the cluster, in plain loops."""
-    q = [sum(float(model.before[before[p]][d] * model.place[p][d]) for p in range(lm.PLACES)) for d in range(lm.DIMENSION)]
+    q = [sum(float(model.before[before[p]][d] * lm.WEIGHTS[p]) for p in range(lm.PLACES)) for d in range(lm.DIMENSION)]
 
     def score(row):
         return sum(x * float(y) for x, y in zip(q, row[:-1])) + float(row[-1])
