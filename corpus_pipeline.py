@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of
 ``documents``; the last one returns token ids. Other columns of ``docs`` are carried along.
+
+In every stage: a null id counts as larger than any other; null and empty texts are texts without a
+word; rows equal in id and text are decided alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +55,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
+    """One document of each group of near-duplicates, that with the smallest id. Of rows equal in id
+    and text one stays. Texts without a word, null or empty, are duplicates of nothing and stay."""
     found = minhash_dedup.near_duplicates(docs)
     rows = found.select(
         _order().alias("_order"), F.col("row_key").alias("_key"), F.col("kept").cast("int").alias("copies")
@@ -62,7 +66,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that a document of smaller id holds too;
-    documents of which nothing is left go. ``n_chars`` follows the text."""
+    documents of which nothing is left go. ``n_chars`` follows the text. Texts of which nothing is
+    removed stay as they are, null ones too; rows equal in id and text stay alike, as neither has the
+    smaller id."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).dropFields("text")
     found = substring_dedup.remove_repeats(
         docs.select("doc_id", "text", rest.alias("rest")), keep=("rest",), untouched=True
@@ -74,7 +80,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 3, 1, 2, repeating, and share 150%
-    of all words; a document comes up to twice."""
+    of all words; a document comes up to twice. Texts without a word come once for each whole round
+    over their source; rows equal in id and text together as often as the mix takes them."""
     weight = F.element_at(
         F.array(*[F.lit(w) for w in WEIGHTS]), F.col("source_rank") % len(WEIGHTS) + 1
     )
@@ -88,7 +95,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the whole text, their number, and whether decoding gives
-    the text again."""
+    the text again, for every row. Null and empty texts have no ids; decoding them gives ''."""
     rows = pieces.encode(docs.select("doc_id", "lang", "source", "text"), MODEL)
     rows = pieces.decode(rows.withColumn("_ids", F.col("ids")), MODEL, ids="_ids")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")

@@ -24,6 +24,8 @@ def build_session(
         )
         # messages of one session are merged before the shuffle
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        # rows handed to Python functions at once: texts are long, and a batch is held several times
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
         # generated methods beyond this size are never compiled by the JVM
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
