@@ -27,6 +27,10 @@ ROUNDING = 1e-9
 
 
 def unit(values: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. The largest component is brought near 1 by a power of two first, so that
+    no square is too large or too small, and no digit changes."""
+    _, exponent = np.frexp(np.abs(values).max(axis=1, keepdims=True, initial=0.0))
+    values = np.ldexp(values, -exponent)
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 

@@ -246,3 +246,14 @@ def test_odd_rows(odd, none, make):
     assert len(near) == 4 and {(r.vec_id, r.component_id) for r in near} == {(None, None), (1, 1), (2, 1)}
     empty = make([], "vec_id long, embedding array<float>, label int", 1)
     assert embedding_dedup.near_vectors(empty).collect() == []
+
+
+def test_vectors_of_any_length(make):
+    """Lengths whose squares are no double: the cosine counts all the same."""
+    rows = [
+        (1, "a", [1e200, 2e200]), (2, "a", [1.0, 2.0]), (3, "a", [1e-200, 2e-200]), (4, "a", [5e-324, 1e-323]),
+        (5, "b", [1e-200, 1e-200]), (6, "b", [1.0, 0.01]), (7, "b", [1e308, 1e306]),
+    ]
+    found = embedding_dedup.near_vectors(make(rows, "vec_id long, label string, embedding array<double>"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
