@@ -142,17 +142,20 @@ def leads_profile(
     ``strict`` also masks the phone and post codes. One row per conversation at every size: a
     row holds the distinct arrays of its conversation, which ``entity_sets`` has as rows.
     """
-    sets = entity_sets(messages)
-
-    # first message of each conversation, as one more kind of row
-    people = (
-        inbound_text(messages)
-        .groupBy("conversation_id")
-        .agg(
-            F.min_by(
-                F.struct("sender_name_normalized", "sender_phone"), message_order()
-            ).alias("first")
+    # the first message of a conversation is one more kind, so that one pass has both
+    body, nobody = F.col("message_body"), F.array().cast("array<string>")
+    person = F.struct(message_order().alias("order"), "sender_name_normalized", "sender_phone")
+    kinds = [
+        F.struct(
+            F.lit(kind).alias("kind"), extract(body).alias("found"), F.when(F.lit(False), person).alias("person")
         )
+        for kind, extract in EXTRACTORS.items()
+    ]
+    kinds.append(F.struct(F.lit("person").alias("kind"), nobody.alias("found"), person.alias("person")))
+    kept = F.filter(F.array(*kinds), lambda s: (F.size(s["found"]) > 0) | (s["kind"] == "person"))
+    sets = (
+        inbound_text(messages).select("conversation_id", F.inline(kept))
+        .groupBy("conversation_id", "kind", "found").agg(F.min("person").alias("person"))
     )
 
     def merged(kind: str) -> Column:
@@ -161,9 +164,8 @@ def leads_profile(
         return F.array_sort(values)
 
     profile = (
-        sets.unionByName(people, allowMissingColumns=True)
-        .groupBy("conversation_id")
-        .agg(*[merged(kind).alias(kind) for kind in EXTRACTORS], F.max("first").alias("first"))
+        sets.groupBy("conversation_id")
+        .agg(*[merged(kind).alias(kind) for kind in EXTRACTORS], F.min("person").alias("first"))
         .withColumns(
             {
                 "lead_name": F.col("first.sender_name_normalized"),

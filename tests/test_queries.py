@@ -51,3 +51,12 @@ def test_plan(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert ("EvalPython" in plan or "ArrowEval" in plan) == (name in WITH_PYTHON)
+
+
+@pytest.mark.parametrize("name", [
+    "leads_profile", "lead_signals", "conversations_enriched", "lead_scoring", "personas", "campaign_roi",
+    "sentiment", "silence_gaps", "early_features", "fcr_summary",
+])
+def test_one_scan(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
