@@ -147,6 +147,17 @@ def test_score_by_brute_force(spark, docs, monkeypatch):
         assert got[r.doc_id] == pytest.approx(score, rel=1e-5), r.doc_id
 
 
+def test_base_score_of_a_long_text(make):
+    """A long text of one word that nearly all tokens are: its base is small, and exact all the same."""
+    texts = {1: "word " * 300_000, 2: "two other words", 3: None}
+    got = {r.doc_id: r for r in lm.score_texts(make([(k, t, "en", "s", 0) for k, t in texts.items()])).collect()}
+    counts = Counter(t for k, x in texts.items() if zlib.crc32(b"%d" % k) % 7 != 2 for t in tokens(x))
+    n, v = sum(counts.values()), len(counts)
+    for k, x in texts.items():
+        base = math.fsum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens(x))
+        assert got[k].base_score == pytest.approx(base, rel=1e-11)
+
+
 def test_odd_scores(odd, none, make):
     rows = lm.score_texts(odd).collect()
     assert len(rows) == odd.count()
