@@ -5,53 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY = timedelta(hours=24)
 
 
-class _Renewed(StatefulProcessor):
-    """Lets a row through if its id was not seen within ``ttl`` before; state is the last time."""
-
-    def __init__(self, time: str, ttl: timedelta) -> None:
-        self.time, self.ttl = time, pd.Timedelta(ttl)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "at timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.seen.get()
-        known = None if last is None else pd.Timestamp(last[0])
-        before = known
-        frame = pd.concat(list(rows)).sort_values(self.time, kind="stable")
-        at = frame[self.time]
-        # the newest arrival before each row, of this batch or of the state
-        newest = at.cummax().shift()
-        if before is not None:
-            newest = newest.fillna(before).clip(lower=before)
-        kept = newest.isna() | (at - newest > self.ttl)
-        known = at.max() if before is None else max(before, at.max())
-        if before is None or known > before:
-            self.seen.update((known.to_pydatetime(),))
-            if before is not None:
-                self.handle.deleteTimer(self._end(before))
-            self.handle.registerTimer(self._end(known))
-        yield frame[kept]
-
-    def _end(self, at: pd.Timestamp) -> int:
-        """First millisecond in which a row is no repeat any more."""
-        return int((at + self.ttl).timestamp() * 1000) + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
+def _renewed(ttl: timedelta):
+    """Lets a row through if its id was not seen within ``ttl`` before; state is the last time. Times
+    are microseconds, which no time zone shifts."""
+    span = ttl // timedelta(microseconds=1)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = list(frames)
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+        at = frame["_micros"].to_numpy(np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        kept = np.ones(len(at), bool)
+        kept[1:] = np.diff(at) > span
+        known = at[-1]
+        if state.exists:
+            # the newest arrival before each row may be that of the state
+            before = state.get[0]
+            kept[0] = True
+            kept &= at - before > span
+            known = max(before, known)
+        state.update((int(known),))
+        # the first millisecond in which a row is no repeat any more; the watermark may be there already
+        end = int(known + span) // 1000 + 1
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        if kept.any():
+            yield frame.iloc[order[kept]].drop(columns="_micros")
+
+    return step
 
 
 def dedup_renewed(
@@ -61,18 +54,21 @@ def dedup_renewed(
     that is dropped, renews the memory. A row passes if no row of its id arrived in the ``ttl`` up
     to it, both ends included. Rows are told apart by ``time``, that of processing where it is None;
     with a time of their own, rows that come more than ``late`` after newer ones may be dropped.
-    An id is forgotten, state and timer, once the watermark has passed its last arrival by ``ttl``.
+    Rows without a time are left out: nothing says what they repeat. A null id is one id.
+    An id is forgotten once the watermark has passed its last arrival by ``ttl``. The session may keep
+    its state in any store.
     """
     column = time or "_arrived_at"
     if time is None:
         events = events.withColumn(column, F.current_timestamp())
     names = [c for c in events.columns if c != "_arrived_at"]
     found = (
-        events.withWatermark(column, late)
+        events.where(F.col(column).isNotNull())
+        .withWatermark(column, late)
+        .withColumn("_micros", F.unix_micros(column))
         .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=_Renewed(column, ttl), outputStructType=events.schema, outputMode="Append",
-            timeMode="EventTime",
+        .applyInPandasWithState(
+            _renewed(ttl), events.schema, "at long", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
     return found.select(*names)

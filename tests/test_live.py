@@ -130,6 +130,23 @@ def test_memory_is_renewed(spark, source, tmp_path):
     assert {tuple(r) for r in rule.collect()} == kept
 
 
+def test_memory_in_any_state_store(spark, source, tmp_path):
+    """The session's store need not know column families; null ids are one id, rows without a time none."""
+    files = source("id string, received_at timestamp")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        for rows in ([("a", at(0)), ("a", at(1)), (None, at(2)), ("b", None)], [("a", at(1441)), (None, at(1443)), (None, at(9000))]):
+            files.add(rows)
+            out = memory.dedup_renewed(files.stream(), time="received_at")
+            events.write_available(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    finally:
+        spark.conf.set(name, own)
+    kept = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(kept, key=str) == sorted([("a", at(0)), (None, at(2)), (None, at(1443)), (None, at(9000))], key=str)
+
+
 def test_refunds_on_both_sides_of_the_limit(spark, source, tmp_path):
     bought, back = source("order_id long, purchased_at timestamp", "p"), source("order_id long, refunded_at timestamp", "r")
     bought.add([(1, at(0)), (2, at(10)), (3, at(20)), (4, at(30))])

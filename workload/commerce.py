@@ -237,7 +237,7 @@ def stream_refund_rate(spark, sf_dir):
 )
 def stream_dedup_renewed(spark, sf_dir):
     arrivals = d.events(spark, sf_dir).select(
-        F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("id"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("id"),
         F.col("ts").cast("timestamp").alias("received_at"),
     )
     return drained(memory.dedup_renewed(in_slices(arrivals, "received_at"), time="received_at"))
