@@ -314,3 +314,32 @@ def test_url_ratios_by_brute_force(make):
         *context, symbol = split(run)
         block, allow = (chance(c, tuple(context), symbol) for c in counts)
         assert r.ratio == pytest.approx(math.log(allow / block))
+
+
+def test_all_trusted_text_trains(make, monkeypatch):
+    """Counts are those of all texts, however few runs the model names; what it leaves out has the
+    probability of the shorter run, and all probabilities after a context add up to 1."""
+    draw = np.random.default_rng(12)
+    texts = [" ".join(draw.choice(["ka", "lo", "mi", "ne", "su", "ti"], draw.integers(2, 9))) for _ in range(80)]
+    trained = make([(t, "xx") for t in texts], "text string, lang string")
+    whole = qc.train_all(trained, {"xx": 0})
+    monkeypatch.setattr(qc, "RUNS", 25)
+    vocabularies, shards, _ = qc.train_all(trained, {"xx": 0})
+    assert list(vocabularies[0]) == list(whole[0][0])
+    tags = np.concatenate([k for k, _ in shards]) >> 56
+    assert 0 < (tags == 2).sum() <= 25 and 0 < (tags == 3).sum() <= 25
+    every = [qc.EDGE, *range(qc.FIRST, qc.FIRST + 6), *range(len(qc.SHAPES))]
+    for a, b in ((qc.EDGE, qc.EDGE), (qc.FIRST, qc.FIRST + 1), (qc.EDGE, qc.FIRST), (0, qc.FIRST + 2)):
+        runs = np.array([a << 32 | b << 16 | c for c in every], np.int64)
+        assert np.exp(qc.log_chances(runs, shards, 6 + qc.FIRST)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_no_draw_among_trusted_texts(make, monkeypatch):
+    """A word of a late, rare text is known: every text of the training half is counted."""
+    seen = []
+    train_all = qc.train_all
+    monkeypatch.setattr(qc, "train_all", lambda rows, codes: seen.append(rows.count()) or train_all(rows, codes))
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 1501)), "en", "s", 0) for i in range(900)]
+    qc.classify(make(rows), make([(i,) for i in range(900)], "doc_id long"))
+    halves = make([(i,) for i in range(900)], "doc_id long").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0)
+    assert seen == [halves.count()]
