@@ -13,13 +13,15 @@ import datetime
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.sources.tables import written_once
 
 #: Column of the table that names the partition, and the one that marks deleted keys.
 PART, GONE = "_part", "_deleted"
+#: Files of a partition that is written anew; tasks a core that write the first rows.
+SLICES, FIRST = 8, 4
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,88 @@ def load(source: DataFrame, table: KeyedTable) -> DataFrame:
     return merge(changed_rows(source, table, watermark(spark, table)), table)
 
 
+def _compared(batch: DataFrame, stored: DataFrame, table: KeyedTable) -> DataFrame:
+    """Rows of the batch with ``_newer`` (than the table's row of the key) and ``_was_gone`` (the table
+    has the key as deleted; null without the key).
+
+    The versions of the table's rows decide, and only they are shuffled. Rows of a key that agree in
+    version and deletion are compared in all columns, which are fetched for those keys.
+    """
+    key = [F.col(f"`{k}`") for k in table.key]
+    # partitions of the batch only: at most as many names as the table has partitions
+    parts = [r[0] for r in batch.select(PART).distinct().collect()]
+    old = stored.where(F.col(PART).isin(parts)) if parts else stored.limit(0)
+    known = old.select(PART, *key, F.struct(F.col(f"`{table.version}`").alias("v"), F.col(GONE).alias("g")).alias("_was"))
+    now = F.struct(F.col("_state")[table.version].alias("v"), F.col("_state")[GONE].alias("g"))
+    newer = F.when(F.col("_was").isNull(), True).when(now != F.col("_was"), now > F.col("_was"))
+    moved = batch.join(known, [PART, *table.key], "left").withColumns({"_newer": newer, "_was_gone": F.col("_was")["g"]})
+    moved = written_once(moved.drop("_was"), f"merge-{table.entity}")
+    tied = moved.where("_newer is null")
+    if tied.isEmpty():
+        return moved
+    rest = old.join(tied.select(PART, *key), [PART, *table.key], "left_semi")
+    rest = rest.select(PART, *key, _state(rest, table).alias("_was"))
+    settled = tied.join(rest, [PART, *table.key]).withColumn("_newer", F.col("_state") > F.col("_was")).drop("_was")
+    settled = written_once(settled, f"merge-{table.entity}-tied")
+    return moved.where("_newer is not null").unionByName(settled)
+
+
+def _unpacked(columns: list[str], table: KeyedTable) -> list[Column]:
+    """The table's columns from a row's key and ``_state``, PART last."""
+    plain = (*table.key, PART)
+    found = [F.col(f"`{c}`") if c in plain else F.col("_state")[c].alias(c) for c in columns if c != PART]
+    return [*found, F.col(PART)]
+
+
+def _write(rows: DataFrame, table: KeyedTable) -> None:
+    """Replaces the partitions that the rows are in."""
+    writer = rows.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy(PART).mode("overwrite").parquet(table.path)
+
+
+def _first(per_key: DataFrame, columns: list[str], table: KeyedTable) -> tuple:
+    """Writes the first rows of a table; (rows read, newest version, living keys, partitions).
+
+    The rows are written as they come out of the grouping by key, with no further shuffle: a partition
+    has at most one file for each of FIRST tasks a core. The rows read are counted by the tasks that
+    write, each once.
+    """
+    spark, watch = per_key.sparkSession, Observation()
+    few = per_key.coalesce(FIRST * spark.sparkContext.defaultParallelism)
+    few = few.observe(watch, F.coalesce(F.sum("_read"), F.lit(0)).alias("read"))
+    _write(few.select(*_unpacked(columns, table)), table)
+    written = saved(spark, table.path)
+    if written is None:
+        return 0, None, 0, 0
+    version = F.max(F.col(f"`{table.version}`"))
+    newest, living, parts = written.agg(version, F.count_if(~F.col(GONE)), F.count_distinct(PART)).first()
+    return watch.get["read"], newest, living, parts
+
+
+def _rewritten(fresh: DataFrame, stored: DataFrame, columns: list[str], table: KeyedTable) -> int:
+    """Writes the partitions of ``fresh`` anew, with its rows in place of the old ones of their keys;
+    how many they are.
+
+    The only shuffle of the old rows is by partition and a few slices of it, so that there are few
+    files, each in the order of the key.
+    """
+    touched = [r[0] for r in fresh.select(PART).distinct().collect()]
+    if not touched:
+        return 0
+    key = [F.col(f"`{k}`") for k in table.key]
+    new = fresh.select(*_unpacked(columns, table), F.lit(1).alias("_merge_new"))
+    old = stored.where(F.col(PART).isin(touched)).withColumn("_merge_new", F.lit(0))
+    within = [F.col(PART), F.col("_merge_slice"), *key]
+    slices = F.pmod(F.xxhash64(F.lit("slice"), *key), F.lit(SLICES))  # not the hash of the partition
+    both = new.unionByName(old).withColumn("_merge_slice", slices).repartition(PART, "_merge_slice")
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("_merge_new")))
+    merged = both.withColumn("_merge_place", place).where("_merge_place = 1").sortWithinPartitions(*within)
+    # a dynamic overwrite replaces the old files when all new ones are there, so they can be read
+    # until then
+    _write(merged.select(*[F.col(f"`{c}`") for c in columns]), table)
+    return len(touched)
+
+
 def merge(rows: DataFrame, table: KeyedTable) -> DataFrame:
     """Puts the newest versions among ``rows`` into the table; returns one row: entity, read (rows),
     inserted, changed, deleted, stale (newest versions here that are not newer than the table's),
@@ -119,47 +203,28 @@ def merge(rows: DataFrame, table: KeyedTable) -> DataFrame:
     per_key = rows.groupBy(PART, *[F.col(f"`{k}`") for k in table.key]).agg(
         F.max(_state(rows, table)).alias("_state"), F.count(F.lit(1)).alias("_read")
     )
-    batch = written_once(per_key, f"changes-{table.entity}")
-    totals = batch.agg(F.coalesce(F.sum("_read"), F.lit(0)), F.max(F.col("_state")[table.version])).first()
     stored = saved(spark, table.path)
-    if stored is not None and set(stored.columns) != set(rows.columns):
-        raise ValueError(f"columns of {table.entity} differ: {sorted(stored.columns)}, {sorted(rows.columns)}")
-    names = [c for c in rows.columns if c not in (*table.key, PART)]
     if stored is None:
         rows.limit(0).write.mode("ignore").parquet(table.layout_path)
-        moved = batch.withColumn("_was", F.lit(None).cast(batch.schema["_state"].dataType))
+        read, newest, inserted, touched = _first(per_key, rows.columns, table)
+        counts = (inserted, 0, 0, 0)
+    elif set(stored.columns) != set(rows.columns):
+        raise ValueError(f"columns of {table.entity} differ: {sorted(stored.columns)}, {sorted(rows.columns)}")
     else:
-        # partitions of the batch only: at most as many names as the table has partitions
-        parts = [r[0] for r in batch.select(PART).distinct().collect()]
-        known = stored.where(F.col(PART).isin(parts)) if parts else stored.limit(0)
-        known = known.select(PART, *[F.col(f"`{k}`") for k in table.key], _state(known, table).alias("_was"))
-        moved = batch.join(known, [PART, *table.key], "left")
-    newer = F.col("_was").isNull() | (F.col("_state") > F.col("_was"))
-    moved = written_once(moved.withColumn("_newer", newer), f"merge-{table.entity}")
-    gone, was_gone = F.col("_state")[GONE], F.coalesce(F.col("_was")[GONE], F.lit(True))
-    counts = moved.agg(
-        F.count_if(F.col("_newer") & ~gone & was_gone), F.count_if(F.col("_newer") & ~gone & ~was_gone),
-        F.count_if(F.col("_newer") & gone & ~was_gone), F.count_if(~F.col("_newer")),
-    ).first()
-    fresh = moved.where("_newer")
-    touched = [r[0] for r in fresh.select(PART).distinct().collect()]
-    if touched:
-        merged = fresh.select(
-            *[F.col(f"`{k}`") for k in table.key], *[F.col("_state")[c].alias(c) for c in names], PART
-        )
-        if stored is not None:
-            old = stored.where(F.col(PART).isin(touched))
-            kept = old.join(fresh.select(PART, *table.key), [PART, *table.key], "left_anti")
-            merged = merged.unionByName(kept)
-        # a dynamic overwrite replaces the old files when all new ones are there, so they can be read
-        # until then; one shuffle by partition and a few slices of it, so that there are few files
-        writer = merged.repartition(PART, F.pmod(F.xxhash64(*table.key), F.lit(4))).write
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy(PART).mode("overwrite").parquet(table.path)
+        batch = written_once(per_key, f"changes-{table.entity}")
+        read, newest = batch.agg(F.coalesce(F.sum("_read"), F.lit(0)), F.max(F.col("_state")[table.version])).first()
+        moved = _compared(batch, stored, table)
+        gone, was_gone = F.col("_state")[GONE], F.coalesce("_was_gone", F.lit(True))
+        counts = moved.agg(
+            F.count_if(F.col("_newer") & ~gone & was_gone), F.count_if(F.col("_newer") & ~gone & ~was_gone),
+            F.count_if(F.col("_newer") & gone & ~was_gone), F.count_if(~F.col("_newer")),
+        ).first()
+        touched = _rewritten(moved.where("_newer"), stored, rows.columns, table)
     result = spark.createDataFrame(
-        [(table.entity, totals[0], *counts, len(touched))],
+        [(table.entity, read, *counts, touched)],
         "entity string, read long, inserted long, changed long, deleted long, stale long, parts int",
-    ).withColumn("watermark", F.greatest(F.lit(totals[1]), F.lit(mark)).cast(rows.schema[table.version].dataType))
-    if totals[0]:
+    ).withColumn("watermark", F.greatest(F.lit(newest), F.lit(mark)).cast(rows.schema[table.version].dataType))
+    if read:
         result.write.mode("append").parquet(table.watermark_path)
     return result
 

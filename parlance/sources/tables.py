@@ -49,7 +49,7 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     once, every reader sees the same rows, and a lost executor repeats no more than this step."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -118,3 +118,37 @@ def test_empty_source(spark, table):
     report = incremental.load(spark.createDataFrame([], SCHEMA), table).first()
     assert report["read"] == 0 and incremental.watermark(spark, table) is None
     assert incremental.current(spark, table).count() == 0
+
+
+def test_rows_are_written_once(spark, table, monkeypatch):
+    """Nothing is written beside the table for its first rows, later only the batch; a partition is
+    rewritten by several tasks."""
+    aside = []
+    real = incremental.written_once
+    monkeypatch.setattr(
+        incremental, "written_once", lambda df, name: aside.append(real(df, name)) or aside[-1]
+    )
+    first = [(n % 400, "a", START + datetime.timedelta(days=n // 400), n % 9 == 0, 1.0) for n in range(800)]
+    monkeypatch.setattr(incremental, "FIRST", 1, raising=False)
+    report = incremental.load(spark.createDataFrame(first, SCHEMA).repartition(40), table).first()
+    assert not aside and living(spark, table) == expected(first)
+    assert (report["read"], report["inserted"], report["parts"]) == (800, len(expected(first)), 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        later = [(n, "a", START + datetime.timedelta(days=5), False, 2.0) for n in range(300, 350)]
+        incremental.load(spark.createDataFrame(later, SCHEMA), table)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert living(spark, table) == expected(first + later)
+    assert {df.count() for df in aside} == {50}
+    files = [f.split("_part=")[1].split("/")[0] for f in files_of(table.path)]
+    assert len(set(files)) == 8 and len(files) > 16
+
+
+def test_equal_versions_of_many_keys(spark, table):
+    """Rows that agree in the version: the larger state stays, whichever comes first."""
+    rows = lambda amount, gone: [(n, "a", START, n % 3 == gone, amount) for n in range(60)]
+    for batch in (rows(2.0, 0), rows(1.0, 1), rows(2.0, 0)):
+        report = incremental.merge(spark.createDataFrame(batch, SCHEMA), table).first()
+    assert living(spark, table) == expected(rows(2.0, 0) + rows(1.0, 1))
+    assert (report["inserted"], report["changed"], report["deleted"], report["stale"]) == (0, 0, 0, 60)
