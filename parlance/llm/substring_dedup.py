@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ BUCKET_BYTES, OVERLAP = 3 << 20, 4
 #: One document in SAMPLE is looked at for runs of words that stand in more than one of HOT of
 #: them; such runs are minimisers only where a window has no other. This only moves work around.
 SAMPLE, HOT, HOT_RUNS = 64, 200, 1 << 16
+#: Effort of squeezing; texts that all tasks squeeze against, and characters of each.
+LEVEL, COMMON, COMMON_CHARS = 3, 64, 2048
 NO_ID = (1 << 63) - 1
 
 
@@ -68,11 +71,15 @@ def super_runs(
     return owner[first], start[first], start[last]
 
 
-def pack(batch: pa.RecordBatch, window: int, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
+def pack(
+    batch: pa.RecordBatch, window: int, buckets: int, hot: np.ndarray, common: bytes = b""
+) -> Iterator[tuple]:
     """(bucket, records, strings) of the windows of a batch of (order, key, text).
 
     A string that a smaller document of the batch sends too is not sent again: all its windows
-    are known to repeat, which its record says by an empty string and its last window.
+    are known to repeat, which its record says by an empty string and its last window. ``common``
+    is text that the strings are squeezed against: a bucket gets the less of a batch the more
+    buckets there are, too little to be squeezed well by itself.
     """
     order = batch.column("order").to_numpy(zero_copy_only=False)
     ranks = np.argsort(order, kind="stable")
@@ -100,9 +107,18 @@ def pack(batch: pa.RecordBatch, window: int, buckets: int, hot: np.ndarray) -> I
             string = b""
         parts[b].append(string)
         rows[b].append((o, k, p, n, len(string)))
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+    squeeze_text = zstandard.ZstdCompressor(level=LEVEL, dict_data=known_text(common)).compress
     for b, strings in parts.items():
-        yield b, squeeze(np.array(rows[b], np.int64).tobytes()), squeeze(b"".join(strings))
+        yield b, squeeze(np.array(rows[b], np.int64).tobytes()), squeeze_text(b"".join(strings))
+
+
+def known_text(common: bytes) -> zstandard.ZstdCompressionDict | None:
+    if not common:
+        return None
+    found = zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    found.precompute_compress(level=LEVEL)
+    return found
 
 
 def repeated(records: np.ndarray, strings: pa.Array, window: int) -> pd.DataFrame:
@@ -178,7 +194,34 @@ def hot_runs(rows: DataFrame, window: int) -> np.ndarray:
     return np.array([r[0] for r in hot.limit(HOT_RUNS).collect()], np.uint64)
 
 
-def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
+def common_text(rows: DataFrame) -> Broadcast[bytes]:
+    """The beginnings of a few texts, to squeeze others against; which ones changes no result."""
+    some = rows.where("text is not null").limit(COMMON).select(F.substring("text", 1, COMMON_CHARS))
+    return rows.sparkSession.sparkContext.broadcast("\n".join(r[0] for r in some.collect()).encode())
+
+
+def squeezed(rows: DataFrame, common: Broadcast[bytes]) -> DataFrame:
+    """The rows with ``text`` as squeezed bytes and its length as ``size``: the shuffle's own
+    compression gains next to nothing on texts."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_text(common.value)
+        for batch in steps(batches):
+            compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=known).compress
+            texts = batch.column("text").cast(pa.large_binary())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            small = [None if x is None else compress(x) for x in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in names], sizes, pa.array(small, pa.binary())],
+                names=[*names, "size", "text"],
+            )
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.mapInArrow(squeeze, f"{schema}, size long, text binary")
+
+
+def repeated_spans(rows: DataFrame, window: int, common: Broadcast[bytes]) -> DataFrame:
     """(order, key, from, to): word spans, which may overlap, covered by repeated windows."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_tasks(rows.sparkSession), OVERLAP * size // BUCKET_BYTES + 1)
@@ -186,7 +229,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            found = list(zip(*pack(batch, window, buckets, hot.value)))
+            found = list(zip(*pack(batch, window, buckets, hot.value, common.value)))
             if found:
                 kinds = (pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -196,10 +239,11 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
+        expand_text = zstandard.ZstdDecompressor(dict_data=known_text(common.value)).decompress
         records = np.concatenate(
             [np.frombuffer(expand(x), np.int64).reshape(-1, 5) for x in frame["records"]]
         )
-        data = b"".join(expand(x) for x in frame["strings"])
+        data = b"".join(expand_text(x) for x in frame["strings"])
         sizes = records[records[:, 4] > 0, 4]
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         strings = pa.Array.from_buffers(
@@ -236,15 +280,20 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("order"),
         F.xxhash64(id_col, text).alias("key"), F.col(text).alias("text"),
     )
-    spans = repeated_spans(rows.select("order", "key", "text"), window)
+    common = common_text(rows)
+    spans = repeated_spans(rows.select("order", "key", "text"), window, common)
     spans = spans.groupBy("order", "key").agg(
         F.collect_list("from").alias("from"), F.collect_list("to").alias("to")
     )
     names = ["doc_id", *[f"_keep_{c}" for c in keep]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            tokens = Tokens(batch.column("text"))
+        expand = zstandard.ZstdDecompressor(dict_data=known_text(common.value)).decompress
+        for batch in steps(batches, "size"):
+            small = batch.column("text").to_pylist()
+            texts = pa.array([None if x is None else expand(x) for x in small], pa.large_binary())
+            texts = texts.view(pa.large_string())
+            tokens = Tokens(texts)
             change = np.zeros(len(tokens.codes) + 1, np.int64)
             for name, step in (("from", 1), ("to", -1)):
                 lists = batch.column(name)
@@ -256,7 +305,7 @@ def remove_repeats(
             kept = joined(tokens.flat.filter(pa.array(~gone)), left)
             kept = kept.cast(pa.string())
             if untouched:
-                kept = pc.if_else(pa.array(removed == 0), batch.column("text").cast(pa.string()), kept)
+                kept = pc.if_else(pa.array(removed == 0), texts.cast(pa.string()), kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(n) for n in names], pa.array(tokens.counts),
@@ -268,7 +317,8 @@ def remove_repeats(
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema
     )
-    found = rows.join(spans, ["order", "key"], "left").select(*names, "text", "from", "to").mapInArrow(
+    small = squeezed(rows, common).join(spans, ["order", "key"], "left")
+    found = small.select(*names, "size", "text", "from", "to").mapInArrow(
         cut, f"{schema}, n_words long, n_removed long, kept_text string"
     )
     return found.withColumnsRenamed({f"_keep_{c}": c for c in keep})

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -257,3 +258,24 @@ def test_vectors_of_any_length(make):
     found = embedding_dedup.near_vectors(make(rows, "vec_id long, label string, embedding array<double>"))
     got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+def test_passages_texts_travel_squeezed(spark):
+    """Texts meet their spans as squeezed bytes, not as text; null, empty and uniform ones come back."""
+    rng = random.Random(3)
+    some = [" ".join(f"w{rng.randrange(4000)}" for _ in range(400)) for _ in range(30)]
+    texts = [*some, None, "", "  ", "a " * 300_000, some[0] + " end", some[1]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substring_dedup.remove_repeats(rows, untouched=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.split("Join LeftOuter")[1]
+    assert "text#" in plan and "squeeze(" in join.replace("\n", " ")
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert [got[i]["kept_text"] for i in range(34)] == texts[:34]
+    assert got[34]["kept_text"] == "end" and got[35]["kept_text"] == ""
+    common = "\n".join(some[:8]).encode()
+    batch = pa.RecordBatch.from_pydict({
+        "order": pa.array(range(20)), "key": pa.array(range(20)), "text": pa.array(some[:20]),
+    })
+    size = lambda *more: sum(len(x) for _, _, x in substring_dedup.pack(batch, 50, 500, np.empty(0, np.uint64), *more))
+    assert size(common) < 0.9 * size()
