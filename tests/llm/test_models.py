@@ -269,3 +269,17 @@ def test_odd_texts(odd, none, make):
     rows = [(1, None), (2, []), (3, [bytes_[0xC3]]), (4, [1, 2])]
     odd_ids = sp.decode(make(rows, "k int, ids array<int>", 1), MODEL)
     assert {r.k: r.decoded for r in odd_ids.collect()} == {1: None, 2: "", 3: "�", 4: ""}
+
+
+@pytest.mark.parametrize("scale", [0.1, 1.0, 30.0])
+def test_log_sums(scale):
+    """Sums of exp of small and of huge scores, and what no score exceeds."""
+    draw = np.random.default_rng(1)
+    contexts, vectors = (draw.normal(0, scale, (n, 17)).astype(np.float32) for n in (300, 122))
+    contexts[:, -1] = 1
+    scores = contexts.astype(np.float64) @ vectors.T.astype(np.float64)
+    assert lm._most(contexts, vectors) >= scores.max() * (1 - 1e-6)
+    top = scores.max(axis=1)
+    want = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+    assert np.allclose(lm.log_sums(contexts, vectors), want, rtol=1e-5, atol=1e-5)
+    assert len(lm.log_sums(contexts[:0], vectors)) == 0
