@@ -283,3 +283,66 @@ def test_log_sums(scale):
     want = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
     assert np.allclose(lm.log_sums(contexts, vectors), want, rtol=1e-5, atol=1e-5)
     assert len(lm.log_sums(contexts[:0], vectors)) == 0
+
+
+def made_items(size=300, n=900, seed=5):
+    draw = np.random.default_rng(seed)
+    items = lm.Items(np.sort(draw.integers(3, 500, size))[::-1], draw.integers(0, 9, lm.TAILS).astype(float))
+    sizes = np.array([1, 2, 400, 1, n - 404])
+    return items, draw.integers(0, items.size, n), sizes
+
+
+def test_context_sums():
+    """One pass over the tokens gives what adding every token's vector to its four items gives, also
+    at the borders of texts and for items of the step before."""
+    items, word, sizes = made_items()
+    before = lm.contexts(word, sizes, items.size)
+    vectors = np.random.default_rng(2).normal(0, 1, (len(word), lm.DIMENSION)).astype(np.float32)
+    for a, b in [(0, 900), (0, 1), (2, 5), (7, 300), (401, 404)]:
+        want = np.zeros((items.size + 1, lm.DIMENSION))
+        for p, weight in enumerate(lm.WEIGHTS):
+            np.add.at(want, before[p, a:b], np.float64(weight) * vectors[a:b])
+        rows, got = lm.context_sums(word[a:b], before[:, a:b], vectors[a:b], items.size + 1)
+        found = np.zeros_like(want)
+        found[rows] = got
+        assert len(rows) <= len(np.unique(np.append(word[a:b], before[:, a:b])))
+        assert np.allclose(found, want, rtol=1e-6, atol=1e-6)
+
+
+def test_steps_touch_their_items_only():
+    """A step works on the rows of its own items, of its noise and of its context, not on all."""
+    items, word, sizes = made_items(size=20000)
+    trainer = lm.Trainer(items, lm.Model.start(items).flat(), 1)
+    first = [x.copy() for x in trainer.model.parts]
+    before = lm.contexts(word, sizes, items.size)
+    trainer.step(word, before)
+    changed = [np.flatnonzero((x != y).any(axis=1)) for x, y in zip(first, trainer.model.parts)]
+    assert set(word) <= set(changed[0]) and len(changed[0]) <= len(set(word)) + lm.INNER * items.clusters
+    assert changed[2].tolist() == np.unique(before).tolist()
+    for part, size, there in zip(trainer.model.parts, trainer.size, changed):
+        assert np.isfinite(part).all() and np.array_equal(np.flatnonzero((size != lm.CALM).any(axis=1)), there)
+    rows, place = lm.touched(9, np.array([7, 2]), np.array([2]))
+    assert rows.tolist() == [2, 7] and place[rows].tolist() == [0, 1]
+
+
+def test_by_number():
+    draw = np.random.default_rng(3)
+    for most in (5, 1 << 16, 1 << 18):
+        numbers = draw.integers(0, most, 5000)
+        numbers[0] = most - 1
+        assert lm.by_number(numbers).tolist() == np.argsort(numbers, kind="stable").tolist()
+    assert lm.by_number(numbers[:0]).tolist() == []
+
+
+def test_log_chances_are_normalised():
+    """In blocks or not, the chances of all items after a context add up to 1, for small and huge scores."""
+    items, word, sizes = made_items(n=3000)
+    before = lm.contexts(word, sizes, items.size)
+    for scale in (0.1, 40.0):
+        model = lm.Model([x * np.float32(scale) for x in lm.Model.start(items).parts])
+        same = np.repeat(before[:, 500:501], items.size, axis=1)
+        got = model.log_chances(np.arange(items.size), same)
+        assert np.exp(got.astype(np.float64)).sum() == pytest.approx(1, rel=1e-3)
+        one = [model.log_chances(word[i : i + 1], before[:, i : i + 1])[0] for i in (0, 700, 2999)]
+        assert np.allclose(model.log_chances(word, before)[[0, 700, 2999]], one, rtol=1e-4, atol=1e-4)
+        assert len(model.log_chances(word[:0], before[:, :0])) == 0
