@@ -22,7 +22,7 @@ def has_digits(text: Column, in_a_row: int) -> Column:
 
 def extract_cpf(text: Column) -> Column:
     """Tax numbers (CPF) with or without punctuation."""
-    return find_all(text, fv.CPF, 1)
+    return F.when(has_digits(text, 3), find_all(text, fv.CPF, 1)).otherwise(empty_strings())
 
 
 def valid_cpf(cpf: Column) -> Column:
@@ -63,7 +63,7 @@ def extract_plate(text: Column) -> Column:
 
 def extract_cep(text: Column) -> Column:
     """Post codes (CEP)."""
-    return find_all(text, fv.CEP, 1)
+    return F.when(has_digits(text, 5), find_all(text, fv.CEP, 1)).otherwise(empty_strings())
 
 
 def literal_start(pattern: str) -> str:
@@ -78,11 +78,17 @@ def literal_start(pattern: str) -> str:
 def extract_competitor(
     text: Column, competitors: Sequence[tuple[str, str]] = fv.COMPETITORS
 ) -> Column:
-    """Names of the insurers mentioned, in the order of the list.
+    """Names of the insurers mentioned, in the order of the list."""
+    return competitors_in(F.lower(text), competitors)
+
+
+def competitors_in(
+    lower: Column, competitors: Sequence[tuple[str, str]] = fv.COMPETITORS
+) -> Column:
+    """The same of a lower-case text.
 
     A substring test goes before each pattern, as most texts mention none.
     """
-    lower = F.lower(text)
     named = [
         F.when(lower.contains(literal_start(p)) & lower.rlike(unicode(p)), F.lit(name))
         for p, name in competitors

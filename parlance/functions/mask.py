@@ -120,7 +120,10 @@ def hash_digits(value: Column, length: int = 16) -> Column:
 def redact_body(text: Column) -> Column:
     """Text with CPFs, then e-mails, then plates replaced by their masked forms."""
     cpf_kept = unicode(r"\b\d{3}\.?\d{3}\.?(\d{3})-?(\d{2})\b")
-    no_cpf = F.regexp_replace(text, cpf_kept, "***.***.$1-$2")
+    # a text without three digits in a row holds no CPF
+    no_cpf = F.when(
+        text.rlike(unicode(r"\d{3}")), F.regexp_replace(text, cpf_kept, "***.***.$1-$2")
+    ).otherwise(text)
     # a text without @ or without two digits in a row holds no e-mail and no plate
     no_email = F.when(
         text.contains("@"), replace_matches(no_cpf, fv.EMAIL, mask_email)

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators import conversations, leads, sentiment
+from parlance.operators.messages import with_lower
 
 
 def conversation_facts(messages: DataFrame) -> DataFrame:
     """One row per conversation with the columns of all three tables."""
     return (
-        messages.groupBy("conversation_id")
+        with_lower(messages).groupBy("conversation_id")
         .agg(
             *conversations.conversation_aggregates(),
             *sentiment.keyword_aggregates(),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import extract as ex
 from parlance.functions import mask as mk
-from parlance.operators.messages import has_inbound_text, inbound_text, message_order
+from parlance.operators.messages import has_inbound_text, inbound_text, message_order, with_lower
 
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "cpfs": ex.extract_cpf,
@@ -73,17 +73,18 @@ SIGNAL_COLUMNS = (
 
 
 def signal_aggregates() -> list[Column]:
-    """Kinds of data in the inbound messages, lowest price, and the first of them as a struct."""
+    """Kinds of data in the inbound messages, lowest price, and the first of them as a struct;
+    over messages ``with_lower``."""
     body, counts = F.col("message_body"), has_inbound_text()
 
-    def given(extract: Callable[[Column], Column]) -> Column:
-        return F.max(F.when(counts, F.size(extract(body)) > 0))
+    def given(found: Column) -> Column:
+        return F.max(F.when(counts, F.size(found) > 0))
 
     return [
-        given(ex.extract_cpf).alias("has_cpf"),
-        given(ex.extract_email).alias("has_email"),
-        given(ex.extract_plate).alias("has_plate"),
-        given(ex.extract_competitor).alias("has_competitor"),
+        given(ex.extract_cpf(body)).alias("has_cpf"),
+        given(ex.extract_email(body)).alias("has_email"),
+        given(ex.extract_plate(body)).alias("has_plate"),
+        given(ex.competitors_in(F.col("_lower"))).alias("has_competitor"),
         F.min(F.when(counts, F.array_min(ex.extract_price(body)))).alias("first_price"),
         F.min_by(
             F.struct("sender_name_normalized", "sender_phone"), F.when(counts, message_order())
@@ -106,7 +107,7 @@ def lead_signals(
     Scalars only, aggregated before the shuffle. ``strict`` replaces the phone by its keyed hash.
     """
     signals = (
-        inbound_text(messages)
+        with_lower(inbound_text(messages))
         .groupBy("conversation_id")
         .agg(*signal_aggregates())
         .withColumns(signal_columns())
@@ -143,18 +144,22 @@ def leads_profile(
     row holds the distinct arrays of its conversation, which ``entity_sets`` has as rows.
     """
     # the first message of a conversation is one more kind, so that one pass has both
-    body, nobody = F.col("message_body"), F.array().cast("array<string>")
+    nobody = F.array().cast("array<string>")
     person = F.struct(message_order().alias("order"), "sender_name_normalized", "sender_phone")
     kinds = [
-        F.struct(
-            F.lit(kind).alias("kind"), extract(body).alias("found"), F.when(F.lit(False), person).alias("person")
-        )
-        for kind, extract in EXTRACTORS.items()
+        F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("found"), F.when(F.lit(False), person).alias("person"))
+        for kind in EXTRACTORS
     ]
     kinds.append(F.struct(F.lit("person").alias("kind"), nobody.alias("found"), person.alias("person")))
     kept = F.filter(F.array(*kinds), lambda s: (F.size(s["found"]) > 0) | (s["kind"] == "person"))
+    # the patterns run in a projection of their own, which is compiled; inside ``filter`` they are not
+    found = with_lower(inbound_text(messages)).select(
+        "conversation_id", "timestamp", "message_id", "sender_name_normalized", "sender_phone",
+        *[extract(F.col("message_body")).alias(f"_{kind}") for kind, extract in EXTRACTORS.items() if kind != "competitors"],
+        ex.competitors_in(F.col("_lower")).alias("_competitors"),
+    )
     sets = (
-        inbound_text(messages).select("conversation_id", F.inline(kept))
+        found.select("conversation_id", F.inline(kept))
         .groupBy("conversation_id", "kind", "found").agg(F.min("person").alias("person"))
     )
 

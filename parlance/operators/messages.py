@@ -34,13 +34,15 @@ def dedup_messages(bronze: DataFrame) -> DataFrame:
     task before the shuffle, however many copies there are; columns nobody reads stay in the file.
     """
     furthest = F.when(F.col("status") == "read", 3).when(F.col("status") == "delivered", 2)
-    deliveries = Window.partitionBy(*DEDUP_KEYS).orderBy(
+    # ids and times begin alike, hashes do not: most comparisons of the sort end at them
+    deliveries = Window.partitionBy("_hash", *DEDUP_KEYS).orderBy(
         furthest.otherwise(1).desc(), "message_id"
     )
     return (
-        bronze.withColumn("_place", F.row_number().over(deliveries))
+        bronze.withColumn("_hash", F.xxhash64(*DEDUP_KEYS))
+        .withColumn("_place", F.row_number().over(deliveries))
         .filter(F.col("_place") == 1)
-        .drop("_place")
+        .drop("_place", "_hash")
     )
 
 
@@ -101,3 +103,10 @@ def has_inbound_text(allow_blank: bool = False) -> Column:
 def inbound_text(messages: DataFrame, allow_blank: bool = False) -> DataFrame:
     """Messages of the lead that have text."""
     return messages.filter(has_inbound_text(allow_blank))
+
+
+def with_lower(messages: DataFrame) -> DataFrame:
+    """Adds ``_lower``, the text of the lead in lower case: worked out once, however many words are
+    looked for in it."""
+    text = F.when(F.col("direction") == "inbound", F.col("message_body"))
+    return messages.withColumn("_lower", F.lower(text))

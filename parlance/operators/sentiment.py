@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import fixed_values as fv
 from parlance.operators.conversations import count_where
-from parlance.operators.messages import has_inbound_text, inbound_text, message_order
+from parlance.operators.messages import has_inbound_text, inbound_text, message_order, with_lower
 
 MODEL_LABELS = {"POS": "positivo", "NEG": "negativo", "NEU": "neutro"}
 
@@ -21,13 +21,12 @@ def sentiment_label(score: Column) -> Column:
     return F.when(score > 0.2, "positivo").when(score < -0.2, "negativo").otherwise("neutro")
 
 
-def keyword_hits(text: Column, words: Sequence[str], phrase: bool = False) -> Column:
-    """Words of the text (split at blanks) that contain a keyword.
+def keyword_hits(lower: Column, words: Sequence[str], phrase: bool = False) -> Column:
+    """Words of the lower-cased text (split at blanks) that contain a keyword.
 
     Keywords of several words can match no single word; ``phrase`` counts their occurrences in
     the whole text instead.
     """
-    lower = F.lower(text)
     if phrase:
         any_word = "|".join(re.escape(word).replace(r"\ ", " ") for word in words)
         return F.coalesce(F.regexp_count(lower, F.lit(any_word)), F.lit(0))
@@ -54,11 +53,12 @@ def keyword_aggregates(
     negative: Sequence[str] = fv.NEGATIVE_WORDS,
     phrase: bool = False,
 ) -> list[Column]:
-    """Keyword hits and number of the inbound messages, and the outcome of the first of them."""
-    body, counts = F.col("message_body"), has_inbound_text(allow_blank=True)
+    """Keyword hits and number of the inbound messages, and the outcome of the first of them;
+    over messages ``with_lower``."""
+    counts = has_inbound_text(allow_blank=True)
 
     def total(words: Sequence[str]) -> Column:
-        return F.sum(F.when(counts, keyword_hits(body, words, phrase)))
+        return F.sum(F.when(counts, keyword_hits(F.col("_lower"), words, phrase)))
 
     return [
         total(positive).alias("total_positive"),
@@ -85,7 +85,7 @@ def keyword_sentiment(
 ) -> DataFrame:
     """Keyword hits, score and label per conversation with inbound text."""
     return (
-        inbound_text(messages, allow_blank=True)
+        with_lower(inbound_text(messages, allow_blank=True))
         .groupBy("conversation_id")
         .agg(*keyword_aggregates(positive, negative, phrase))
         .withColumns(keyword_columns())

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.functions import extract as ex
+from parlance.functions import fixed_values as fv
 from parlance.functions.intent import classify_intent, estimate_tokens
+from parlance.functions.regex import find_all
 
 CASES = [
     (ex.extract_cpf, "meu cpf eh 383.182.856-05", ["383.182.856-05"]),
@@ -64,3 +67,18 @@ def test_intent_and_tokens(one_column):
         "status_check", "error_diagnosis", "general", "status_check", "general",
     ]
     assert one_column(["12345678", "123", ""], estimate_tokens) == [2, 0, 0]
+
+
+def test_patterns_are_guarded(one_column):
+    """Digits in a row go before the patterns that need them; the arrays are the same, never null."""
+    texts = [None, "", "12", "123.456.789-09", "٣٨٣.182.856-05", "38318285605", "12345-678", "1234 5678", "x12345678"]
+    for extract, pattern in ((ex.extract_cpf, fv.CPF), (ex.extract_cep, fv.CEP)):
+        plain = one_column(texts, lambda t, p=pattern: find_all(t, p, 1))
+        assert one_column(texts, extract) == plain and None not in plain and any(plain)
+        assert "CASE WHEN" in str(extract(F.col("t")))
+
+
+def test_competitors_of_lower_text(one_column):
+    texts = ["HDI Seguros e ALLIANZ", "SulAMÉRICA", "nenhuma"]
+    lower = one_column(texts, lambda t: ex.competitors_in(F.lower(t)))
+    assert lower == one_column(texts, ex.extract_competitor) == [["allianz", "hdi"], ["sulamerica"], []]
