@@ -34,15 +34,13 @@ def dedup_messages(bronze: DataFrame) -> DataFrame:
     task before the shuffle, however many copies there are; columns nobody reads stay in the file.
     """
     furthest = F.when(F.col("status") == "read", 3).when(F.col("status") == "delivered", 2)
-    # ids and times begin alike, hashes do not: most comparisons of the sort end at them
-    deliveries = Window.partitionBy("_hash", *DEDUP_KEYS).orderBy(
+    deliveries = Window.partitionBy(*DEDUP_KEYS).orderBy(
         furthest.otherwise(1).desc(), "message_id"
     )
     return (
-        bronze.withColumn("_hash", F.xxhash64(*DEDUP_KEYS))
-        .withColumn("_place", F.row_number().over(deliveries))
+        bronze.withColumn("_place", F.row_number().over(deliveries))
         .filter(F.col("_place") == 1)
-        .drop("_place", "_hash")
+        .drop("_place")
     )
 
 
