@@ -1,12 +1,17 @@
 """Quality rules, URL filter, quality classifier, token counts."""
 
 import math
+import os
+import tempfile
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parlance.llm import common
 from parlance.llm import quality_classifier as qc
 from parlance.llm import quality_rules, token_counts, url_filter
 from parlance.llm.queries import BYTE_PATTERN, TOKENIZERS, URL_RULES
@@ -343,3 +348,76 @@ def test_no_draw_among_trusted_texts(make, monkeypatch):
     qc.classify(make(rows), make([(i,) for i in range(900)], "doc_id long"))
     halves = make([(i,) for i in range(900)], "doc_id long").where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0)
     assert seen == [halves.count()]
+
+
+def test_only_used_runs_are_joined(make, monkeypatch):
+    """Probabilities are joined for the runs that have a row in the model and for those that such runs
+    build on, contexts summed where a run has a row: the other runs, most of a large table, stay out."""
+    tables = {}
+    stored = qc.stored
+
+    def kept(df, name, **more):
+        tables[name] = stored(df, name, **more)
+        return tables[name]
+
+    monkeypatch.setattr(qc, "stored", kept)
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(draw.choice(words, 12)), draw.choice(["xx", "yy"]).item()) for _ in range(150)]
+    rows = make(rows, "text string, lang string")
+    whole = qc.train_all(rows, {"xx": 0, "yy": 1})
+    assert tables["order-2"].count() > 1000
+    monkeypatch.setattr(qc, "RUNS", 40)
+    chosen, seen = qc.chosen, {}
+    monkeypatch.setattr(qc, "chosen", lambda *a: seen.setdefault(len(seen), chosen(*a)))
+    vocabularies, shards, _ = qc.train_all(rows, {"xx": 0, "yy": 1})
+    assert [list(v) for v in vocabularies] == [list(v) for v in whole[0]]
+    top = tables["order-3"].collect()
+    used = {(r.lang, r.run) for r in tables["order-2"].collect()}
+    named = {(r.lang, r.run) for r in tables["order-2"].where("kept").collect()}
+    assert 0 < len(top) <= 80 and len(named) <= 80 and all(r.kept for r in top)
+    assert used == named | {(r.lang, r.run & 0xFFFFFFFF) for r in top}
+    contexts = {(r.lang, r.run >> 16) for r in top}
+    assert {(r.lang, r.run >> 16) for r in seen[1].collect()} == contexts
+    assert {(r.lang, r.context) for r in tables["contexts-3"].collect()} == contexts
+    # all rows of a context count, with a row or without
+    of_all = {(r.lang, r.context): r.n for r in tables["trigrams"].selectExpr(
+        "lang", "shiftright(run, 16) context", "n").groupBy("lang", "context").agg(F.sum("n").alias("n")).collect()}
+    assert all(r.total == of_all[r.lang, r.context] for r in tables["contexts-3"].collect())
+
+
+def test_no_run_has_a_row(make, monkeypatch):
+    """Where all runs are equally frequent and too many, none has a row and words count alone."""
+    monkeypatch.setattr(qc, "RUNS", 1)
+    rows = make([("a b c a",), ("c a a b",)], "text string")
+    vocabulary, shards = qc.train(rows)
+    tags = np.concatenate([k for k, _ in shards]) >> 56
+    assert (tags == 1).any() and (tags == 3).sum() <= 1
+    numbers = len(vocabulary) + qc.FIRST
+    runs = np.array([qc.EDGE << 32 | qc.EDGE << 16 | w for w in range(numbers)])
+    assert np.exp(qc.log_chances(runs, shards, numbers)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_large_tables_leave_no_shuffles(make):
+    """The shuffle files of a large stored table go with its last row; those of others stay readable."""
+    df = make([(i, f"{i}" * 50) for i in range(3000)], "id long, text string").repartition(3, "id")
+    spark = df.sparkSession
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+
+    def files():
+        return {p for at in ("", "spark-*/") for p in Path(folder).glob(f"{at}blockmgr-*/*/shuffle_*.data")}
+
+    old = files()
+    other = df.groupBy("text").count()
+    assert other.count() == 3000
+    used = files() - old
+    got = common.stored(df.groupBy("id").agg(F.max("text").alias("text")), "large", large=True)
+    for _ in range(100):
+        if not files() - old - used:
+            break
+        time.sleep(0.1)
+    assert used and not files() - old - used
+    assert spark.conf.get(name, None) == before
+    assert sorted(got.collect()) == sorted(df.collect()) and other.count() == 3000
