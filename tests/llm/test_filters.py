@@ -421,3 +421,69 @@ def test_large_tables_leave_no_shuffles(make):
     assert used and not files() - old - used
     assert spark.conf.get(name, None) == before
     assert sorted(got.collect()) == sorted(df.collect()) and other.count() == 3000
+
+
+def test_every_run_and_word_counts(make):
+    """More words than 16 bits have numbers and more runs than a table in memory names: all have counts."""
+    draw = np.random.default_rng(21)
+    names = [f"w{i}" for i in range(70_000)]
+    order = np.concatenate([draw.permutation(len(names)) for _ in range(5)])
+    texts = [" ".join(names[i] for i in part) for part in np.split(order, 3500)]
+    trained = qc.train_all(make([(t, "xx") for t in texts], "text string, lang string"), {"xx": 0})
+    assert len(trained[0][0]) == 70_000
+    three = Counter()
+    for t in texts:
+        row = ["", "", *t.split(), ""]
+        three.update(zip(row, row[1:], row[2:]))
+    two = Counter(run[1:] for run in three)
+    tables = {1: Counter(run[1:] for run in two), 2: two, 3: three}
+    cuts, total, taken = {}, Counter(), Counter()
+    for k, table in tables.items():
+        n = Counter(min(x, 5) for x in table.values())
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        cuts[k] = [0] + [min(max(j - (j + 1) * y * n[j + 1] / max(n[j], 1), 0.1), j - 0.1) for j in (1, 2, 3)]
+        for run, x in table.items():
+            total[k, run[:-1]] += x
+            taken[k, run[:-1]] += cuts[k][min(x, 3)]
+
+    def chance(run):
+        if not run:
+            return 1 / (len(names) + qc.FIRST)
+        k, x = len(run), tables[len(run)][run]
+        if not total[k, run[:-1]]:
+            return chance(run[1:])
+        return (x - cuts[k][min(x, 3)] + taken[k, run[:-1]] * chance(run[1:])) / total[k, run[:-1]]
+
+    asked = [*texts[:5], " ".join(names[:50]), texts[7] + " " + texts[9], "", names[3]]
+    rows = make([(i, t, "xx") for i, t in enumerate(asked)], "i long, text string, lang string")
+    got = {r.i: r["mean"] for r in qc.log_scores(rows, {"xx": 0}, *trained).collect()}
+    for i, text in enumerate(asked):
+        row = ["", "", *text.split(), ""]
+        logs = [math.log(chance(run)) for run in zip(row, row[1:], row[2:])]
+        assert got[i] == pytest.approx(sum(logs) / len(logs), rel=1e-6), text[:80]
+
+
+def test_shards_and_rounds_change_nothing(make, monkeypatch):
+    """Scores do not depend on how runs are dealt; no intermediate stays behind."""
+    draw = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(40)] + ["Ab", "x%"]
+    texts = [(i, " ".join(draw.choice(words, draw.integers(0, 30))), ("xx", "yy", "zz", None)[i % 4]) for i in range(200)]
+    rows = make(texts, "i long, text string, lang string")
+    codes = {"xx": 0, None: 1, "yy": 2}
+    learned = rows.where("i % 3 = 0").select("text", "lang")
+    whole = {r.i: (r.lang, r.n_tokens, r["mean"]) for r in qc.log_scores(rows, codes, *qc.train_all(learned, codes)).collect()}
+    assert len(whole) == 200
+    monkeypatch.setattr(qc, "LOAD", 150)
+    monkeypatch.setattr(qc, "ROUND", 300)
+    monkeypatch.setattr(qc, "IDS", 0)
+    tables = {}
+    stored = qc.stored
+
+    def kept(df, name, **more):
+        tables[name] = stored(df, name, **more)
+        return tables[name]
+
+    monkeypatch.setattr(qc, "stored", kept)
+    got = {r.i: (r.lang, r.n_tokens, r["mean"]) for r in qc.log_scores(rows, codes, *qc.train_all(learned, codes)).collect()}
+    assert got == {i: (lang, n, pytest.approx(mean, rel=1e-12)) for i, (lang, n, mean) in whole.items()}
+    assert not any(Path(tables[n].inputFiles()[0][7:]).exists() for n in ("trigrams", "order-2", "numbers", "counts", "answers"))
