@@ -279,3 +279,30 @@ def test_passages_texts_travel_squeezed(spark):
     })
     size = lambda *more: sum(len(x) for _, _, x in substring_dedup.pack(batch, 50, 500, np.empty(0, np.uint64), *more))
     assert size(common) < 0.9 * size()
+
+
+def test_vectors_in_rounds(make, monkeypatch):
+    """Vectors that no bound keeps apart go to every cell: a round shuffles a bounded number of copies,
+    and the copies are not stored; the links are those of all pairs."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    tables = []
+    stored = embedding_dedup.stored
+
+    def kept(df, name, **more):
+        tables.append((name, stored(df, name, **more)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(embedding_dedup, "stored", kept)
+    draw = np.random.default_rng(31)
+    rows = [([float(np.float32(x)) for x in draw.normal(size=16)], int(draw.integers(2))) for _ in range(420)]
+    rows += [([float(np.float32(x + 0.01)) for x in v], l) for v, l in rows[:60]] + rows[:5]
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    found = embedding_dedup.near_vectors(make(rows, "vec_id long, embedding array<float>, label int"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    assert got == near_by_rule(rows, 0.93) and sum(n for n, _ in got.values()) >= 120
+    assert [n for n, _ in tables].count("vector-links") > 4
+    wide = [n for n, t in tables if "vec" in t.columns]
+    assert wide == ["distinct-vectors"] and "array<float>" in dict(tables[0][1].dtypes).values()
+    links = [t for n, t in tables if n == "vector-links"][-1]
+    assert links.where("a is null and links = 0").count() == 0
