@@ -12,37 +12,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY = timedelta(hours=24)
+#: Groups of ids that share a state: one Python call a group and trigger. A checkpoint holds on to it.
+GROUPS = 1024
+#: A time before all others, from which any span can be taken.
+NEVER = -(1 << 61)
 
 
 def _renewed(ttl: timedelta):
-    """Lets a row through if its id was not seen within ``ttl`` before; state is the last time. Times
-    are microseconds, which no time zone shifts."""
+    """Lets a row through if its id was not seen within ``ttl`` before. The state of a group of ids has
+    24 bytes an id: two hashes and the last time. Times are microseconds, which no time zone shifts."""
     span = ttl // timedelta(microseconds=1)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            state.remove()
+            state.remove()  # the newest of its ids is forgotten
             return
         parts = list(frames)
         frame = parts[0] if len(parts) == 1 else pd.concat(parts)
-        at = frame["_micros"].to_numpy(np.int64)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        kept = np.ones(len(at), bool)
-        kept[1:] = np.diff(at) > span
-        known = at[-1]
-        if state.exists:
-            # the newest arrival before each row may be that of the state
-            before = state.get[0]
-            kept[0] = True
-            kept &= at - before > span
-            known = max(before, known)
-        state.update((int(known),))
-        # the first millisecond in which a row is no repeat any more; the watermark may be there already
-        end = int(known + span) // 1000 + 1
+        known = np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(3, -1)
+        rows = np.stack([frame[c].to_numpy(np.int64) for c in ("_one", "_two", "_micros")])
+        old = known.shape[1]
+        one, two, at = np.concatenate([known, rows], axis=1)
+        order = np.lexsort((at, np.arange(len(at)) >= old, two, one))  # what is known of an id comes first
+        one, two, at = one[order], two[order], at[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        starts = np.flatnonzero(first)
+        fresh = order >= old
+        # the newest arrival before each row may be that of the state
+        before = np.repeat(np.where(fresh[starts], NEVER, at[starts]), np.diff(starts, append=len(at)))
+        kept = fresh & (at - before > span)
+        follows = ~first
+        follows[1:] &= fresh[:-1]
+        kept[1:] &= ~follows[1:] | (np.diff(at) > span)
+        last = np.maximum.reduceat(at, starts)
+        # an id is forgotten once the watermark is at the first millisecond in which it is no repeat any more
+        held = (last + span) // 1000 + 1 > state.getCurrentWatermarkMs()
+        held[np.argmax(last)] = True
+        state.update((np.stack([one[starts], two[starts], last])[:, held].tobytes(),))
+        end = int(last.max() + span) // 1000 + 1
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         if kept.any():
-            yield frame.iloc[order[kept]].drop(columns="_micros")
+            yield frame.iloc[order[kept] - old].drop(columns=["_one", "_two", "_micros", "_group"])
 
     return step
 
@@ -55,8 +66,9 @@ def dedup_renewed(
     to it, both ends included. Rows are told apart by ``time``, that of processing where it is None;
     with a time of their own, rows that come more than ``late`` after newer ones may be dropped.
     Rows without a time are left out: nothing says what they repeat. A null id is one id.
-    An id is forgotten once the watermark has passed its last arrival by ``ttl``. The session may keep
-    its state in any store.
+    An id may be forgotten once the watermark has passed its last arrival by ``ttl``. The session may
+    keep its state in any store. Ids are told apart by hashes of 128 bits; GROUPS groups of them have
+    a state each, which a trigger with rows of the group reads and writes.
     """
     column = time or "_arrived_at"
     if time is None:
@@ -65,10 +77,15 @@ def dedup_renewed(
     found = (
         events.where(F.col(column).isNotNull())
         .withWatermark(column, late)
-        .withColumn("_micros", F.unix_micros(column))
-        .groupBy(key)
+        .withColumns(
+            {
+                "_micros": F.unix_micros(column), "_one": F.xxhash64(key), "_two": F.xxhash64(F.lit(7), key),
+                "_group": F.pmod(F.xxhash64(F.lit(9), key), F.lit(GROUPS)).cast("int"),
+            }
+        )
+        .groupBy("_group")
         .applyInPandasWithState(
-            _renewed(ttl), events.schema, "at long", "append", GroupStateTimeout.EventTimeTimeout
+            _renewed(ttl), events.schema, "ids binary", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
     return found.select(*names)

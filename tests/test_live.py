@@ -147,6 +147,25 @@ def test_memory_in_any_state_store(spark, source, tmp_path):
     assert sorted(kept, key=str) == sorted([("a", at(0)), (None, at(2)), (None, at(1443)), (None, at(9000))], key=str)
 
 
+def test_memory_is_shared_by_many_ids(spark, source, tmp_path, monkeypatch):
+    """Ids are remembered in groups, so the Python calls do not grow with the ids; the rule is that of single ids."""
+    monkeypatch.setattr(memory, "GROUPS", 8)
+    draw = random.Random(41)
+    files = source("id string, received_at timestamp")
+    ids = [f"k{i}" for i in range(400)] + [None]
+    rows = [(draw.choice(ids), at(draw.randrange(0, 9000) + draw.choice((0, 0.001)))) for _ in range(3000)]
+    rows = list({(k, t): (k, t) for k, t in rows}.values())
+    for low, high in ((0, 2000), (2000, 2100), (2100, 7000), (7000, 9001)):
+        files.add([r for r in rows if at(low) <= r[1] < at(high)])
+        out = memory.dedup_renewed(files.stream(), time="received_at")
+        run = events.write_available(out, str(tmp_path / "out"), str(tmp_path / "check"))
+        run.awaitTermination()
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 8 for p in run.recentProgress)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    rule = memory.first_arrivals(spark.createDataFrame(rows, "id string, received_at timestamp"))
+    assert got == sorted(map(tuple, rule.collect()), key=str) and len(got) > 800
+
+
 def test_refunds_on_both_sides_of_the_limit(spark, source, tmp_path):
     bought, back = source("order_id long, purchased_at timestamp", "p"), source("order_id long, refunded_at timestamp", "r")
     bought.add([(1, at(0)), (2, at(10)), (3, at(20)), (4, at(30))])
